@@ -192,11 +192,11 @@ def bundle_texts(blocks: DataFrame) -> DataFrame:
     )
 
 
-def run_result(packed: DataFrame) -> DataFrame:
-    """Bundles, chunks and files of each repository."""
+def run_result(meta: DataFrame, packed: DataFrame) -> DataFrame:
+    """Files chosen, chunks packed and bundles made, per repository."""
+    chosen = meta.groupBy("repo").agg(F.count("*").alias("files_exported"))
     # Bundles count up from 1 without gaps, so their number is the last one.
-    return packed.groupBy("repo").agg(
-        F.max("bundle_id").alias("bundles"),
-        F.count_if(F.col("chunk_index") == 1).alias("files"),
-        F.count("*").alias("chunks"),
+    made = packed.groupBy("repo").agg(
+        F.max("bundle_id").alias("bundles_created"), F.count("*").alias("chunks")
     )
+    return chosen.join(made, "repo", "left").fillna(0, ["bundles_created", "chunks"])

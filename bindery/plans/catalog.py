@@ -1,0 +1,636 @@
+"""The registered queries: every operator over the whole text tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bindery.functions import fixed, ignore, naming, paths, redact, text
+from bindery.operators import chunk, pack, render, report, scan, select, tree
+from bindery.session import settle
+from bindery.sources import tables
+
+# Run parameters of the queries: small enough that every size band and real
+# splitting occur in the test tables.
+MAX_LINES, WARN, SKIP = 40, 30, 60
+STAMP = "20260102T030405Z"
+BASE = "/corpus"
+KEYWORDS = ["the", "License", "token", "zzzz"]
+TYPED_WORDS = "Dockerfile, core src;f12  zzz /corpus/src3/lib"
+TYPED_PATHS = ["src/core/", "lib", "Dockerfile", " ", "lib", "./tests", "/corpus/src1/docs", "gone/x.py"]
+CATEGORY_WORDS = ["py", "Docs", "web"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.files(tables.documents(spark, folder))
+
+
+def _all_files(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.files(tables.everything(spark, folder))
+
+
+def _meta(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.meta(_files(spark, folder))
+
+
+def _settled_meta(spark: SparkSession, folder: str) -> DataFrame:
+    return settle(_meta(spark, folder))
+
+
+def _ranges(files: DataFrame) -> DataFrame:
+    return chunk.chunk_ranges(files, MAX_LINES, SKIP)
+
+
+def _packed(meta: DataFrame) -> DataFrame:
+    return pack.pack(_ranges(meta), MAX_LINES)
+
+
+def _path() -> Column:
+    return F.col("rel_path")
+
+
+# Scan -------------------------------------------------------------------------
+
+
+@query
+def scan_files(spark, folder):
+    return _all_files(spark, folder).drop("content")
+
+
+@query
+def ignore_reason(spark, folder):
+    return scan.with_reason(tables.everything(spark, folder)).select(
+        "repo", "rel_path", F.coalesce("reason", F.lit("")).alias("reason")
+    )
+
+
+@query
+def skip_counts(spark, folder):
+    return scan.skips(tables.everything(spark, folder))
+
+
+@query
+def ignore_patterns(spark, folder):
+    return scan.ignore_lines(tables.with_ignore_files(spark, folder))
+
+
+@query
+def gitignore_filter(spark, folder):
+    listing = tables.with_ignore_files(spark, folder)
+    rules = scan.ignore_rules(listing)
+    return (
+        scan.with_reason(listing.drop("content"), rules=rules)
+        .where(F.col("reason") == fixed.REASON_IGNORE_FILE)
+        .select("repo", "rel_path")
+    )
+
+
+@query
+def binary_sniff(spark, folder):
+    # A NUL byte after each text: only texts shorter than the sample show it.
+    listing = tables.everything(spark, folder)
+    raw = F.concat(F.encode("content", "UTF-8"), F.lit(bytearray(b"\x00")))
+    return listing.select("repo", "rel_path", text.looks_binary(raw).alias("is_binary"))
+
+
+@query
+def decode_lines(spark, folder):
+    raw = tables.everything(spark, folder).withColumn("raw", F.encode("content", "UTF-8"))
+    unified = raw.select(
+        "repo", "rel_path", text.unify_line_ends(text.decode(F.col("raw"))).alias("t")
+    )
+    return unified.select(
+        "repo",
+        "rel_path",
+        text.line_count(F.col("t")).alias("line_count"),
+        F.array_join(text.lines(F.col("t")), "|").alias("lines"),
+    )
+
+
+@query
+def decode_fallback(spark, folder):
+    # Texts stored one byte per character are not valid UTF-8 once accented.
+    raw = tables.documents(spark, folder).withColumn("raw", F.encode("content", "ISO-8859-1"))
+    return raw.select("repo", "rel_path", text.decode(F.col("raw")).alias("decoded"))
+
+
+@query
+def file_lines(spark, folder):
+    return scan.file_lines(_files(spark, folder))
+
+
+# Paths and names --------------------------------------------------------------
+
+
+@query
+def skip_dir(spark, folder):
+    return (
+        tables.everything(spark, folder)
+        .where(paths.has_excluded_part(_path()))
+        .select("repo", "rel_path")
+    )
+
+
+@query
+def skip_prefix(spark, folder):
+    return (
+        tables.everything(spark, folder)
+        .where(paths.has_excluded_prefix(_path()))
+        .select("repo", "rel_path")
+    )
+
+
+@query
+def glob_match(spark, folder):
+    globs = fixed.EXTRA_PATTERNS + ["src/*io/f*.??", "[!a-f]1*.kt", "t*s"]
+    return (
+        tables.everything(spark, folder)
+        .where(paths.matches_any_glob(_path(), globs))
+        .select("repo", "rel_path")
+    )
+
+
+@query
+def secret_like_files(spark, folder):
+    return (
+        tables.everything(spark, folder)
+        .where(paths.matches_any_glob(_path(), fixed.SECRET_PATTERNS))
+        .select("repo", "rel_path")
+    )
+
+
+@query
+def detect_category(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", F.coalesce(paths.category(_path()), F.lit("")).alias("category")
+    )
+
+
+@query
+def path_suffix(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", paths.suffix(_path()).alias("suffix")
+    )
+
+
+@query
+def path_parts(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo",
+        "rel_path",
+        paths.depth(_path()).alias("depth"),
+        paths.file_name(_path()).alias("name"),
+        paths.parent(_path()).alias("parent"),
+        paths.folder(_path(), 3).alias("folder"),
+    )
+
+
+@query
+def file_icon(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", paths.icon(_path(), paths.category(_path())).alias("icon")
+    )
+
+
+@query
+def icon_name(spark, folder):
+    icon = paths.icon(_path(), paths.category(_path()))
+    return (
+        tables.everything(spark, folder)
+        .groupBy("repo", paths.icon_name(icon).alias("type_name"))
+        .agg(F.count("*").alias("files"))
+    )
+
+
+@query
+def parse_csv(spark, folder):
+    words = naming.split_commas(F.col("content"))
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", F.array_join(words, "|").alias("words")
+    )
+
+
+@query
+def parse_tokens(spark, folder):
+    words = naming.split_words(F.col("content"))
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", F.array_join(words, "|").alias("words")
+    )
+
+
+def _typed_categories() -> Column:
+    """Three words per file that may or may not name a category."""
+    return F.array(
+        F.concat(F.lit(" "), F.substring(paths.suffix(_path()), 2, 100)),
+        F.upper(paths.top_part(_path())),
+        F.regexp_replace(paths.suffix(_path()), "[.]", ""),
+    )
+
+
+@query
+def normalize_categories(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo",
+        "rel_path",
+        F.array_join(naming.categories_of(_typed_categories()), ",").alias("categories"),
+    )
+
+
+@query
+def invalid_categories(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo",
+        "rel_path",
+        F.array_join(naming.unknown_categories(_typed_categories()), ",").alias("unknown"),
+    )
+
+
+@query
+def normalize_paths(spark, folder):
+    root = F.concat(F.lit(BASE + "/"), F.col("repo"))
+    typed = F.concat(F.lit("  "), root, F.lit("/"), _path(), F.lit("// "))
+    other = F.concat(F.lit("/elsewhere/"), _path())
+    return tables.everything(spark, folder).select(
+        "repo",
+        "rel_path",
+        naming.path_input(typed, root).alias("inside"),
+        naming.path_input(other, root).alias("outside"),
+        naming.path_input(paths.parent(_path()), root).alias("relative"),
+    )
+
+
+@query
+def run_timestamp(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    stamp = naming.stamp(F.col("ts"))
+    name = F.concat_ws("_", F.col("event_type"), F.when(F.col("value") > 5, stamp))
+    return events.select(
+        "event_id",
+        stamp.alias("stamp"),
+        naming.is_stamp(stamp).alias("is_stamp"),
+        naming.stamp_of_dir(name, F.lit(STAMP)).alias("dir_stamp"),
+    )
+
+
+# Content ----------------------------------------------------------------------
+
+
+@query
+def content_sha256(spark, folder):
+    unified = text.unify_line_ends(F.col("content"))
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", text.content_hash(unified).alias("sha256")
+    )
+
+
+@query
+def file_sizes(spark, folder):
+    unified = text.unify_line_ends(F.col("content"))
+    return tables.everything(spark, folder).select(
+        "repo",
+        "rel_path",
+        text.line_count(unified).alias("line_count"),
+        F.octet_length("content").alias("size_bytes"),
+    )
+
+
+@query
+def redact_text(spark, folder):
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", redact.redact(F.col("content")).alias("redacted")
+    )
+
+
+@query
+def redact_rule_hits(spark, folder):
+    return redact.rule_hits(tables.everything(spark, folder), "content").select(
+        "rule", "hits", "texts"
+    )
+
+
+# Selection --------------------------------------------------------------------
+
+
+@query
+def select_categories(spark, folder):
+    wanted = naming.require_categories(CATEGORY_WORDS)
+    return select.in_categories(_meta(spark, folder), wanted).select("repo", "rel_path")
+
+
+@query
+def select_name_filters(spark, folder):
+    return select.by_name(_meta(spark, folder), ["F12", "docker", ".KT"]).select("repo", "rel_path")
+
+
+@query
+def select_keywords(spark, folder):
+    return select.by_keyword(_all_files(spark, folder), KEYWORDS[1:]).select("repo", "rel_path")
+
+
+@query
+def matched_keywords(spark, folder):
+    return select.matched_keywords(_all_files(spark, folder), KEYWORDS)
+
+
+@query
+def select_paths(spark, folder):
+    return select.by_path(_meta(spark, folder), TYPED_PATHS, BASE).select("repo", "rel_path")
+
+
+@query
+def missing_paths(spark, folder):
+    return select.missing_paths(_meta(spark, folder), TYPED_PATHS, BASE)
+
+
+@query
+def smart_paths(spark, folder):
+    return select.smart_paths(_meta(spark, folder), TYPED_WORDS, BASE)
+
+
+@query
+def mode_path_missing(spark, folder):
+    return select.top_parts_missing(_meta(spark, folder), TYPED_WORDS, BASE)
+
+
+def _selected(spark, folder, wanted: select.Wanted) -> select.Selection:
+    return select.select_files(_files(spark, folder), wanted, BASE)
+
+
+@query
+def select_non_interactive(spark, folder):
+    wanted = select.Wanted(mode="non_interactive", categories=CATEGORY_WORDS, paths=TYPED_PATHS)
+    return _selected(spark, folder, wanted).files.select("repo", "rel_path")
+
+
+@query
+def select_mixed(spark, folder):
+    wanted = select.Wanted(
+        mode="mixed", categories=CATEGORY_WORDS, paths=["core tests"], names=["1", "md"]
+    )
+    return _selected(spark, folder, wanted).files.select("repo", "rel_path")
+
+
+@query
+def select_modes(spark, folder):
+    """Every mode with its metadata and how much it selects."""
+    wanted = [
+        select.Wanted(mode="all"),
+        select.Wanted(mode="category", categories=CATEGORY_WORDS),
+        select.Wanted(mode="path", paths=["src zzz"]),
+        select.Wanted(mode="mixed", categories=["py"], paths=["src"], names=["f1"]),
+        select.Wanted(mode="keyword", keywords=["license", "zzzz"]),
+        select.Wanted(mode="non_interactive", paths=["lib/", "gone.py"]),
+    ]
+    out = None
+    for one in wanted:
+        made = _selected(spark, folder, one)
+        counts = made.files.groupBy("repo").agg(
+            F.count("*").alias("files"), F.sum("line_count").alias("lines")
+        )
+        n_paths = made.paths.groupBy("repo").agg(F.count("*").alias("n_paths"))
+        rows = (
+            made.metadata.join(counts, "repo", "left")
+            .join(n_paths, "repo", "left")
+            .select(
+                "repo",
+                "selection_mode",
+                F.array_join("selected_categories", ",").alias("selected_categories"),
+                F.array_join("name_filters", ",").alias("name_filters"),
+                F.array_join("missing_paths", ",").alias("missing_paths"),
+                F.coalesce("n_paths", F.lit(0)).alias("n_paths"),
+                F.coalesce("files", F.lit(0)).alias("files"),
+                F.coalesce("lines", F.lit(0)).alias("lines"),
+            )
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# Summaries --------------------------------------------------------------------
+
+
+@query
+def summary_category(spark, folder):
+    return report.by_category(_all_files(spark, folder))
+
+
+@query
+def summary_folders(spark, folder):
+    return report.by_folder(_all_files(spark, folder), 3)
+
+
+@query
+def top_folders(spark, folder):
+    return report.top_folders(_all_files(spark, folder), 3)
+
+
+@query
+def category_table(spark, folder):
+    return report.category_table(_all_files(spark, folder))
+
+
+@query
+def tree_type_counts(spark, folder):
+    return tree.type_counts(_all_files(spark, folder))
+
+
+@query
+def detect_frameworks(spark, folder):
+    return report.frameworks(_meta(spark, folder))
+
+
+@query
+def dependency_files(spark, folder):
+    return report.dependency_files(_meta(spark, folder))
+
+
+@query
+def reading_order(spark, folder):
+    return report.reading_order(_meta(spark, folder))
+
+
+# Chunks and bundles -----------------------------------------------------------
+
+
+@query
+def large_file_bands(spark, folder):
+    band = chunk.band(F.col("line_count"), WARN, SKIP)
+    return (
+        _all_files(spark, folder)
+        .groupBy("repo", band.alias("band"))
+        .agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"))
+    )
+
+
+@query
+def split_chunks(spark, folder):
+    return chunk.split_chunks(_all_files(spark, folder), MAX_LINES, SKIP)
+
+
+def _oversized(meta: DataFrame) -> DataFrame:
+    # With a budget at the overhead, every full chunk exceeds it.
+    return pack.oversized(chunk.chunk_ranges(meta, fixed.EXACT_OVERHEAD, SKIP), fixed.EXACT_OVERHEAD)
+
+
+@query
+def oversized_chunks(spark, folder):
+    return _oversized(_meta(spark, folder)).select(
+        "repo", "path", "reason", "chunk_index", "line_count", "max_lines"
+    )
+
+
+@query
+def processing_skips(spark, folder):
+    meta = _settled_meta(spark, folder)
+    rows = chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta))
+    return rows.select(
+        "repo",
+        "stage",
+        "path",
+        "reason",
+        "line_count",
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("threshold", "max_lines", "chunk_index")],
+    )
+
+
+@query
+def pack_bundles(spark, folder):
+    return _packed(_settled_meta(spark, folder)).select(
+        "repo", "rel_path", "chunk_index", "need", "bundle_id"
+    )
+
+
+@query
+def pack_one_tree(spark, folder):
+    """All text tables as one single tree: one group, packed in parallel."""
+    one = scan.meta(_all_files(spark, folder)).withColumn(
+        "rel_path", F.concat_ws("/", "repo", "rel_path")
+    )
+    meta = settle(one.withColumn("repo", F.lit("everything")))
+    return _packed(meta).select("repo", "rel_path", "chunk_index", "bundle_id")
+
+
+@query
+def bundle_positions(spark, folder):
+    placed = render.positions(_packed(_settled_meta(spark, folder)))
+    return placed.select(
+        "repo",
+        "bundle_id",
+        "rel_path",
+        "chunk_index",
+        "bundle_start_line",
+        "bundle_end_line",
+        "physical_start_line",
+        "physical_end_line",
+    )
+
+
+@query
+def bundle_names(spark, folder):
+    bundles = _packed(_settled_meta(spark, folder)).select("repo", "bundle_id").distinct()
+    root, stamp = F.concat(F.lit("my "), F.col("repo")), F.lit(STAMP)
+    return bundles.select(
+        "repo",
+        "bundle_id",
+        naming.bundle_name(root, F.col("bundle_id"), stamp).alias("bundle"),
+        naming.manifest_name(root, stamp).alias("manifest"),
+        naming.tree_name(root, stamp).alias("tree"),
+        naming.output_dir_name(root, stamp).alias("output_dir"),
+    )
+
+
+def _chunks(spark, folder) -> DataFrame:
+    return chunk.split_chunks(_files(spark, folder), MAX_LINES, SKIP)
+
+
+@query
+def chunk_header(spark, folder):
+    return _chunks(spark, folder).select(
+        "repo", "rel_path", "chunk_index", render.header().alias("header")
+    )
+
+
+@query
+def chunk_footer(spark, folder):
+    return _chunks(spark, folder).select(
+        "repo", "rel_path", "chunk_index", render.footer().alias("footer")
+    )
+
+
+@query
+def render_blocks(spark, folder):
+    return render.render_blocks(_chunks(spark, folder))
+
+
+@query
+def render_redacted(spark, folder):
+    return render.render_blocks(_chunks(spark, folder), "clean", redacted=True)
+
+
+@query
+def bundle_text(spark, folder):
+    packed = _packed(_settled_meta(spark, folder))
+    return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed))
+
+
+def _manifest(spark, folder) -> DataFrame:
+    meta = _settled_meta(spark, folder)
+    placed = render.positions(_packed(meta))
+    return render.manifest_files(placed, meta, F.col("repo"), F.lit(STAMP))
+
+
+@query
+def chunk_source_join(spark, folder):
+    return _manifest(spark, folder).select(
+        "repo", "path", "chunk_index", "size_bytes", "sha256", "total_file_lines"
+    )
+
+
+@query
+def manifest_files(spark, folder):
+    return _manifest(spark, folder)
+
+
+@query
+def manifest_json(spark, folder):
+    return render.bundle_documents(_manifest(spark, folder))
+
+
+@query
+def manifest_summary(spark, folder):
+    meta = _settled_meta(spark, folder)
+    left_out = chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta))
+    return render.summary(meta, left_out)
+
+
+@query
+def run_result(spark, folder):
+    meta = _settled_meta(spark, folder)
+    return render.run_result(meta, _packed(meta))
+
+
+# Tree and overview ------------------------------------------------------------
+
+
+@query
+def tree_lines(spark, folder):
+    meta = settle(scan.meta(_all_files(spark, folder)))
+    return tree.tree_lines(settle(tree.tree_rows(meta)))
+
+
+@query
+def project_overview(spark, folder):
+    meta = _settled_meta(spark, folder)
+    chosen = select.in_categories(meta, ["python", "config_docs", "web_ui"])
+    name = naming.manifest_name(F.col("repo"), F.lit(STAMP))
+    return report.overview(meta, chosen, "category", name, "2026-01-02T03:04:05+00:00")

@@ -13,6 +13,7 @@ def local_session(cores: str = "8", app: str = "bindery", **conf) -> SparkSessio
     """A single-machine session for tests and benches; clusters bring their own."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.memory": "12g",

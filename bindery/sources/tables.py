@@ -78,3 +78,28 @@ def everything(spark: SparkSession, folder: str) -> DataFrame:
         .unionByName(conversations(spark, folder))
         .unionByName(benchmark(spark, folder))
     )
+
+
+def with_ignore_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents plus one root ignore file per tree, derived from the tree."""
+    listing = documents(spark, folder)
+    numbers = spark.read.parquet(f"{folder}/documents.parquet").groupBy("source").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    )
+    text = F.concat_ws(
+        "\n",
+        F.lit("# written for this tree"),
+        F.lit("*.html"),
+        F.lit("/docs/"),
+        F.concat(F.lit("f"), F.col("low"), F.lit(".*")),
+        F.lit("src/**/io"),
+        F.lit("!*.dart"),
+        F.lit(""),
+        F.concat(F.lit("**/f"), F.col("high"), F.lit(".[a-z]*")),
+        F.lit("tests/f?[13579]*"),
+        F.lit("\\#odd"),
+    )
+    ignore = numbers.select(
+        F.col("source").alias("repo"), F.lit(".gitignore").alias("rel_path"), text.alias("content")
+    )
+    return listing.unionByName(ignore)
