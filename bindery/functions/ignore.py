@@ -98,7 +98,12 @@ def file_regex(text: str | None) -> str:
 @F.pandas_udf(T.StringType())
 def ignore_regex(texts: pd.Series) -> pd.Series:
     """Pattern of each ignore-file text: one row per source tree."""
-    return texts.map(file_regex)
+
+    def regex(value) -> str:
+        # Bytes that are not UTF-8 are dropped, as only comments tend to hold them.
+        return file_regex(value.decode("utf-8", "ignore") if isinstance(value, bytes) else value)
+
+    return texts.map(regex)
 
 
 def is_ignored(path: Column, regex: Column) -> Column:

@@ -11,9 +11,13 @@ in parallel (see :mod:`bindery.operators.ordered`).
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindery.functions import fixed
 from bindery.operators import ordered
@@ -91,7 +95,8 @@ def pack(
     """Chunk rows (without their text) with ``need`` and ``bundle_id``.
 
     Chunks that can never fit are left out; :func:`oversized` lists them.
-    Order within a repository is path, then chunk.
+    Order within a repository is path, then chunk.  The slice a chunk was packed
+    in stays as a column; regions start from it.
     """
     sized = chunks.withColumn("need", (F.col("line_count") + overhead).cast("int"))
     sized = sized.where(F.col("need") <= max_lines)
@@ -115,10 +120,48 @@ def pack(
         EMPTY,
         lambda state, needs: next_fit(state, needs, max_lines),
         "bundle_id",
-        sized.columns,
+        [*sized.columns, ordered.SLICE],
     ).withColumn("bundle_id", F.col("bundle_id").cast("int"))
 
 
+def region_starts(packed: DataFrame) -> list[tuple[str, str, int]]:
+    """Keys ``(repo, rel_path, chunk_index)`` that cut the chunks into regions.
+
+    A region is a slice whose start is moved to the next start of a bundle, so
+    no bundle spans two regions.  There is at most one key per slice.
+    ``packed`` should be settled.
+    """
+    bundle = F.struct("repo", "bundle_id")
+    slices = packed.groupBy(ordered.SLICE).agg(F.min(bundle).alias("open"))
+    # One row per slice: bounded by the number of slices, whatever the data.
+    rows = (
+        packed.join(F.broadcast(slices), ordered.SLICE)
+        .where(bundle > F.col("open"))
+        .groupBy(ordered.SLICE)
+        .agg(F.min(F.struct("repo", "rel_path", "chunk_index")).alias("key"))
+        .collect()
+    )
+    return sorted(tuple(row["key"]) for row in rows)
+
+
+def region_of(starts: list[tuple[str, str, int]]) -> Column:
+    """Number of the region a chunk belongs to, from its key alone."""
+
+    @F.pandas_udf(T.IntegerType())
+    def locate(repo: pd.Series, rel_path: pd.Series, chunk_index: pd.Series) -> pd.Series:
+        keys = zip(repo, rel_path, chunk_index)
+        return pd.Series([bisect_right(starts, key) for key in keys], dtype="int32")
+
+    # The coalesce tells Spark that the number is never null.
+    return F.coalesce(locate("repo", "rel_path", "chunk_index"), F.lit(0))
+
+
+def by_region(df: DataFrame, starts: list[tuple[str, str, int]]) -> DataFrame:
+    """Rows partitioned by region, one partition each, with the number in ``region``."""
+    numbered = df.withColumn("region", region_of(starts))
+    return numbered.repartitionById(len(starts) + 1, F.col("region"))
+
+
 def oversized(
     chunks: DataFrame,
     max_lines: int = fixed.MAX_LINES,

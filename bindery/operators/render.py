@@ -1,12 +1,13 @@
-"""Rendered chunk blocks, their places in bundles, bundle texts and the manifest."""
+"""Rendered chunk blocks, their places in bundles, and bundle texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.functions import fixed, naming
+from bindery.functions import fixed
 from bindery.functions.redact import redact
+from bindery.operators import pack
 
 # The rules around blocks.
 RULE = "=" * 60
@@ -14,22 +15,6 @@ TREE_HEAD = f"{RULE}\n===== FILETREE: Project Structure =====\n{RULE}\n"
 TREE_FOOT = f"\n{RULE}\n===== END FILETREE =====\n{RULE}\n"
 TREE_EXTRA_LINES = 6
 
-FILE_ROW = [
-    "path",
-    "category",
-    "size_bytes",
-    "sha256",
-    "total_file_lines",
-    "chunk_index",
-    "chunk_count",
-    "file_start_line",
-    "file_end_line",
-    "file_line_count",
-    "bundle_start_line",
-    "bundle_end_line",
-    "bundle_line_count",
-]
-
 
 def header() -> Column:
     """Seven lines above a chunk, without a final line feed."""
@@ -118,85 +103,46 @@ def positions(
     return out.drop("tree_line_count")
 
 
-def manifest_files(placed: DataFrame, meta: DataFrame, root: Column, stamp: Column) -> DataFrame:
-    """The manifest as a flat table: one row per chunk in a bundle."""
-    sizes = meta.select("repo", "rel_path", "size_bytes", "sha256")
-    return placed.join(sizes, ["repo", "rel_path"]).select(
-        "repo",
-        "bundle_id",
-        naming.bundle_name(root, F.col("bundle_id"), stamp).alias("bundle"),
-        F.col("rel_path").alias("path"),
-        "category",
-        "size_bytes",
-        "sha256",
-        "total_file_lines",
-        "chunk_index",
-        "chunk_count",
-        F.col("start_line").alias("file_start_line"),
-        F.col("end_line").alias("file_end_line"),
-        F.col("line_count").alias("file_line_count"),
-        "bundle_start_line",
-        "bundle_end_line",
-        F.col("need").alias("bundle_line_count"),
-        "physical_start_line",
-        "physical_end_line",
-    )
-
-
-def bundle_documents(manifest: DataFrame) -> DataFrame:
-    """One JSON object per bundle: its name and its files in order."""
-    row = F.struct(*FILE_ROW)
-    return (
-        manifest.groupBy("repo", "bundle_id", "bundle")
-        .agg(F.sort_array(F.collect_list(F.struct("path", "chunk_index", row.alias("row")))).alias("rows"))
-        .select(
-            "repo",
-            "bundle_id",
-            F.to_json(
-                F.struct("bundle", F.transform("rows", lambda r: r["row"]).alias("files"))
-            ).alias("json"),
-        )
-    )
-
-
-def summary(meta: DataFrame, pack_skips: DataFrame) -> DataFrame:
-    """Totals per repository of the chosen files and of the chunks left out."""
-    totals = meta.groupBy("repo").agg(
-        F.count("*").alias("selected_file_count"),
-        F.sum("line_count").alias("selected_total_lines"),
-        F.sum("size_bytes").alias("selected_total_bytes"),
-    )
-    left_out = pack_skips.groupBy("repo").agg(F.count("*").alias("skipped_during_pack_count"))
-    return totals.join(left_out, "repo", "left").fillna(0, ["skipped_during_pack_count"])
-
-
 def bundle_blocks(
-    chunks: DataFrame, packed: DataFrame, layout: str = "exact", redacted: bool = False
+    chunks: DataFrame,
+    packed: DataFrame,
+    layout: str = "exact",
+    redacted: bool = False,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
-    """``(repo, bundle_id, rel_path, chunk_index, block)``, joined on the file.
+    """``(region, repo, bundle_id, rel_path, chunk_index, block)``.
 
-    Texts are shuffled once here to meet their bundle numbers.  The numbers are
-    far smaller than the texts, so Spark broadcasts them when they are few.
+    Texts move once: chunks and their bundle numbers are partitioned by the same
+    regions, so the join needs no further exchange, and since a bundle lies in
+    one region, neither does grouping or writing by bundle.  ``packed`` should
+    be settled.  ``heads`` (``repo, head``) are texts that open the first bundle.
     """
+    starts = pack.region_starts(packed)
     where = packed.select("repo", "rel_path", "chunk_index", "bundle_id")
-    return render_blocks(chunks, layout, redacted).join(
-        where, ["repo", "rel_path", "chunk_index"]
-    )
+    text = F.col("block")
+    if heads is not None:
+        first = (
+            where.where(F.col("bundle_id") == 1)
+            .groupBy("repo")
+            .agg(F.min(F.struct("rel_path", "chunk_index")).alias("first"))
+            .join(heads, "repo")
+            .select("repo", "first.*", "head")
+        )
+        where = where.join(first, ["repo", "rel_path", "chunk_index"], "left")
+        text = F.concat(F.coalesce("head", F.lit("")), "block")
+    keys = ["region", "repo", "rel_path", "chunk_index"]
+    # Headers and redaction follow the join: only chosen chunks need them, and
+    # the shuffle carries plain texts.
+    joined = pack.by_region(chunks, starts).join(pack.by_region(where, starts), keys)
+    rendered = joined.withColumn("block", block(layout, redacted))
+    return rendered.select("region", "repo", "bundle_id", "rel_path", "chunk_index", text.alias("block"))
 
 
 def bundle_texts(blocks: DataFrame) -> DataFrame:
     """One row per bundle with its whole text; ``max_lines`` bounds each row."""
     ordered = "listagg(block, '') within group (order by rel_path, chunk_index)"
-    return blocks.groupBy("repo", "bundle_id").agg(
-        F.count("*").alias("chunks"), F.expr(ordered).alias("text")
-    )
-
-
-def run_result(meta: DataFrame, packed: DataFrame) -> DataFrame:
-    """Files chosen, chunks packed and bundles made, per repository."""
-    chosen = meta.groupBy("repo").agg(F.count("*").alias("files_exported"))
-    # Bundles count up from 1 without gaps, so their number is the last one.
-    made = packed.groupBy("repo").agg(
-        F.max("bundle_id").alias("bundles_created"), F.count("*").alias("chunks")
+    return (
+        blocks.groupBy("region", "repo", "bundle_id")
+        .agg(F.count("*").alias("chunks"), F.expr(ordered).alias("text"))
+        .drop("region")
     )
-    return chosen.join(made, "repo", "left").fillna(0, ["bundles_created", "chunks"])

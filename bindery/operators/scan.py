@@ -31,7 +31,7 @@ def path_reason(
 def ignore_rules(listing: DataFrame) -> DataFrame:
     """``(repo, ignore_regex)`` from the root ignore file of each tree.
 
-    ``listing`` has ``repo, rel_path`` and the text in ``content``.
+    ``listing`` has ``repo, rel_path`` and text or bytes in ``content``.
     """
     return listing.where(F.col("rel_path") == ".gitignore").select(
         "repo", ignore.ignore_regex("content").alias("ignore_regex")
@@ -91,34 +91,32 @@ def judge(listing: DataFrame) -> DataFrame:
     )
 
 
-def files(
-    listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
-) -> DataFrame:
-    """Kept files with category, counts, hash and text with unified line ends."""
-    judged = judge(with_reason(listing, skip_secrets, rules)).where(F.col("reason").isNull())
-    kind = judged.schema["content"].dataType.simpleString()
+def finish(judged: DataFrame) -> DataFrame:
+    """Kept rows of a judged listing with counts, hash and unified text."""
+    kept = judged.where(F.col("reason").isNull())
+    kind = kept.schema["content"].dataType.simpleString()
     decoded = text.decode(F.col("content")) if kind == "binary" else F.col("content")
-    size = F.col("size_bytes") if "size_bytes" in judged.columns else F.octet_length("content")
+    size = F.col("size_bytes") if "size_bytes" in kept.columns else F.octet_length("content")
     body = F.col("_text")
-    return (
-        judged.withColumn("_text", text.unify_line_ends(decoded))
-        .select(
-            "repo",
-            "rel_path",
-            "category",
-            text.line_count(body).alias("line_count"),
-            size.cast("bigint").alias("size_bytes"),
-            text.content_hash(body).alias("sha256"),
-            body.alias("content"),
-        )
+    return kept.withColumn("_text", text.unify_line_ends(decoded)).select(
+        "repo",
+        "rel_path",
+        "category",
+        text.line_count(body).alias("line_count"),
+        size.cast("bigint").alias("size_bytes"),
+        text.content_hash(body).alias("sha256"),
+        body.alias("content"),
     )
 
 
-def skips(
+def files(
     listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
 ) -> DataFrame:
-    """Left-out files per repository and reason."""
-    judged = judge(with_reason(listing, skip_secrets, rules))
+    """The files table of a listing that carries its contents."""
+    return finish(judge(with_reason(listing, skip_secrets, rules)))
+
+
+def count_reasons(judged: DataFrame) -> DataFrame:
     return (
         judged.where(F.col("reason").isNotNull())
         .groupBy("repo", "reason")
@@ -126,6 +124,13 @@ def skips(
     )
 
 
+def skips(
+    listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
+) -> DataFrame:
+    """Left-out files per repository and reason."""
+    return count_reasons(judge(with_reason(listing, skip_secrets, rules)))
+
+
 def meta(files: DataFrame) -> DataFrame:
     """The files table without its texts."""
     return files.select(*META)

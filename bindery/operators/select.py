@@ -300,6 +300,26 @@ def _listed(rows: DataFrame | None, column: str, out: str, repos: DataFrame) ->
     return repos.join(gathered, "repo", "left").withColumn(out, F.coalesce(out, _strings([])))
 
 
+def may_match(wanted: Wanted, base: str = "") -> Column:
+    """A condition every chosen row meets, from the row alone.
+
+    It keeps texts of other files out of shuffles before the exact choice joins.
+    """
+    keep = F.lit(True)
+    mode = wanted.mode
+    if wanted.categories is not None and mode in ("category", "mixed", "non_interactive"):
+        categories = naming.known_categories(wanted.categories)
+        if categories or mode == "category":
+            keep = keep & F.col("category").isin(categories)
+    words = words_of(" ".join(wanted.paths or []))
+    if words and mode in ("path", "mixed"):
+        keep = keep & (F.size(_as_words(" ".join(words), base).fits()) > 0)
+    if wanted.names and mode == "mixed":
+        name = F.lower(paths.file_name(F.col("rel_path")))
+        keep = keep & paths.any_of(F.contains(name, F.lower(F.lit(n))) for n in wanted.names)
+    return keep
+
+
 def select_files(files: DataFrame, wanted: Wanted, base: str = "") -> Selection:
     """The files a mode chooses.
 

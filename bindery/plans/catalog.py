@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import fixed, ignore, naming, paths, redact, text
-from bindery.operators import chunk, pack, render, report, scan, select, tree
+from bindery.operators import chunk, manifest, pack, render, report, scan, select, tree
 from bindery.session import settle
 from bindery.sources import tables
 
@@ -579,14 +579,14 @@ def render_redacted(spark, folder):
 
 @query
 def bundle_text(spark, folder):
-    packed = _packed(_settled_meta(spark, folder))
+    packed = settle(_packed(_settled_meta(spark, folder)))
     return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed))
 
 
 def _manifest(spark, folder) -> DataFrame:
     meta = _settled_meta(spark, folder)
     placed = render.positions(_packed(meta))
-    return render.manifest_files(placed, meta, F.col("repo"), F.lit(STAMP))
+    return manifest.manifest_files(placed, meta, F.col("repo"), F.lit(STAMP))
 
 
 @query
@@ -603,20 +603,20 @@ def manifest_files(spark, folder):
 
 @query
 def manifest_json(spark, folder):
-    return render.bundle_documents(_manifest(spark, folder))
+    return manifest.bundle_documents(_manifest(spark, folder))
 
 
 @query
 def manifest_summary(spark, folder):
     meta = _settled_meta(spark, folder)
     left_out = chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta))
-    return render.summary(meta, left_out)
+    return manifest.summary(meta, left_out)
 
 
 @query
 def run_result(spark, folder):
     meta = _settled_meta(spark, folder)
-    return render.run_result(meta, _packed(meta))
+    return manifest.run_result(meta, _packed(meta))
 
 
 # Tree and overview ------------------------------------------------------------
