@@ -97,13 +97,16 @@ def finish(judged: DataFrame) -> DataFrame:
     kind = kept.schema["content"].dataType.simpleString()
     decoded = text.decode(F.col("content")) if kind == "binary" else F.col("content")
     size = F.col("size_bytes") if "size_bytes" in kept.columns else F.octet_length("content")
+    # The generator of one row keeps filters on the counts from being pushed to
+    # the scan, where they would repeat the work on the text.
+    once = F.inline(F.array(F.struct(text.unify_line_ends(decoded).alias("_text"))))
     body = F.col("_text")
-    return kept.withColumn("_text", text.unify_line_ends(decoded)).select(
+    return kept.select("repo", "rel_path", "category", size.alias("_size"), once).select(
         "repo",
         "rel_path",
         "category",
         text.line_count(body).alias("line_count"),
-        size.cast("bigint").alias("size_bytes"),
+        F.col("_size").cast("bigint").alias("size_bytes"),
         text.content_hash(body).alias("sha256"),
         body.alias("content"),
     )
