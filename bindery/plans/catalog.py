@@ -344,22 +344,22 @@ def matched_keywords(spark, folder):
 
 @query
 def select_paths(spark, folder):
-    return select.by_path(_meta(spark, folder), TYPED_PATHS, BASE).select("repo", "rel_path")
+    return select.by_path(_settled_meta(spark, folder), TYPED_PATHS, BASE).select("repo", "rel_path")
 
 
 @query
 def missing_paths(spark, folder):
-    return select.missing_paths(_meta(spark, folder), TYPED_PATHS, BASE)
+    return select.missing_paths(_settled_meta(spark, folder), TYPED_PATHS, BASE)
 
 
 @query
 def smart_paths(spark, folder):
-    return select.smart_paths(_meta(spark, folder), TYPED_WORDS, BASE)
+    return select.smart_paths(_settled_meta(spark, folder), TYPED_WORDS, BASE)
 
 
 @query
 def mode_path_missing(spark, folder):
-    return select.top_parts_missing(_meta(spark, folder), TYPED_WORDS, BASE)
+    return select.top_parts_missing(_settled_meta(spark, folder), TYPED_WORDS, BASE)
 
 
 def _selected(spark, folder, wanted: select.Wanted) -> select.Selection:
