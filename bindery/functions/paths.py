@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from bindery.functions import fixed
 
 
+def literal_words(words) -> Column:
+    """A constant array of words; split from one literal, which folds."""
+    return F.split(F.lit("|".join(words)), "[|]")
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     """A constant map column; looking up a missing key gives null.
 
@@ -18,8 +23,7 @@ def literal_map(pairs: dict[str, str]) -> Column:
     ``create_map`` would be rewritten to a CASE with a branch per key, which
     overgrows generated code once filters repeat it.
     """
-    keys, values = ([F.lit(x) for x in side] for side in zip(*pairs.items()))
-    return F.map_from_arrays(F.array(*keys), F.array(*values))
+    return F.map_from_arrays(literal_words(pairs), literal_words(pairs.values()))
 
 
 def any_of(conditions) -> Column:
@@ -57,7 +61,7 @@ def folder(path: Column, max_depth: int = 2) -> Column:
 
 
 def has_excluded_part(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, fixed.EXCLUDED_PARTS)))
+    return F.arrays_overlap(F.split(path, "/"), literal_words(fixed.EXCLUDED_PARTS))
 
 
 def has_excluded_prefix(path: Column) -> Column:

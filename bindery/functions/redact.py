@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import paths
+from bindery.functions.text import let
 
 # The mark, white space inside a line, and line ends.
 MARK = "<REDACTED>"
@@ -201,11 +202,6 @@ def rules(mode: str = "line") -> list[Rule]:
     ]
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _lowered(text: Column) -> Column:
     """The lower-cased text, and whether it holds letters that case rules treat oddly."""
     low = F.lower(text)
@@ -242,15 +238,15 @@ def redact(text: Column, mode: str = "line") -> Column:
     def rewrite(lowered: Column) -> Column:
         out = text
         for rule in steps:
-            out = _let(out, _apply(rule, _gate(rule, text, lowered)))
+            out = let(out, _apply(rule, _gate(rule, text, lowered)))
         return out
 
-    return F.coalesce(_let(_lowered(text), rewrite), F.lit(""))
+    return F.coalesce(let(_lowered(text), rewrite), F.lit(""))
 
 
 def may_match(text: Column, mode: str = "line") -> Column:
     """False only for texts that no rule can change."""
-    return _let(
+    return let(
         _lowered(text), lambda low: paths.any_of(_gate(rule, text, low) for rule in rules(mode))
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ from bindery.functions import fixed, paths
 OTHER_LINE_ENDS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    A named column does not ensure that: Spark copies its expression into every
+    filter it pushes down.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def looks_binary(content: Column) -> Column:
     """A NUL byte among the first bytes of a binary column."""
     return F.contains(F.substring(content, 1, fixed.SNIFF_BYTES), F.lit(bytearray(b"\x00")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.session import settle
+from bindery.session import pin
 
 SLICE = "_slice"
 GROUP = "repo"
@@ -45,7 +45,7 @@ def lay_out(
         .sortWithinPartitions(GROUP, *order)
         .withColumn(SLICE, F.spark_partition_id())
     )
-    return settle(laid)
+    return pin(laid)
 
 
 def group_runs(groups: pa.Array) -> list[tuple[str, int, int]]:

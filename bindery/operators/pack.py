@@ -43,11 +43,10 @@ def describe(needs: np.ndarray, max_lines: int, whole: bool) -> np.ndarray:
         closed, at = 0, 0
         while after[at] < n:
             closed, at = closed + 1, int(after[at])
-        return np.array([[max_lines, closed, total[n] - total[at]]], dtype=np.int64)
-    closed = np.zeros(n, dtype=np.int64)
-    fill = total[n] - total[:-1]
+        return np.array([[max_lines, closed, total[n] - total[at]]], dtype=np.int32)
+    jumps, closed, fill = after.tolist(), [0] * n, (total[n] - total[:-1]).tolist()
     for i in range(n - 1, -1, -1):
-        nxt = after[i]
+        nxt = jumps[i]
         if nxt < n:
             closed[i] = closed[nxt] + 1
             fill[i] = fill[nxt]
@@ -56,7 +55,7 @@ def describe(needs: np.ndarray, max_lines: int, whole: bool) -> np.ndarray:
     if first > n:
         rows.append((total[n], -1, total[n]))
     kept = [r for i, r in enumerate(rows) if i == 0 or r[1:] != rows[i - 1][1:]]
-    return np.array(kept, dtype=np.int64)
+    return np.array(kept, dtype=np.int32)
 
 
 def apply_description(state: tuple[int, int], table: np.ndarray, max_lines: int):
@@ -103,7 +102,7 @@ def pack(
     laid = ordered.lay_out(sized, ["rel_path", "chunk_index"], slices)
 
     def advance(state, payload):
-        table = np.frombuffer(payload, dtype=np.int64).reshape(-1, 3)
+        table = np.frombuffer(payload, dtype=np.int32).reshape(-1, 3)
         return apply_description(state, table, max_lines)
 
     starts = ordered.slice_starts(

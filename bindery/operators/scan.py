@@ -119,6 +119,14 @@ def files(
     return finish(judge(with_reason(listing, skip_secrets, rules)))
 
 
+def kept_paths(
+    listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
+) -> DataFrame:
+    """``(repo, rel_path, category)`` of the kept files, without work on their texts."""
+    judged = judge(with_reason(listing, skip_secrets, rules))
+    return judged.where(F.col("reason").isNull()).select("repo", "rel_path", "category")
+
+
 def count_reasons(judged: DataFrame) -> DataFrame:
     return (
         judged.where(F.col("reason").isNotNull())

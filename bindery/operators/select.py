@@ -57,32 +57,37 @@ def by_name(files: DataFrame, needles) -> DataFrame:
     return files.where(paths.any_of(F.contains(name, F.lower(F.lit(n))) for n in needles))
 
 
-def _has_keyword(keyword: str) -> Column:
-    return F.contains(F.col("_lower"), F.lower(F.lit(keyword)))
+def _has_keyword(keyword: str, lowered: Column) -> Column:
+    return F.contains(lowered, F.lower(F.lit(keyword)))
 
 
-def _lowered(files: DataFrame) -> DataFrame:
-    return files.withColumn("_lower", F.lower(text.line_body(F.col("content"))))
+def _lowered() -> Column:
+    return F.lower(text.line_body(F.col("content")))
 
 
 def by_keyword(files: DataFrame, keywords) -> DataFrame:
     """Files whose text contains one of the keywords, in any case."""
-    hit = paths.any_of(_has_keyword(k) for k in keywords)
-    return _lowered(files).where(hit).drop("_lower")
+    hit = text.let(_lowered(), lambda low: paths.any_of(_has_keyword(k, low) for k in keywords))
+    return files.where(hit)
 
 
 def matched_keywords(files: DataFrame, keywords) -> DataFrame:
     """``(repo, keyword, files)`` for the keywords that occur, one pass over the texts."""
     lowered = list(dict.fromkeys(k.lower() for k in keywords))
-    counts = [F.count_if(_has_keyword(k)).alias(f"_k{i}") for i, k in enumerate(lowered)]
+    counts = [F.count_if(F.col(f"_h{i}")).alias(f"_k{i}") for i, k in enumerate(lowered)]
     rows = F.array(
         *[
             F.struct(F.lit(k).alias("keyword"), F.col(f"_k{i}").alias("files"))
             for i, k in enumerate(lowered)
         ]
     )
+    flags = text.let(
+        _lowered(),
+        lambda low: F.struct(*[_has_keyword(k, low).alias(f"_h{i}") for i, k in enumerate(lowered)]),
+    )
     return (
-        _lowered(files)
+        files.select("repo", flags.alias("_flags"))
+        .select("repo", "_flags.*")
         .groupBy("repo")
         .agg(*counts)
         .select("repo", F.inline(F.filter(rows, lambda r: r["files"] > 0)))

@@ -47,6 +47,18 @@ def _settled_meta(spark: SparkSession, folder: str) -> DataFrame:
     return settle(_meta(spark, folder))
 
 
+def _kept(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.kept_paths(tables.documents(spark, folder))
+
+
+def _settled_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return settle(_kept(spark, folder))
+
+
+def _settled_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return settle(_files(spark, folder).select("repo", "rel_path", "category", "line_count"))
+
+
 def _ranges(files: DataFrame) -> DataFrame:
     return chunk.chunk_ranges(files, MAX_LINES, SKIP)
 
@@ -324,12 +336,12 @@ def redact_rule_hits(spark, folder):
 @query
 def select_categories(spark, folder):
     wanted = naming.require_categories(CATEGORY_WORDS)
-    return select.in_categories(_meta(spark, folder), wanted).select("repo", "rel_path")
+    return select.in_categories(_kept(spark, folder), wanted).select("repo", "rel_path")
 
 
 @query
 def select_name_filters(spark, folder):
-    return select.by_name(_meta(spark, folder), ["F12", "docker", ".KT"]).select("repo", "rel_path")
+    return select.by_name(_kept(spark, folder), ["F12", "docker", ".KT"]).select("repo", "rel_path")
 
 
 @query
@@ -344,26 +356,26 @@ def matched_keywords(spark, folder):
 
 @query
 def select_paths(spark, folder):
-    return select.by_path(_settled_meta(spark, folder), TYPED_PATHS, BASE).select("repo", "rel_path")
+    return select.by_path(_settled_kept(spark, folder), TYPED_PATHS, BASE).select("repo", "rel_path")
 
 
 @query
 def missing_paths(spark, folder):
-    return select.missing_paths(_settled_meta(spark, folder), TYPED_PATHS, BASE)
+    return select.missing_paths(_settled_kept(spark, folder), TYPED_PATHS, BASE)
 
 
 @query
 def smart_paths(spark, folder):
-    return select.smart_paths(_settled_meta(spark, folder), TYPED_WORDS, BASE)
+    return select.smart_paths(_settled_kept(spark, folder), TYPED_WORDS, BASE)
 
 
 @query
 def mode_path_missing(spark, folder):
-    return select.top_parts_missing(_settled_meta(spark, folder), TYPED_WORDS, BASE)
+    return select.top_parts_missing(_settled_kept(spark, folder), TYPED_WORDS, BASE)
 
 
 def _selected(spark, folder, wanted: select.Wanted) -> select.Selection:
-    return select.select_files(_files(spark, folder), wanted, BASE)
+    return select.select_files(_settled_meta(spark, folder), wanted, BASE)
 
 
 @query
@@ -391,9 +403,10 @@ def select_modes(spark, folder):
         select.Wanted(mode="keyword", keywords=["license", "zzzz"]),
         select.Wanted(mode="non_interactive", paths=["lib/", "gone.py"]),
     ]
-    out = None
+    out, texts = None, _files(spark, folder)
+    meta = settle(scan.meta(texts))
     for one in wanted:
-        made = _selected(spark, folder, one)
+        made = select.select_files(texts if one.mode == "keyword" else meta, one, BASE)
         counts = made.files.groupBy("repo").agg(
             F.count("*").alias("files"), F.sum("line_count").alias("lines")
         )
@@ -441,22 +454,22 @@ def category_table(spark, folder):
 
 @query
 def tree_type_counts(spark, folder):
-    return tree.type_counts(_all_files(spark, folder))
+    return tree.type_counts(scan.kept_paths(tables.everything(spark, folder)))
 
 
 @query
 def detect_frameworks(spark, folder):
-    return report.frameworks(_meta(spark, folder))
+    return report.frameworks(_kept(spark, folder))
 
 
 @query
 def dependency_files(spark, folder):
-    return report.dependency_files(_meta(spark, folder))
+    return report.dependency_files(_kept(spark, folder))
 
 
 @query
 def reading_order(spark, folder):
-    return report.reading_order(_meta(spark, folder))
+    return report.reading_order(_kept(spark, folder))
 
 
 # Chunks and bundles -----------------------------------------------------------
@@ -484,14 +497,14 @@ def _oversized(meta: DataFrame) -> DataFrame:
 
 @query
 def oversized_chunks(spark, folder):
-    return _oversized(_meta(spark, folder)).select(
+    return _oversized(_files(spark, folder)).select(
         "repo", "path", "reason", "chunk_index", "line_count", "max_lines"
     )
 
 
 @query
 def processing_skips(spark, folder):
-    meta = _settled_meta(spark, folder)
+    meta = _settled_counts(spark, folder)
     rows = chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta))
     return rows.select(
         "repo",
@@ -505,7 +518,7 @@ def processing_skips(spark, folder):
 
 @query
 def pack_bundles(spark, folder):
-    return _packed(_settled_meta(spark, folder)).select(
+    return _packed(_settled_counts(spark, folder)).select(
         "repo", "rel_path", "chunk_index", "need", "bundle_id"
     )
 
@@ -513,16 +526,18 @@ def pack_bundles(spark, folder):
 @query
 def pack_one_tree(spark, folder):
     """All text tables as one single tree: one group, packed in parallel."""
-    one = scan.meta(_all_files(spark, folder)).withColumn(
-        "rel_path", F.concat_ws("/", "repo", "rel_path")
+    one = _all_files(spark, folder).select(
+        F.lit("everything").alias("repo"),
+        F.concat_ws("/", "repo", "rel_path").alias("rel_path"),
+        "category",
+        "line_count",
     )
-    meta = settle(one.withColumn("repo", F.lit("everything")))
-    return _packed(meta).select("repo", "rel_path", "chunk_index", "bundle_id")
+    return _packed(settle(one)).select("repo", "rel_path", "chunk_index", "bundle_id")
 
 
 @query
 def bundle_positions(spark, folder):
-    placed = render.positions(_packed(_settled_meta(spark, folder)))
+    placed = render.positions(_packed(_settled_counts(spark, folder)))
     return placed.select(
         "repo",
         "bundle_id",
@@ -537,7 +552,7 @@ def bundle_positions(spark, folder):
 
 @query
 def bundle_names(spark, folder):
-    bundles = _packed(_settled_meta(spark, folder)).select("repo", "bundle_id").distinct()
+    bundles = _packed(_settled_counts(spark, folder)).select("repo", "bundle_id").distinct()
     root, stamp = F.concat(F.lit("my "), F.col("repo")), F.lit(STAMP)
     return bundles.select(
         "repo",
@@ -579,7 +594,7 @@ def render_redacted(spark, folder):
 
 @query
 def bundle_text(spark, folder):
-    packed = settle(_packed(_settled_meta(spark, folder)))
+    packed = settle(_packed(_settled_counts(spark, folder)))
     return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed))
 
 
@@ -615,7 +630,7 @@ def manifest_summary(spark, folder):
 
 @query
 def run_result(spark, folder):
-    meta = _settled_meta(spark, folder)
+    meta = _settled_counts(spark, folder)
     return manifest.run_result(meta, _packed(meta))
 
 
@@ -624,8 +639,8 @@ def run_result(spark, folder):
 
 @query
 def tree_lines(spark, folder):
-    meta = settle(scan.meta(_all_files(spark, folder)))
-    return tree.tree_lines(settle(tree.tree_rows(meta)))
+    kept = settle(scan.kept_paths(tables.everything(spark, folder)))
+    return tree.tree_lines(settle(tree.tree_rows(kept)))
 
 
 @query

@@ -91,7 +91,15 @@ def export(
     root, overhead = F.col("repo"), render.overhead(layout)
     output = output.rstrip("/")
 
-    meta = settle(scan.meta(scanned.files))
+    result = ExportResult(output, stamp)
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        path = f"{output}/_tables_{stamp}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        result.tables[name] = path
+        return spark.read.schema(df.schema).parquet(path)
+
+    meta = store("files", scan.meta(scanned.files))
     if wanted.mode == "keyword":
         chosen = select.select_files(scanned.files, wanted, base)
         chosen_meta = settle(scan.meta(chosen.files))
@@ -104,15 +112,8 @@ def export(
     skipped = chunk.processing_skips(
         chunk.large_files(chosen_meta, warn, skip), pack.oversized(ranges, max_lines, overhead)
     )
-    result = ExportResult(output, stamp, metadata=chosen.metadata)
+    result.metadata = chosen.metadata
     result.result = manifest.run_result(chosen_meta, packed)
-
-    def store(name: str, df: DataFrame) -> DataFrame:
-        path = f"{output}/_tables_{stamp}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        result.tables[name] = path
-        return spark.read.parquet(path)
-
     result.skipped_items = store("processing_skips", skipped)
     skip_counts = store("skip_counts", scanned.skips)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,14 +48,29 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="bindery-")
+    folder = tempfile.mkdtemp(prefix="bindery-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, free of their lineage.
+    """The rows as a table in the shared folder, free of their lineage.
 
-    Used where rows feed several jobs or where partition boundaries must not
-    move; a lost executor then costs a re-read, not a recomputation.
+    Used where rows feed several jobs: later jobs read only the columns they
+    need, a lost executor costs a re-read instead of a recomputation, and Spark
+    knows the true size when it chooses joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """The rows checkpointed as they are partitioned and sorted.
+
+    Used where the partition of a row is part of the result; tables would cut and
+    merge partitions when read.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

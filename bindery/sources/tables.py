@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.functions import paths
+
 # How a document number becomes a path.
 DIRS = (
     "src|src/core|lib|docs|app/models|node_modules/pkg|build|exported_sources_old|tests||src/core/io"
@@ -22,7 +24,7 @@ SPECIAL_EVERY = 17
 
 
 def _pick(words, number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), (number % len(words)).cast("int"))
+    return F.get(paths.literal_words(words), (number % len(words)).cast("int"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
