@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import fixed
 from bindery.functions.redact import redact
-from bindery.operators import pack
+from bindery.operators import pack, tree
 
 # The rules around blocks.
 RULE = "=" * 60
@@ -138,6 +138,16 @@ def bundle_blocks(
     return rendered.select("region", "repo", "bundle_id", "rel_path", "chunk_index", text.alias("block"))
 
 
+def tree_heads(tree_rows: DataFrame, inline: DataFrame) -> DataFrame:
+    """``(repo, head)``: the tree block in front of a first bundle, for short trees."""
+    line = F.struct(*tree.ORDER, "text")
+    lines = tree_rows.join(inline, "repo", "left_semi").groupBy("repo")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n")
+    return lines.agg(
+        F.concat(F.lit(TREE_HEAD), text, F.lit(TREE_FOOT)).alias("head")
+    )
+
+
 def bundle_texts(blocks: DataFrame) -> DataFrame:
     """One row per bundle with its whole text; ``max_lines`` bounds each row."""
     ordered = "listagg(block, '') within group (order by rel_path, chunk_index)"

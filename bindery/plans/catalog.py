@@ -323,6 +323,14 @@ def redact_text(spark, folder):
     )
 
 
+@query
+def redact_whole_text(spark, folder):
+    """Redaction of each text as a whole: matches may span lines."""
+    return tables.everything(spark, folder).select(
+        "repo", "rel_path", redact.redact(F.col("content"), "text").alias("redacted")
+    )
+
+
 @query
 def redact_rule_hits(spark, folder):
     return redact.rule_hits(tables.everything(spark, folder), "content").select(
@@ -447,6 +455,13 @@ def top_folders(spark, folder):
     return report.top_folders(_all_files(spark, folder), 3)
 
 
+@query
+def folder_table(spark, folder):
+    """The table shown to users: full folders, the first fifteen."""
+    limit = fixed.FOLDERS_IN_TABLE
+    return report.top_folders(_all_files(spark, folder), limit, limit)
+
+
 @query
 def category_table(spark, folder):
     return report.category_table(_all_files(spark, folder))
@@ -634,6 +649,62 @@ def run_result(spark, folder):
     return manifest.run_result(meta, _packed(meta))
 
 
+def _documents_run(spark, folder):
+    """Settled tables of a run over all documents, with their trees."""
+    meta = _settled_meta(spark, folder)
+    packed = settle(_packed(meta))
+    rows = settle(tree.tree_rows(meta))
+    return meta, packed, rows, tree.tree_sizes(rows)
+
+
+def _manifest_with_tree(meta, packed, sizes) -> DataFrame:
+    root, stamp = F.col("repo"), F.lit(STAMP)
+    shift = sizes.select("repo", (F.col("lines") + render.TREE_EXTRA_LINES).alias("tree_line_count"))
+    rows = manifest.manifest_files(render.positions(packed, tree_lines=shift), meta, root, stamp)
+    return rows.unionByName(manifest.tree_file_rows(sizes, root, stamp))
+
+
+@query
+def manifest_with_tree(spark, folder):
+    meta, packed, _, sizes = _documents_run(spark, folder)
+    return _manifest_with_tree(meta, packed, sizes)
+
+
+@query
+def manifest_lines(spark, folder):
+    """The manifest documents, line by line."""
+    meta, packed, _, sizes = _documents_run(spark, folder)
+    skipped = settle(chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta)))
+    made = packed.groupBy("repo").agg(F.max("bundle_id").alias("bundle_count"))
+    wanted = select.Wanted(mode="non_interactive", paths=["src/", "gone.py"])
+    chosen = select.select_files(meta, wanted, BASE)
+    reasons = F.sort_array(F.collect_list(F.struct("reason", "files")))
+    counts = scan.skips(tables.documents(spark, folder)).groupBy("repo")
+    facts = settle(
+        manifest.summary(meta, skipped)
+        .join(chosen.metadata, "repo")
+        .join(made, "repo")
+        .join(counts.agg(F.map_from_entries(reasons).alias("skipped_counts")), "repo")
+        .withColumn("root", F.concat(F.lit(BASE + "/"), "repo"))
+        .withColumn("filetree", naming.tree_name(F.col("repo"), F.lit(STAMP)))
+    )
+    run = {
+        "tool": "bindery",
+        "created_at_utc": "then",
+        "max_lines_per_bundle": MAX_LINES,
+        "skip_secret_like_files": True,
+    }
+    bundles = manifest.bundle_documents(_manifest_with_tree(meta, packed, sizes))
+    return manifest.document_rows(facts, chosen.paths, meta, skipped, bundles, run)
+
+
+@query
+def bundle_text_with_tree(spark, folder):
+    meta, packed, rows, sizes = _documents_run(spark, folder)
+    heads = render.tree_heads(rows, sizes.select("repo"))
+    return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed, heads=heads))
+
+
 # Tree and overview ------------------------------------------------------------
 
 

@@ -48,16 +48,6 @@ def _tree_documents(rows: DataFrame, root: Column, stamp: str) -> DataFrame:
     )
 
 
-def _tree_heads(tree_rows: DataFrame, inline: DataFrame) -> DataFrame:
-    """``(repo, head)``: the tree block in front of a first bundle, for short trees."""
-    line = F.struct(*tree.ORDER, "text")
-    lines = tree_rows.join(inline, "repo", "left_semi").groupBy("repo")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n")
-    return lines.agg(
-        F.concat(F.lit(render.TREE_HEAD), text, F.lit(render.TREE_FOOT)).alias("head")
-    )
-
-
 def export(
     spark: SparkSession,
     scanned: Scanned,
@@ -135,7 +125,7 @@ def export(
     # Bundles: only here do texts move, once, to meet their bundle numbers.
     texts = scanned.files.where(select.may_match(wanted, base)).drop("sha256", "size_bytes")
     chunks = chunk.split_chunks(texts, max_lines, skip, overhead)
-    heads = _tree_heads(tree_rows, inline.select("repo"))
+    heads = render.tree_heads(tree_rows, inline.select("repo"))
     blocks = render.bundle_blocks(chunks, packed, layout, redacted, heads)
     bundles = blocks.sortWithinPartitions("region", "repo", "rel_path", "chunk_index").select(
         "repo",
@@ -189,12 +179,22 @@ def export(
 
 
 def export_tree(
-    spark: SparkSession, source: str, output: str, *, many: bool = False, skip_secrets: bool = True, **run
+    spark: SparkSession,
+    source: str,
+    output: str,
+    *,
+    many: bool = False,
+    skip_secrets: bool = True,
+    scanned: Scanned | None = None,
+    **run,
 ) -> ExportResult:
-    """Scan trees on disk and export them."""
+    """Scan trees on disk and export them.
+
+    ``scanned`` (see :func:`bindery.sources.trees.keep`) reuses an earlier scan.
+    """
     check_places(source, output)
     base = source.rstrip("/") if many else source.rstrip("/").rsplit("/", 1)[0]
-    scanned = scan_tree(spark, source, many, skip_secrets)
+    scanned = scanned or scan_tree(spark, source, many, skip_secrets)
     return export(spark, scanned, output, skip_secrets=skip_secrets, base=base, **run)
 
 

@@ -244,13 +244,22 @@ def _sql_text(s: str) -> str:
     return "'" + s + "'"
 
 
-def _redacted(column: str) -> str:
+def _redacted(column: str, whole: bool = False) -> str:
     out = column
     for pattern, replacement in REDACTIONS:
+        if whole:
+            pattern = _across_lines(pattern)
         out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(replacement)}, 'g')"
     return out
 
 
+def _across_lines(pattern: str) -> str:
+    """The pattern with white space and quoted values that may span lines."""
+    pattern = pattern.replace("[ \\t]*$", "[ \\x00]*$").replace("[ \\t]", "\\s")
+    pattern = pattern.replace('[^"\\n]', '[^"]').replace("[\" \\t:=]", "[\"\\s:=]")
+    return pattern.replace("[ \\x00]*$", "[ \\t]*$").replace("KEY-----[^\\n]*?", "KEY-----(?s:.)*?")
+
+
 HEX = REDACTIONS[17][0]
 
 ALIASES = {
@@ -451,6 +460,91 @@ MANIFEST_ROW = ", ".join(
     ).split()
 )
 
+TREE_TEXT = """
+tree_text as (
+  select repo, count(*) as n, string_agg(text, chr(10) order by sec, rank, top, parent, kind, name) as text
+  from t_lines group by repo)"""
+TREE_NAME = f"repo || '_file_tree_{STAMP}.txt'"
+MANIFEST_WITH_TREE = f"""
+shifted as (
+  select m.* replace (
+    bundle_start_line + case when bundle_id = 1 then n + 6 else 0 end as bundle_start_line,
+    bundle_end_line + case when bundle_id = 1 then n + 6 else 0 end as bundle_end_line,
+    physical_start_line + case when bundle_id = 1 then n + 6 else 0 end as physical_start_line,
+    physical_end_line + case when bundle_id = 1 then n + 6 else 0 end as physical_end_line)
+  from manifest m join tree_text using (repo)
+  union all by name
+  select repo, 1 as bundle_id, repo || '_bundle_001_{STAMP}.txt' as bundle, {TREE_NAME} as path, 'filetree' as category,
+    length(text) as size_bytes, '' as sha256, n + 6 as total_file_lines, 1 as chunk_index, 1 as chunk_count,
+    1 as file_start_line, n + 6 as file_end_line, n + 6 as file_line_count, 1 as bundle_start_line,
+    n + 6 as bundle_end_line, n + 6 as bundle_line_count, 1 as physical_start_line, n + 6 as physical_end_line
+  from tree_text)"""
+WITH_TREE = f"{WITH_MANIFEST}, {TREE}, {TREE_TEXT}, {MANIFEST_WITH_TREE}"
+
+JSON_SKIP = """case when stage = 1
+    then to_json({'path': path, 'reason': reason, 'line_count': line_count, 'threshold': threshold})::varchar
+    else to_json({'path': path, 'reason': reason, 'line_count': line_count, 'max_lines': max_lines})::varchar end"""
+FRAME = [
+    (0, "'{'"),
+    (0, "'\"tool\": \"bindery\",'"),
+    (0, "'\"created_at_utc\": \"then\",'"),
+    (0, f"'\"project_root\": \"{BASE}/' || repo || '\",'"),
+    (0, f"'\"max_lines_per_bundle\": {MAX_LINES},'"),
+    (0, "'\"bundle_count\": ' || n_bundles || ','"),
+    (0, "'\"skip_secret_like_files\": true,'"),
+    (0, "'\"selection\": {'"),
+    (0, "'\"selection_mode\": \"non_interactive\",'"),
+    (0, "'\"selected_categories\": [],'"),
+    (0, "'\"name_filters\": [],'"),
+    (0, "'\"missing_paths\": ' || missing || ','"),
+    (0, "'\"selected_paths\": ['"),
+    (2, "']},'"),
+    (2, "'\"selected_files\": ['"),
+    (4, "'],'"),
+    (4, f"'\"filetree\": \"' || {TREE_NAME} || '\",'"),
+    (4, "'\"summary\": {'"),
+    (4, "'\"selected_file_count\": ' || n_files || ','"),
+    (4, "'\"selected_total_lines\": ' || n_lines || ','"),
+    (4, "'\"selected_total_bytes\": ' || n_bytes || ','"),
+    (4, "'\"skipped_counts\": {' || reasons || '},'"),
+    (4, "'\"skipped_during_pack_count\": ' || n_skips || '},'"),
+    (4, "'\"skipped_during_pack\": ['"),
+    (6, "'],'"),
+    (6, "'\"bundles\": ['"),
+    (8, "']'"),
+    (8, "'}'"),
+]
+MANIFEST_LINES = f"""
+skips as (
+  select repo, 1 as stage, path, reason, line_count, threshold, null::int as max_lines, 0 as chunk_index from large
+  union all select repo, 2, path, reason, line_count, null::int, {OVERHEAD}, chunk_index from oversized),
+totals as (
+  select repo, count(*) as n_files, sum(line_count)::bigint as n_lines, sum(size_bytes)::bigint as n_bytes,
+    (select max(bundle_id) from packed p where p.repo = f.repo) as n_bundles,
+    (select count(*) from skips s where s.repo = f.repo) as n_skips,
+    case when bool_or(starts_with(rel_path, 'src/')) then '["gone.py"]' else '["gone.py","src/"]' end as missing,
+    (select string_agg('"' || reason || '":' || n, ',' order by reason) from (
+       select repo, {REASON} as reason, count(*) as n from docs where {REASON} is not null group by all) r
+     where r.repo = f.repo) as reasons
+  from files f group by repo)
+select repo, sec, rank, '' as key, text from totals cross join lateral (values
+  {", ".join(f"({sec}, {i}, {text})" for i, (sec, text) in enumerate(FRAME))}) v(sec, rank, text)
+union all
+select repo, 1, 0, path, case when path = 'gone.py' then '  ' else ' ,' end || '"' || path || '"'
+from totals cross join (values ('gone.py'), ('src')) v(path)
+union all
+select repo, 3, 0, rel_path,
+  case when row_number() over (partition by repo order by rel_path) = 1 then '  ' else ' ,' end || '"' || rel_path || '"'
+from files
+union all
+select repo, 5, stage, path || chr(0) || lpad(chunk_index::varchar, 10, '0'),
+  case when row_number() over (partition by repo order by stage, path, chunk_index) = 1 then '  ' else ' ,' end || {JSON_SKIP}
+from skips
+union all
+select repo, 7, bundle_id, '', case when bundle_id = 1 then '  ' else ' ,' end ||
+  to_json({{'bundle': any_value(bundle), 'files': list({{{MANIFEST_ROW}}} order by bundle_start_line)}})::varchar
+from shifted group by repo, bundle_id"""
+
 IGNORE = """
 trees0 as (select source as repo, min(doc_id) as low, max(doc_id) as high from documents group by source),
 listing as (
@@ -517,6 +611,7 @@ def statements() -> dict[str, str]:
         "content_sha256": f"{every} select repo, rel_path, sha256(regexp_replace(content, '\\n$', '')) as sha256 from every",
         "file_sizes": f"{every} select repo, rel_path, len({LINES})::int as line_count, octet_length(encode(content)) as size_bytes from every",
         "redact_text": f"{every} select repo, rel_path, {_redacted('content')} as redacted from every",
+        "redact_whole_text": f"{every} select repo, rel_path, {_redacted('content', whole=True)} as redacted from every",
         "redact_rule_hits": f"""{every}, n as (select len(regexp_extract_all(content, {_sql_text(HEX)})) as n from every)
             select 'hex_secret' as rule, sum(n)::bigint as hits, count(*) filter (where n > 0) as texts from n having sum(n) > 0""",
         "select_categories": f"{WITH_DOCS} select repo, rel_path from files where category in ('python', 'config_docs', 'web_ui')",
@@ -559,6 +654,10 @@ def statements() -> dict[str, str]:
             select repo, case len(parts) when 1 then '.' when 2 then parts[1] else parts[1] || '/' || parts[2] end as folder,
               count(*) as files, sum(line_count)::bigint as lines from p group by all""",
         "top_folders": f"{WITH_EVERY}, {FOLDERS % 'files'} select * from folder_places where place <= 3",
+        "folder_table": f"""{WITH_EVERY}, n as (
+            select repo, coalesce(nullif({PARENT}, ''), '.') as folder, count(*) as files, sum(line_count)::bigint as lines
+            from files group by all), p as (select *, row_number() over (partition by repo order by files desc, folder)::int as place from n)
+            select * from p where place <= 15""",
         "category_table": f"{WITH_EVERY}, {CATEGORY_TABLE % 'files'} select * from category_table",
         "tree_type_counts": f"""{WITH_EVERY}, i as (select repo, {ICON} as icon from files)
             select repo, icon, {TYPE_NAME} as type_name, count(*) as files from i group by all""",
@@ -595,6 +694,13 @@ def statements() -> dict[str, str]:
         "manifest_files": f"{WITH_MANIFEST} select * from manifest",
         "manifest_json": f"""{WITH_MANIFEST} select repo, bundle_id, to_json({{'bundle': any_value(bundle),
             'files': list({{{MANIFEST_ROW}}} order by bundle_start_line)}})::varchar as json from manifest group by all""",
+        "manifest_with_tree": f"{WITH_TREE} select * from shifted",
+        "manifest_lines": f"{WITH_TREE}, {OVERSIZED}, {LARGE}, {MANIFEST_LINES}",
+        "bundle_text_with_tree": f"""{WITH_TREE}, b as (select repo, bundle_id, count(*) as chunks,
+            string_agg({BLOCK}, '' order by rel_path, chunk_index) as body from packed group by all)
+            select repo, bundle_id, chunks, case when bundle_id = 1 then '{RULE}' || chr(10) || '===== FILETREE: Project Structure =====' ||
+              chr(10) || '{RULE}' || chr(10) || text || chr(10) || '{RULE}' || chr(10) || '===== END FILETREE =====' || chr(10) ||
+              '{RULE}' || chr(10) else '' end || body as text from b join tree_text using (repo)""",
         "manifest_summary": f"""{WITH_DOCS}, {OVERSIZED}, {LARGE},
             s as (select repo, count(*) as n from (select repo from large union all select repo from oversized) group by repo)
             select repo, count(*) as selected_file_count, sum(line_count)::bigint as selected_total_lines,

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bindery.functions import fixed
 from bindery.operators import scan
+from bindery.session import settle
 from bindery.sources.storage import is_local, open_storage
 
 SCHEMA = "repo string, rel_path string, uri string, size_bytes bigint"
@@ -207,3 +208,8 @@ def scan_tree(
     left_out = reasoned.where(F.col("reason").isNotNull()).select("repo", "reason")
     reasons = left_out.unionByName(judged.select("repo", "reason"))
     return Scanned(scan.finish(judged), scan.count_reasons(reasons))
+
+
+def keep(scanned: Scanned) -> Scanned:
+    """The scan stored as tables with their texts, for several exports of one scan."""
+    return Scanned(settle(scanned.files), settle(scanned.skips))
