@@ -91,27 +91,45 @@ def judge(listing: DataFrame) -> DataFrame:
     )
 
 
-def finish(judged: DataFrame) -> DataFrame:
-    """Kept rows of a judged listing with counts, hash and unified text."""
-    kept = judged.where(F.col("reason").isNull())
-    kind = kept.schema["content"].dataType.simpleString()
+def _with_texts(judged: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows with ``_text`` (unified line ends, null where left out) and ``_size``."""
+    kind = judged.schema["content"].dataType.simpleString()
     decoded = text.decode(F.col("content")) if kind == "binary" else F.col("content")
-    size = F.col("size_bytes") if "size_bytes" in kept.columns else F.octet_length("content")
+    size = F.col("size_bytes") if "size_bytes" in judged.columns else F.octet_length("content")
+    wanted = F.when(F.col("reason").isNull(), text.unify_line_ends(decoded))
     # The generator of one row keeps filters on the counts from being pushed to
     # the scan, where they would repeat the work on the text.
-    once = F.inline(F.array(F.struct(text.unify_line_ends(decoded).alias("_text"))))
+    once = F.inline(F.array(F.struct(wanted.alias("_text"))))
+    return judged.select(*keep, size.cast("bigint").alias("_size"), once)
+
+
+def _counted() -> list[Column]:
     body = F.col("_text")
-    return kept.select("repo", "rel_path", "category", size.alias("_size"), once).select(
-        "repo",
-        "rel_path",
-        "category",
+    return [
         text.line_count(body).alias("line_count"),
-        F.col("_size").cast("bigint").alias("size_bytes"),
+        F.col("_size").alias("size_bytes"),
         text.content_hash(body).alias("sha256"),
-        body.alias("content"),
+    ]
+
+
+def finish(judged: DataFrame) -> DataFrame:
+    """Kept rows of a judged listing with counts, hash and unified text."""
+    kept = judged.where(F.col("reason").isNull())
+    rows = _with_texts(kept, ["repo", "rel_path", "category", "reason"])
+    return rows.select(
+        "repo", "rel_path", "category", *_counted(), F.col("_text").alias("content")
     )
 
 
+def ledger(judged: DataFrame) -> DataFrame:
+    """Every row of a judged listing with its reason or its counts, without texts.
+
+    One pass over the contents that serves the files table and the skip counts.
+    """
+    rows = _with_texts(judged, ["repo", "rel_path", "category", "reason"])
+    return rows.select("repo", "rel_path", "category", "reason", *_counted())
+
+
 def files(
     listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
 ) -> DataFrame:

@@ -701,7 +701,8 @@ def manifest_lines(spark, folder):
 @query
 def bundle_text_with_tree(spark, folder):
     meta, packed, rows, sizes = _documents_run(spark, folder)
-    heads = render.tree_heads(rows, sizes.select("repo"))
+    short = sizes.where(F.col("lines") <= fixed.ONE_FILE_LINES)
+    heads = render.tree_heads(rows, short.select("repo"))
     return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed, heads=heads))
 
 

@@ -13,12 +13,7 @@ from bindery.functions import fixed, naming
 from bindery.operators import chunk, manifest, pack, render, report, scan, select, tree
 from bindery.session import settle
 from bindery.sources.documents import write_any, write_bounded, write_sorted
-from bindery.sources.trees import Scanned, scan_tree
-
-# Longer documents are written by many tasks, as folders of numbered parts.  A
-# longer tree is not repeated at the head of the first bundle, which one task
-# writes; it is whole in its own document either way.
-ONE_FILE_LINES = 100_000
+from bindery.sources.trees import Scanned, scan_listing, scan_tree
 
 
 @dataclass
@@ -61,6 +56,8 @@ def export(
     redacted: bool = False,
     overview: bool = False,
     include_tree: bool = True,
+    bundles: str = "files",
+    one_file_lines: int = fixed.ONE_FILE_LINES,
     skip_secrets: bool = True,
     base: str = "",
     stamp: str | None = None,
@@ -68,10 +65,12 @@ def export(
 ) -> ExportResult:
     """Select, split, pack, render and write; one folder per repository.
 
-    The contents of ``scanned.files`` are read twice: once for counts and hashes,
-    once for the texts of the chosen files.  Everything between works on settled
-    tables without texts.
+    Everything up to the bundles works on tables without texts; the texts of the
+    chosen files are read once, to write them.  ``bundles="table"`` writes them as
+    rows of one parquet table instead of one file each.
     """
+    if bundles not in ("files", "table"):
+        raise ValueError(f"unknown form of bundles: {bundles}")
     if max_lines <= 0:
         raise ValueError("max_lines must be greater than zero")
     wanted = wanted or select.Wanted()
@@ -89,7 +88,7 @@ def export(
         result.tables[name] = path
         return spark.read.schema(df.schema).parquet(path)
 
-    meta = store("files", scan.meta(scanned.files))
+    meta = store("files", scanned.meta)
     if wanted.mode == "keyword":
         chosen = select.select_files(scanned.files, wanted, base)
         chosen_meta = settle(scan.meta(chosen.files))
@@ -112,8 +111,8 @@ def export(
     sizes = tree.tree_sizes(tree_rows)
     firsts = packed.where(F.col("bundle_id") == 1).select("repo").distinct()
     shown = sizes.join(firsts, "repo", "left_semi")
-    inline = shown.where(F.col("lines") <= ONE_FILE_LINES) if include_tree else shown.where(F.lit(False))
-    write_any(_tree_documents(tree_rows, root, stamp), output, tree.ORDER, ONE_FILE_LINES)
+    inline = shown.where(F.col("lines") <= one_file_lines) if include_tree else shown.where(F.lit(False))
+    write_any(_tree_documents(tree_rows, root, stamp), output, tree.ORDER, one_file_lines)
 
     # Manifest table, in which the tree block shifts the first bundle.
     extra = inline.select("repo", (F.col("lines") + render.TREE_EXTRA_LINES).alias("tree_line_count"))
@@ -127,12 +126,13 @@ def export(
     chunks = chunk.split_chunks(texts, max_lines, skip, overhead)
     heads = render.tree_heads(tree_rows, inline.select("repo"))
     blocks = render.bundle_blocks(chunks, packed, layout, redacted, heads)
-    bundles = blocks.sortWithinPartitions("region", "repo", "rel_path", "chunk_index").select(
-        "repo",
-        naming.bundle_name(root, F.col("bundle_id"), F.lit(stamp)).alias("doc"),
-        F.col("block").alias("text"),
-    )
-    write_sorted(bundles, output, whole=True)
+    name = naming.bundle_name(root, F.col("bundle_id"), F.lit(stamp))
+    if bundles == "table":
+        store("bundle_texts", render.bundle_texts(blocks).withColumn("bundle", name))
+    else:
+        ordered = blocks.sortWithinPartitions("region", "repo", "rel_path", "chunk_index")
+        named = ordered.select("repo", name.alias("doc"), F.col("block").alias("text"))
+        write_sorted(named, output, whole=True)
 
     # Manifest document.
     reasons = F.sort_array(F.collect_list(F.struct("reason", "files")))
@@ -165,7 +165,7 @@ def export(
     lines = lines.withColumn("doc", naming.manifest_name(root, F.lit(stamp))).withColumn(
         "text", F.concat("text", F.lit("\n"))
     )
-    write_any(settle(lines), output, manifest.ORDER, ONE_FILE_LINES)
+    write_any(settle(lines), output, manifest.ORDER, one_file_lines)
 
     if overview:
         name = naming.manifest_name(root, F.lit(stamp))
@@ -188,10 +188,7 @@ def export_tree(
     scanned: Scanned | None = None,
     **run,
 ) -> ExportResult:
-    """Scan trees on disk and export them.
-
-    ``scanned`` (see :func:`bindery.sources.trees.keep`) reuses an earlier scan.
-    """
+    """Scan trees on disk, or take an earlier scan of them, and export."""
     check_places(source, output)
     base = source.rstrip("/") if many else source.rstrip("/").rsplit("/", 1)[0]
     scanned = scanned or scan_tree(spark, source, many, skip_secrets)
@@ -199,20 +196,31 @@ def export_tree(
 
 
 def export_listing(
-    spark: SparkSession, listing: DataFrame, output: str, *, skip_secrets: bool = True, rules: DataFrame | None = None, **run
+    spark: SparkSession,
+    listing: DataFrame,
+    output: str,
+    *,
+    skip_secrets: bool = True,
+    rules: DataFrame | None = None,
+    **run,
 ) -> ExportResult:
     """Export a table of files: ``repo, rel_path, content``."""
-    scanned = Scanned(
-        scan.files(listing, skip_secrets, rules), scan.skips(listing, skip_secrets, rules)
-    )
+    scanned = scan_listing(listing, skip_secrets, rules)
     return export(spark, scanned, output, skip_secrets=skip_secrets, **run)
 
 
-def tree_only(spark: SparkSession, source: str, output: str, *, many: bool = False, stamp: str | None = None) -> str:
+def tree_only(
+    spark: SparkSession,
+    source: str,
+    output: str,
+    *,
+    many: bool = False,
+    stamp: str | None = None,
+    one_file_lines: int = fixed.ONE_FILE_LINES,
+) -> str:
     """Write nothing but the file trees.  Secrets are always left out."""
     check_places(source, output)
     stamp = stamp or naming.stamp_now()
-    files = scan_tree(spark, source, many).files
-    rows = settle(tree.tree_rows(settle(scan.meta(files))))
-    write_any(_tree_documents(rows, F.col("repo"), stamp), output, tree.ORDER, ONE_FILE_LINES)
+    rows = settle(tree.tree_rows(scan_tree(spark, source, many).meta))
+    write_any(_tree_documents(rows, F.col("repo"), stamp), output, tree.ORDER, one_file_lines)
     return stamp

@@ -187,10 +187,29 @@ def read_contents(listing: DataFrame) -> DataFrame:
 
 @dataclass
 class Scanned:
+    """The outcome of a scan; one scan can serve several exports.
+
+    ``files`` carries the texts, ``meta`` the same rows without them.
+    """
+
     files: DataFrame
+    meta: DataFrame
     skips: DataFrame
 
 
+def from_judged(judged: DataFrame) -> Scanned:
+    rows = settle(scan.ledger(judged))
+    kept = rows.where(F.col("reason").isNull())
+    return Scanned(scan.finish(judged), scan.meta(kept), scan.count_reasons(rows))
+
+
+def scan_listing(
+    listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
+) -> Scanned:
+    """Scan a table of files; its contents stay where they are."""
+    return from_judged(scan.judge(scan.with_reason(listing, skip_secrets, rules)))
+
+
 def scan_tree(
     spark: SparkSession,
     path: str,
@@ -198,18 +217,20 @@ def scan_tree(
     skip_secrets: bool = True,
     splits: int | None = None,
 ) -> Scanned:
-    """Files tables of trees on disk.  Only paths that pass the filters are opened."""
-    listing = list_tree(spark, path, many, splits)
+    """Scan trees on disk.  Only paths that pass the filters are opened, once each.
+
+    Trees are made of many small files, so what was read is stored as a table.
+    """
+    listing = settle(list_tree(spark, path, many, splits))
     rules = scan.ignore_rules(read_contents(listing.where(F.col("rel_path") == ".gitignore")))
-    reasoned = scan.with_reason(listing, skip_secrets, rules)
+    reasoned = settle(scan.with_reason(listing, skip_secrets, rules))
     # Survivors are spread by name, so readers share the work whatever the layout.
     survivors = reasoned.where(F.col("reason").isNull()).repartition("uri")
-    judged = scan.judge(read_contents(survivors))
-    left_out = reasoned.where(F.col("reason").isNotNull()).select("repo", "reason")
-    reasons = left_out.unionByName(judged.select("repo", "reason"))
-    return Scanned(scan.finish(judged), scan.count_reasons(reasons))
-
-
-def keep(scanned: Scanned) -> Scanned:
-    """The scan stored as tables with their texts, for several exports of one scan."""
-    return Scanned(settle(scanned.files), settle(scanned.skips))
+    read = scan.judge(read_contents(survivors))
+    content = F.when(F.col("reason").isNull(), F.col("content")).alias("content")
+    left_out = reasoned.where(F.col("reason").isNotNull())
+    columns = ["repo", "rel_path", "category", "reason", "size_bytes"]
+    judged = read.select(*columns, content).unionByName(
+        left_out.select(*columns, F.lit(None).cast("binary").alias("content"))
+    )
+    return from_judged(settle(judged))

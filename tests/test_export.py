@@ -194,10 +194,9 @@ def test_range_partitioned_documents_that_fit_one_task_are_one_file(spark, tmp_p
     }
 
 
-def test_long_trees_stay_out_of_the_first_bundle(spark, source, tmp_path, monkeypatch):
-    monkeypatch.setattr(plans, "ONE_FILE_LINES", 3)
+def test_long_trees_stay_out_of_the_first_bundle(spark, source, tmp_path):
     out = tmp_path / "out"
-    plans.export_tree(spark, str(source / "other"), str(out), stamp=STAMP)
+    plans.export_tree(spark, str(source / "other"), str(out), stamp=STAMP, one_file_lines=3)
     text = (out / "other" / f"other_bundle_001_{STAMP}.txt").read_text()
     assert "FILETREE" not in text and "BEGIN FILE: app.py" in text
     assert read_text(out / "other" / f"other_file_tree_{STAMP}.txt").startswith("other/\n")
@@ -213,9 +212,21 @@ def test_tree_only(spark, source, tmp_path):
 def test_bad_calls(spark, source, tmp_path):
     with pytest.raises(ValueError, match="inside"):
         plans.export_tree(spark, str(source), str(source / "out"))
-    scanned = trees.Scanned(None, None)
+    scanned = trees.Scanned(None, None, None)
     with pytest.raises(ValueError, match="max_lines"):
         plans.export(spark, scanned, str(tmp_path), max_lines=0)
+    with pytest.raises(ValueError, match="bundles"):
+        plans.export(spark, scanned, str(tmp_path), bundles="heap")
+
+
+def test_one_scan_serves_several_exports_and_bundles_can_be_rows(spark, source, tmp_path):
+    path = str(source / "other")
+    scanned = trees.scan_tree(spark, path)
+    plans.export_tree(spark, path, str(tmp_path / "one"), scanned=scanned, stamp=STAMP)
+    run = plans.export_tree(spark, path, str(tmp_path / "two"), scanned=scanned, stamp=STAMP, bundles="table")
+    row = spark.read.parquet(run.tables["bundle_texts"]).first()
+    assert row["text"] == (tmp_path / "one" / "other" / row["bundle"]).read_text()
+    assert not (tmp_path / "two" / "other" / row["bundle"]).exists()
 
 
 def test_export_of_a_table(spark, tmp_path):
