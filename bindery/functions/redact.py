@@ -48,6 +48,7 @@ YAML_EMPTY = r"""""|''|null|~"""
 
 # Letters that a pattern without case takes for another letter.
 OTHER_CASES = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+SIGNS = [":", "=", "_"]
 ODD_LETTERS = ["\u017f", "\u0131", "\u0307"]
 
 
@@ -206,16 +207,20 @@ def _lowered(text: Column) -> Column:
     """The lower-cased text, and whether it holds letters that case rules treat oddly."""
     low = F.lower(text)
     odd = paths.any_of(F.contains(low, F.lit(c)) for c in ODD_LETTERS)
-    return F.struct(low.alias("low"), odd.alias("odd"))
+    signs = [F.contains(text, F.lit(sign)).alias(sign) for sign in SIGNS]
+    return F.struct(low.alias("low"), odd.alias("odd"), *signs)
 
 
 def _gate(rule: Rule, text: Column, lowered: Column) -> Column:
     """Whether a text has the literals of a rule; false only if it cannot match."""
     side = lowered["low"] if rule.any_case else text
-    has = reduce(
-        lambda a, b: a & b,
-        [paths.any_of(F.contains(side, F.lit(n)) for n in group) for group in rule.needs],
-    )
+
+    def one_of(group: tuple[str, ...]) -> Column:
+        if len(group) == 1 and group[0] in SIGNS:
+            return lowered[group[0]]
+        return paths.any_of(F.contains(side, F.lit(n)) for n in group)
+
+    has = reduce(lambda a, b: a & b, [one_of(group) for group in rule.needs])
     return has | lowered["odd"] if rule.any_case else has
 
 
@@ -244,6 +249,13 @@ def redact(text: Column, mode: str = "line") -> Column:
     return F.coalesce(let(_lowered(text), rewrite), F.lit(""))
 
 
+def added_lines(text: Column) -> Column:
+    """Lines that redaction per line adds: two for each key block within a line."""
+    rule = rules("line")[0]
+    blocks = F.regexp_count(text, F.lit(rule.pattern)) * rule.replacement.count("\n")
+    return F.when(F.contains(text, F.lit(rule.needs[0][0])), blocks).otherwise(0)
+
+
 def may_match(text: Column, mode: str = "line") -> Column:
     """False only for texts that no rule can change."""
     return let(

@@ -46,7 +46,7 @@ def manifest_files(placed: DataFrame, meta: DataFrame, root: Column, stamp: Colu
         F.col("line_count").alias("file_line_count"),
         "bundle_start_line",
         "bundle_end_line",
-        F.col("need").alias("bundle_line_count"),
+        F.col("block_lines").alias("bundle_line_count"),
         "physical_start_line",
         "physical_end_line",
     )

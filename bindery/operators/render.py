@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import fixed
-from bindery.functions.redact import redact
+from bindery.functions.redact import added_lines, redact
 from bindery.operators import pack, tree
 
 # The rules around blocks.
@@ -77,30 +77,45 @@ def _in_bundle() -> Window:
     return Window.partitionBy("repo", "bundle_id").orderBy("rel_path", "chunk_index")
 
 
+def grown_chunks(chunks: DataFrame) -> DataFrame:
+    """``(repo, rel_path, chunk_index, added_lines)`` of chunks that redaction lengthens."""
+    added = added_lines(F.col("text")).cast("int").alias("added_lines")
+    return chunks.select("repo", "rel_path", "chunk_index", added).where(F.col("added_lines") > 0)
+
+
 def positions(
-    packed: DataFrame, layout: str = "exact", tree_lines: DataFrame | None = None
+    packed: DataFrame,
+    layout: str = "exact",
+    tree_lines: DataFrame | None = None,
+    grown: DataFrame | None = None,
 ) -> DataFrame:
     """Line range of each block in its bundle.
 
     The recorded range counts a block as ``lines + overhead``.  Glued blocks
     share a line, so the physical range drifts by one line per earlier block.
-    ``tree_lines`` (``repo, tree_line_count``) shifts the first bundle.
+    ``tree_lines`` (``repo, tree_line_count``) shifts the first bundle; ``grown``
+    (see :func:`grown_chunks`) lengthens redacted blocks, which packing ignores.
     """
     before = _in_bundle().rowsBetween(Window.unboundedPreceding, -1)
     lead = F.lit(0)
     if tree_lines is not None:
         packed = packed.join(tree_lines, "repo", "left")
         lead = F.when(F.col("bundle_id") == 1, F.coalesce("tree_line_count", F.lit(0))).otherwise(0)
-    used = F.coalesce(F.sum("need").over(before), F.lit(0))
+    size = F.col("need")
+    if grown is not None:
+        packed = packed.join(grown, ["repo", "rel_path", "chunk_index"], "left")
+        size = size + F.coalesce("added_lines", F.lit(0))
+    packed = packed.withColumn("block_lines", size)
+    used = F.coalesce(F.sum("block_lines").over(before), F.lit(0))
     glued = F.row_number().over(_in_bundle()) - 1 if layout == "exact" else F.lit(0)
     start = F.col("bundle_start_line")
     out = (
         packed.withColumn("bundle_start_line", (lead + used + 1).cast("int"))
-        .withColumn("bundle_end_line", (start + F.col("need") - 1).cast("int"))
+        .withColumn("bundle_end_line", (start + F.col("block_lines") - 1).cast("int"))
         .withColumn("physical_start_line", (start - glued).cast("int"))
         .withColumn("physical_end_line", (F.col("bundle_end_line") - glued).cast("int"))
     )
-    return out.drop("tree_line_count")
+    return out.drop("tree_line_count", "added_lines")
 
 
 def bundle_blocks(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions import fixed, ignore, paths, text
+from bindery.functions import fixed, ignore, paths, redact, text
 
 META = ["repo", "rel_path", "category", "line_count", "size_bytes", "sha256"]
 
@@ -124,10 +124,12 @@ def finish(judged: DataFrame) -> DataFrame:
 def ledger(judged: DataFrame) -> DataFrame:
     """Every row of a judged listing with its reason or its counts, without texts.
 
-    One pass over the contents that serves the files table and the skip counts.
+    One pass over the contents that serves the files table, the skip counts, and
+    the question which files would gain lines by redaction (hardly any).
     """
     rows = _with_texts(judged, ["repo", "rel_path", "category", "reason"])
-    return rows.select("repo", "rel_path", "category", "reason", *_counted())
+    grown = redact.added_lines(F.col("_text")).alias("added_lines")
+    return rows.select("repo", "rel_path", "category", "reason", *_counted(), grown)
 
 
 def files(

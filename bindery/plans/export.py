@@ -116,13 +116,17 @@ def export(
 
     # Manifest table, in which the tree block shifts the first bundle.
     extra = inline.select("repo", (F.col("lines") + render.TREE_EXTRA_LINES).alias("tree_line_count"))
-    placed = render.positions(packed, layout, extra)
+    texts = scanned.files.where(select.may_match(wanted, base)).drop("sha256", "size_bytes")
+    grown = None
+    if redacted:
+        few = texts.join(scanned.grown, ["repo", "rel_path"], "left_semi")
+        grown = render.grown_chunks(chunk.split_chunks(few, max_lines, skip, overhead))
+    placed = render.positions(packed, layout, extra, grown)
     rows = manifest.manifest_files(placed, chosen_meta, root, F.lit(stamp))
     rows = rows.unionByName(manifest.tree_file_rows(inline, root, F.lit(stamp)))
     rows = store("manifest_files", rows)
 
     # Bundles: only here do texts move, once, to meet their bundle numbers.
-    texts = scanned.files.where(select.may_match(wanted, base)).drop("sha256", "size_bytes")
     chunks = chunk.split_chunks(texts, max_lines, skip, overhead)
     heads = render.tree_heads(tree_rows, inline.select("repo"))
     blocks = render.bundle_blocks(chunks, packed, layout, redacted, heads)

@@ -189,18 +189,21 @@ def read_contents(listing: DataFrame) -> DataFrame:
 class Scanned:
     """The outcome of a scan; one scan can serve several exports.
 
-    ``files`` carries the texts, ``meta`` the same rows without them.
+    ``files`` carries the texts, ``meta`` the same rows without them.  ``grown``
+    names the files that redaction makes longer.
     """
 
     files: DataFrame
     meta: DataFrame
     skips: DataFrame
+    grown: DataFrame
 
 
 def from_judged(judged: DataFrame) -> Scanned:
     rows = settle(scan.ledger(judged))
     kept = rows.where(F.col("reason").isNull())
-    return Scanned(scan.finish(judged), scan.meta(kept), scan.count_reasons(rows))
+    grown = kept.where(F.col("added_lines") > 0).select("repo", "rel_path")
+    return Scanned(scan.finish(judged), scan.meta(kept), scan.count_reasons(rows), grown)
 
 
 def scan_listing(
