@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.functions import fixed, ignore, naming, paths, redact, text
+from bindery.functions import fixed, naming, paths, redact, text
 from bindery.operators import chunk, manifest, pack, render, report, scan, select, tree
 from bindery.session import settle
 from bindery.sources import tables

@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from bindery.operators import render
 from bindery.operators.select import Wanted
