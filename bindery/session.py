@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,8 @@ def local_session(cores: str = "8", app: str = "bindery", **conf) -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Where it is unset, a folder of this application in the session's warehouse, which
+    Spark itself requires to be shared, is set; it goes when the application ends.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
@@ -46,23 +46,32 @@ def shared_dir(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="bindery-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/_staging/{context.applicationId}"
+    drop_at_end(spark, folder)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the folder's own file system delete it when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, free of their lineage.
 
     Used where rows feed several jobs: later jobs read only the columns they
     need, a lost executor costs a re-read instead of a recomputation, and Spark
-    knows the true size when it chooses joins.
+    knows the true size when it chooses joins.  The table goes with the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    drop_at_end(spark, path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
