@@ -29,7 +29,7 @@ from bindery.llm.common import WordHashes, long_lists, rolling
 from bindery.llm.components import components
 from bindery.session import settle
 
-KEPT, SIGMAS = 128, 6.0
+KEPT, SIGMAS = 256, 4.5
 #: Values of most lists that are known by their frequency; the order of the others is their own.
 FREQUENT, OFTEN = 65_536, 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), sketch(docs["text"]).alias("_")).select("id", "_.*")
 
 
-def frequent_values(classes: DataFrame) -> np.ndarray:
+def frequent_values(rows: DataFrame) -> np.ndarray:
     """Rows (value, count) of the most frequent sketch values, by value; at most ``FREQUENT``.
 
     Counts are summed from those of Arrow batches with several occurrences.  They only order
@@ -91,40 +91,89 @@ def frequent_values(classes: DataFrame) -> np.ndarray:
             often = counts >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(values[often], pa.int32()), pa.array(counts[often], pa.int64())], ["value", "seen"])
 
-    found = classes.select("sketch").mapInArrow(count, "value int, seen bigint").groupBy("value").agg(F.sum("seen").alias("seen"))
-    rows = found.orderBy(F.desc("seen"), "value").limit(FREQUENT).collect()
-    return np.array(sorted((r["value"], r["seen"]) for r in rows), np.int64).reshape(-1, 2)
+    found = rows.select("sketch").mapInArrow(count, "value int, seen bigint").groupBy("value").agg(F.sum("seen").alias("seen"))
+    top = found.orderBy(F.desc("seen"), "value").limit(FREQUENT).collect()
+    return np.array(sorted((r["value"], r["seen"]) for r in top), np.int64).reshape(-1, 2)
 
 
-def rarest(classes: DataFrame, percent: int) -> DataFrame:
-    """The classes with ``prefix``: the rarest sketch values, one of which any linked class has in its own."""
-    known = frequent_values(classes)
-    values, seen = known[:, 0].astype(np.int32), known[:, 1]
+def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
+    """Inverted lists with two members or more: ``value``, ``mark`` and the smallest mark, ``center``.
+
+    Values are sorted within tasks and streamed, so a list of any length is never held; the
+    center has no row of its own.  Repeated marks of a batch are skipped, as copies need no lists.
+    """
 
     @F.arrow_udf("array<int>")
-    def first(lists: pa.Array, sizes: pa.Array) -> pa.Array:
-        parts = []
-        for sketch, size in zip(lists, sizes.to_pylist(), strict=True):
-            sketch = np.asarray(sketch.as_py(), np.int32)
-            often = np.zeros(len(sketch), np.int64)
-            if len(values):
-                at = np.searchsorted(values, sketch).clip(max=len(values) - 1)
-                often = np.where(values[at] == sketch, seen[at], 0)
-            parts.append(np.sort(sketch[np.lexsort((sketch, often))[:size]]))
+    def prefix(sketches: pa.Array, sizes: pa.Array, marks: pa.Array) -> pa.Array:
+        seen, parts = set(), []
+        for sketch, size, mark in zip(sketches, sizes.to_pylist(), marks.to_pylist(), strict=True):
+            parts.append(np.empty(0, np.int32) if mark in seen else by_rarity(sketch, known)[:size])
+            seen.add(mark)
         return long_lists(parts, pa.int32())
 
-    size = F.size("sketch")
-    return classes.withColumn("prefix", first("sketch", (size - least_shared(size, percent) + 1).cast("int")))
+    def runs(batches):
+        last = (None, 0, 0, 0, 0)  # value, center and mark of the row before
+        for batch in batches:
+            value, x, y = (c.to_numpy() for c in batch.columns)
+            if not len(value):
+                continue
+            place = np.arange(len(value))
+            fresh = np.concatenate(([value[0] != last[0]], value[1:] != value[:-1]))
+            start = np.maximum.accumulate(np.where(fresh, place, -1))
+            first_x, first_y = np.where(start < 0, last[1], x[start]), np.where(start < 0, last[2], y[start])
+            again = np.concatenate(([(x[0], y[0]) == last[3:]], (x[1:] == x[:-1]) & (y[1:] == y[:-1]))) & ~fresh
+            out = ((x != first_x) | (y != first_y)) & ~again
+            last = (value[-1], first_x[-1], first_y[-1], x[-1], y[-1])
+            columns = (value, x, y, first_x, first_y)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["value", "x", "y", "first_x", "first_y"])
+
+    chosen = prefix("sketch", prefix_size(F.size("sketch"), percent), F.col("mark")["a"])
+    values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"))
+    ordered = values.repartition("value").sortWithinPartitions("value", "x", "y")
+    found = ordered.mapInArrow(runs, "value int, x bigint, y bigint, first_x bigint, first_y bigint")
+    mark, center = F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("first_x").alias("a"), F.col("first_y").alias("b"))
+    return settle(found.select("value", mark.alias("mark"), center.alias("center")))
+
+
+def by_rarity(sketch: pa.ListScalar, known: np.ndarray) -> np.ndarray:
+    """The sketch values, those of unknown frequency first, then by frequency."""
+    sketch = np.asarray(sketch.as_py(), np.int32)
+    if not len(known):
+        return sketch
+    at = np.searchsorted(known[:, 0], sketch).clip(max=len(known) - 1)
+    return sketch[np.lexsort((sketch, np.where(known[at, 0] == sketch, known[at, 1], 0)))]
+
+
+def prefix_size(size: Column, percent: int) -> Column:
+    """How many of the rarest values of a sketch hold one of any linked sketch's."""
+    return (size - least_shared(size, percent) + 1).cast("int")
+
+
+def members_of(rows: DataFrame, lists: DataFrame, known: np.ndarray) -> DataFrame:
+    """For each mark in a list, ``cls`` (its smallest doc_id), ``n`` and ``sketch``, the rarest values first."""
+
+    @F.arrow_udf("array<int>")
+    def rare(sketches: pa.Array) -> pa.Array:
+        return long_lists([by_rarity(s, known) for s in sketches], pa.int32())
+
+    marks = settle(lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct())
+    found = rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return settle(found.withColumn("sketch", rare("sketch")))
+
+
+def sizes_allow(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
 
 
-def similar(a: str, b: str, percent: int) -> Column:
-    """Whether two list members (structs with ``cls``, ``n``, ``prefix``, ``sketch``) stay a candidate pair in list ``value``."""
-    x, y = F.col(a), F.col(b)
-    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-    once = F.array_min(F.array_intersect(x["prefix"], y["prefix"])) == F.col(f"{a}_value")
-    shared = F.size(F.array_intersect(x["sketch"], y["sketch"]))
+def shared_enough(x: Column, y: Column, percent: int) -> Column:
     need = F.greatest(least_shared(F.size(x["sketch"]), percent), least_shared(F.size(y["sketch"]), percent))
-    return sizes & once & (shared >= need)
+    return F.size(F.array_intersect(x["sketch"], y["sketch"])) >= need
+
+
+def first_list(x: Column, y: Column, value: Column, percent: int) -> Column:
+    """Whether list ``value`` is the one of all lists the two share that their pair is taken from."""
+    heads = [F.slice(m["sketch"], F.lit(1), prefix_size(F.size(m["sketch"]), percent)) for m in (x, y)]
+    return F.array_min(F.array_intersect(*heads)) == value
 
 
 def estimated(pairs: DataFrame, percent: int) -> DataFrame:
@@ -162,34 +211,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between classes that join all components of the similarity."""
-    rare = settle(rarest(classes.where(F.size("sketch") > 0), percent))
-    values = rare.select("cls", F.explode("prefix").alias("value"))
-    centers = values.groupBy("value").agg(F.min("cls").alias("center"), F.count("*").alias("size")).where("size > 1")
-    lists = settle(values.join(settle(centers), "value").select("value", "cls", "center"))
-    member = F.struct("cls", "n", "prefix", "sketch")
-    known = rare.select(F.col("cls").alias("_cls"), member.alias("m"))
-    # Step one: every member with the smallest class of its list.
-    stars = lists.where("cls <> center").join(known.withColumnRenamed("m", "y"), F.col("cls") == F.col("_cls")).drop("_cls")
-    stars = stars.join(known.withColumnRenamed("m", "x"), F.col("center") == F.col("_cls")).withColumn("x_value", F.col("value"))
-    stars = settle(estimated(stars.where(similar("x", "y", percent)), percent))
-    near = settle(confirmed(stars, docs, words, percent))
+    known = frequent_values(rows)
+    lists = lists_of(rows, known, percent)
+    members = members_of(rows, lists, known)
+    member = F.struct("cls", "n", "sketch")
+    x, y = F.col("x"), F.col("y")
+    # Step one: every member with its list's center, each pair once.
+    stars = lists.select("mark", "center").distinct()
+    stars = stars.join(members.select("mark", member.alias("y")), "mark").join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
+    stars = stars.where(sizes_allow(x, y, percent)).where(shared_enough(x, y, percent))
+    near = settle(confirmed(settle(estimated(stars, percent)), docs, words, percent))
     joined = components(near)
     # Step two: members of different components, each against all of its list but the largest component.
-    placed = lists.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left")
-    placed = placed.select("value", "cls", F.coalesce("component", "cls").alias("component"))
+    parts = members.select("mark", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    parts = settle(parts.select("mark", F.coalesce("component", "cls").alias("component")))
+    everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
+    placed = settle(everyone.join(parts, "mark"))
     sizes = placed.groupBy("value", "component").agg(F.count("*").alias("size"))
-    mixed_lists = sizes.groupBy("value").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("total"))
+    mixed_lists = sizes.groupBy("value").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("total")
+    )
     # Lists of two are done: their pair was a star.
-    open_lists = settle(placed.join(settle(mixed_lists.where("parts > 1 and total > 2").select("value", "main")), "value"))
-    full = settle(open_lists.join(known, F.col("cls") == F.col("_cls")).select("value", "component", "main", "m"))
-    left = full.where("component <> main").select(F.col("value").alias("x_value"), F.col("component").alias("x_component"), F.col("m").alias("x"))
-    right = full.select(F.col("value").alias("y_value"), F.col("component").alias("y_component"), (F.col("component") == F.col("main")).alias("y_main"), F.col("m").alias("y"))
-    once = F.col("y_main") | (F.col("x.cls") < F.col("y.cls"))
-    pairs = left.join(right, (F.col("x_value") == F.col("y_value")) & (F.col("x_component") != F.col("y_component")) & once & similar("x", "y", percent))
-    pairs = settle(estimated(pairs, percent)).join(stars.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
-    rest = confirmed(settle(pairs), docs, words, percent)
+    open_lists = settle(mixed_lists.where("parts > 1 and total > 2").select("value", "main"))
+    full = placed.join(open_lists, "value").join(members.select("mark", member.alias("m")), "mark")
+    full = settle(full.select("value", "component", (F.col("component") == F.col("main")).alias("in_main"), "m"))
+    left = full.where("not in_main").select("value", F.col("component").alias("x_component"), F.col("m").alias("x"))
+    right = full.select(F.col("value").alias("y_value"), F.col("component").alias("y_component"), "in_main", F.col("m").alias("y"))
+    once = F.col("in_main") | (F.col("x.cls") < F.col("y.cls"))
+    apart = (F.col("value") == F.col("y_value")) & (F.col("x_component") != F.col("y_component")) & once
+    test = sizes_allow(x, y, percent) & first_list(x, y, F.col("value"), percent) & shared_enough(x, y, percent)
+    rest = confirmed(settle(estimated(left.join(right, apart & test), percent)), docs, words, percent)
     return near.union(rest)
 
 
@@ -197,13 +250,10 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable."""
     rows = settle(sketches(docs, words))
     named = rows.where("id is not null and n > 0")
-    # Classes of equal sets; a doc_id that repeats with other texts links its classes below.
-    classes = named.groupBy("mark").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = settle(classes)
-    # A class is read again by its doc_id, which must have one set.
-    owners = settle(named.select("id", "mark").distinct().join(classes.select("mark", "cls"), "mark").select("id", "mark", "cls"))
-    found = links(classes, docs, words, percent)
-    own = owners.where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))
+    found = links(named, docs, words, percent)
+    # Rows of equal sets are one class, named by the smallest doc_id.
+    least = named.groupBy("mark").agg(F.min("id").alias("cls"), F.max("id").alias("last")).where("cls <> last").select("mark", "cls")
+    own = named.select("id", "mark").join(least, "mark").where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))
     joined = components(found.union(own))
     out = rows.select("id", "n").join(joined, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
