@@ -196,8 +196,10 @@ def search(vectors: DataFrame, query: Column, k: int = 20, **parameters) -> Data
         best_in_block(k), "cls bigint, found array<struct<score:double,cls:bigint>>"
     )
     # The best of all blocks; a block gives at most k + 1.
-    every = F.array_distinct(F.flatten(F.collect_list("found")))
-    best = F.slice(F.array_sort(F.transform(every, lambda f: F.struct((-f["score"]).alias("less"), f["cls"].alias("near")))), 1, k + 1)
+    every = F.transform(F.flatten(F.collect_list("found")), lambda f: F.struct((-f["score"]).alias("less"), f["cls"].alias("near")))
+    # A class lies in one block of each table, so it comes at most that often.
+    head = F.slice(F.sort_array(every), 1, (k + 1) * hashing.tables)
+    best = F.slice(F.array_distinct(head), 1, k + 1)
     best = found.groupBy("cls").agg(best.alias("best")).select("cls", F.explode("best").alias("_")).select("cls", "_.less", "_.near")
     members = best.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "less", F.explode("ids").alias("id"))
     lists = members.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("less", "id"))).alias("best"))
