@@ -74,7 +74,7 @@ def canonical_category(word: Column) -> Column:
     """Category a word stands for, or null."""
     key = F.lower(F.trim(word))
     known = {c: c for c in fixed.CATEGORY_DESCRIPTIONS}
-    return paths.literal_map({**known, **fixed.spread(fixed.CATEGORY_ALIASES)})[key]
+    return paths.literal_map({**known, **fixed.CATEGORY_ALIASES})[key]
 
 
 def categories_of(raw: Column) -> Column:
@@ -92,7 +92,7 @@ def unknown_categories(raw: Column) -> Column:
 def known_categories(words) -> list[str]:
     """Driver-side twin of :func:`categories_of` for a user's word list."""
     lookup = {c: c for c in fixed.CATEGORY_DESCRIPTIONS}
-    lookup.update(fixed.spread(fixed.CATEGORY_ALIASES))
+    lookup.update(fixed.CATEGORY_ALIASES)
     keys = [w.strip().lower() for w in words]
     return list(dict.fromkeys(lookup[k] for k in keys if k in lookup))
 

@@ -122,9 +122,9 @@ def icon(path: Column, category: Column | None = None) -> Column:
     The icon table is keyed by names and suffixes alike, so a file whose whole
     name is a listed suffix (``.py``) also finds its icon by name.
     """
-    suffixes = fixed.spread(fixed.SUFFIX_ICONS)
+    suffixes = fixed.SUFFIX_ICONS
     levels = [
-        literal_map({**suffixes, **fixed.spread(fixed.NAME_ICONS)})[file_name(path)],
+        literal_map({**suffixes, **fixed.NAME_ICONS})[file_name(path)],
         literal_map(suffixes)[suffix(path)],
     ]
     if category is not None:

@@ -43,14 +43,16 @@ def room(max_lines: int, overhead: int = fixed.EXACT_OVERHEAD) -> int:
     return max_lines - overhead if max_lines > overhead else max_lines
 
 
-def _fitting(files: DataFrame, skip: int) -> DataFrame:
-    return files.where((F.col("line_count") > 0) & (F.col("line_count") < skip))
+def _fitting(files: DataFrame, skip: int | None) -> DataFrame:
+    """The files to cut; ``skip=None`` leaves none out for its length."""
+    some = files.where(F.col("line_count") > 0)
+    return some if skip is None else some.where(F.col("line_count") < skip)
 
 
 def chunk_ranges(
     files: DataFrame,
     max_lines: int = fixed.MAX_LINES,
-    skip: int = fixed.SKIP_LINES,
+    skip: int | None = fixed.SKIP_LINES,
     overhead: int = fixed.EXACT_OVERHEAD,
 ) -> DataFrame:
     """Line ranges of the chunks of each file; needs counts only, no text."""
@@ -60,7 +62,7 @@ def chunk_ranges(
 def split_chunks(
     files: DataFrame,
     max_lines: int = fixed.MAX_LINES,
-    skip: int = fixed.SKIP_LINES,
+    skip: int | None = fixed.SKIP_LINES,
     overhead: int = fixed.EXACT_OVERHEAD,
 ) -> DataFrame:
     """Chunks with their lines joined by line feeds in ``text``."""

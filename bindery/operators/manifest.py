@@ -139,6 +139,8 @@ def document_rows(
     so no task ever holds a whole manifest.  ``facts`` has one row per repository
     with the totals, the selection, ``root``, ``manifest`` and ``filetree``.
     """
+    # Elements are told apart by value, so each stands once.
+    selected_paths = selected_paths.select("repo", "path").distinct()
     firsts = (
         facts.select("repo")
         .join(selected_paths.groupBy("repo").agg(F.min("path").alias("first_path")), "repo", "left")

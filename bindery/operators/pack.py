@@ -143,21 +143,19 @@ def region_starts(packed: DataFrame) -> list[tuple[str, str, int]]:
     return sorted(tuple(row["key"]) for row in rows)
 
 
-def region_of(starts: list[tuple[str, str, int]]) -> Column:
-    """Number of the region a chunk belongs to, from its key alone."""
+def region_of(starts: list[tuple[str, str, int]], index: str = "chunk_index") -> Column:
+    """Number of the region a chunk belongs to, from its key alone: the starts not above it.
 
-    @F.pandas_udf(T.IntegerType())
-    def locate(repo: pd.Series, rel_path: pd.Series, chunk_index: pd.Series) -> pd.Series:
-        keys = zip(repo, rel_path, chunk_index)
-        return pd.Series([bisect_right(starts, key) for key in keys], dtype="int32")
-
-    # The coalesce tells Spark that the number is never null.
-    return F.coalesce(locate("repo", "rel_path", "chunk_index"), F.lit(0))
+    A comparison per start that the JVM makes; there is one start per slice at most.
+    """
+    keys = F.array(*[F.struct(F.lit(r).alias("repo"), F.lit(p).alias("rel_path"), F.lit(i).cast("int").alias("i")) for r, p, i in starts])
+    own = F.struct(F.col("repo").alias("repo"), F.col("rel_path").alias("rel_path"), F.col(index).cast("int").alias("i"))
+    return F.size(F.filter(keys, lambda k: k <= own)) if starts else F.lit(0)
 
 
-def by_region(df: DataFrame, starts: list[tuple[str, str, int]]) -> DataFrame:
+def by_region(df: DataFrame, starts: list[tuple[str, str, int]], index: str = "chunk_index") -> DataFrame:
     """Rows partitioned by region, one partition each, with the number in ``region``."""
-    numbered = df.withColumn("region", region_of(starts))
+    numbered = df.withColumn("region", region_of(starts, index))
     return numbered.repartitionById(len(starts) + 1, F.col("region"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import fixed
 from bindery.functions.redact import added_lines, redact
-from bindery.operators import pack, tree
+from bindery.operators import pack
 
 # The rules around blocks.
 RULE = "=" * 60
@@ -130,37 +130,45 @@ def bundle_blocks(
     Texts move once: chunks and their bundle numbers are partitioned by the same
     regions, so the join needs no further exchange, and since a bundle lies in
     one region, neither does grouping or writing by bundle.  ``packed`` should
-    be settled.  ``heads`` (``repo, head``) are texts that open the first bundle.
+    be settled.  ``heads`` (``repo, place, head``) are lines that open the first
+    bundle: rows in front of its first chunk, with negative places for a chunk index.
     """
     starts = pack.region_starts(packed)
     where = packed.select("repo", "rel_path", "chunk_index", "bundle_id")
-    text = F.col("block")
+    numbered = chunks.withColumn("anchor", F.col("chunk_index"))
     if heads is not None:
         first = (
             where.where(F.col("bundle_id") == 1)
             .groupBy("repo")
-            .agg(F.min(F.struct("rel_path", "chunk_index")).alias("first"))
-            .join(heads, "repo")
-            .select("repo", "first.*", "head")
+            .agg(F.min(F.struct("rel_path", F.col("chunk_index").alias("anchor"))).alias("first"))
+            .select("repo", "first.*")
         )
-        where = where.join(first, ["repo", "rel_path", "chunk_index"], "left")
-        text = F.concat(F.coalesce("head", F.lit("")), "block")
+        lines = heads.join(first, "repo").select(
+            "repo", "rel_path", "anchor", F.col("place").cast(chunks.schema["chunk_index"].dataType).alias("chunk_index"), "head"
+        )
+        numbered = numbered.unionByName(lines, allowMissingColumns=True)
+    else:
+        numbered = numbered.withColumn("head", F.lit(None).cast("string"))
     keys = ["region", "repo", "rel_path", "chunk_index"]
     # Headers and redaction follow the join: only chosen chunks need them, and
     # the shuffle carries plain texts.
-    joined = pack.by_region(chunks, starts).join(pack.by_region(where, starts), keys)
-    rendered = joined.withColumn("block", block(layout, redacted))
-    return rendered.select("region", "repo", "bundle_id", "rel_path", "chunk_index", text.alias("block"))
-
-
-def tree_heads(tree_rows: DataFrame, inline: DataFrame) -> DataFrame:
-    """``(repo, head)``: the tree block in front of a first bundle, for short trees."""
-    line = F.struct(*tree.ORDER, "text")
-    lines = tree_rows.join(inline, "repo", "left_semi").groupBy("repo")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), "\n")
-    return lines.agg(
-        F.concat(F.lit(TREE_HEAD), text, F.lit(TREE_FOOT)).alias("head")
-    )
+    joined = pack.by_region(numbered, starts, "anchor").join(pack.by_region(where, starts), keys, "left")
+    bundle = F.when(F.col("head").isNotNull(), 1).otherwise(F.col("bundle_id")).cast(where.schema["bundle_id"].dataType)
+    text = F.coalesce("head", block(layout, redacted))
+    rendered = joined.withColumn("block", text).withColumn("bundle_id", bundle)
+    return rendered.where("bundle_id is not null").select("region", "repo", "bundle_id", "rel_path", "chunk_index", "block")
+
+
+def tree_heads(lines: DataFrame, inline: DataFrame) -> DataFrame:
+    """``(repo, place, head)``: the tree block in front of a first bundle, one row per line.
+
+    ``lines`` are numbered (``repo, line_no, text``); places rise with them and are all negative.
+    """
+    chosen = lines.join(inline, "repo", "left_semi")
+    place = F.col("line_no") - F.lit(1 << 30)
+    first = F.when(F.col("line_no") == 1, F.lit(TREE_HEAD)).otherwise("\n")
+    body = chosen.select("repo", place.cast("int").alias("place"), F.concat(first, "text").alias("head"))
+    return body.unionByName(inline.select("repo", F.lit(-1).alias("place"), F.lit(TREE_FOOT).alias("head")))
 
 
 def bundle_texts(blocks: DataFrame) -> DataFrame:
@@ -168,6 +176,6 @@ def bundle_texts(blocks: DataFrame) -> DataFrame:
     ordered = "listagg(block, '') within group (order by rel_path, chunk_index)"
     return (
         blocks.groupBy("region", "repo", "bundle_id")
-        .agg(F.count("*").alias("chunks"), F.expr(ordered).alias("text"))
+        .agg(F.count_if(F.col("chunk_index") > 0).alias("chunks"), F.expr(ordered).alias("text"))
         .drop("region")
     )

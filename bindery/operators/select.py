@@ -393,7 +393,9 @@ def select_files(files: DataFrame, wanted: Wanted, base: str = "") -> Selection:
         "missing_paths",
     )
     if found is None:
-        selected = repos.select("repo", F.explode(_strings(typed)).alias("path"))
+        root = F.concat(F.lit(base.rstrip("/") + "/" if base else ""), "repo")
+        inside = F.array_distinct(F.array(*[naming.path_input(F.lit(t), root) for t in typed]).cast("array<string>"))
+        selected = repos.select("repo", F.explode(inside).alias("path"))
     else:
         selected = found.select("repo", F.col("rel_path").alias("path"))
     return Selection(chosen, metadata, selected)

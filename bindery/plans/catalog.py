@@ -13,7 +13,8 @@ from bindery.session import settle
 from bindery.sources import tables
 
 # Run parameters of the queries: small enough that every size band and real
-# splitting occur in the test tables.
+# splitting occur in the test tables.  SKIP bounds the reported band alone; texts of any
+# length are split and packed.
 MAX_LINES, WARN, SKIP = 40, 30, 60
 STAMP = "20260102T030405Z"
 BASE = "/corpus"
@@ -60,7 +61,7 @@ def _settled_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranges(files: DataFrame) -> DataFrame:
-    return chunk.chunk_ranges(files, MAX_LINES, SKIP)
+    return chunk.chunk_ranges(files, MAX_LINES, None)
 
 
 def _packed(meta: DataFrame) -> DataFrame:
@@ -289,7 +290,7 @@ def run_timestamp(spark, folder):
     return events.select(
         "event_id",
         stamp.alias("stamp"),
-        naming.is_stamp(stamp).alias("is_stamp"),
+        naming.is_stamp(F.when(F.col("value") > 5, stamp).otherwise(F.col("event_type"))).alias("is_stamp"),
         naming.stamp_of_dir(name, F.lit(STAMP)).alias("dir_stamp"),
     )
 
@@ -502,12 +503,12 @@ def large_file_bands(spark, folder):
 
 @query
 def split_chunks(spark, folder):
-    return chunk.split_chunks(_all_files(spark, folder), MAX_LINES, SKIP)
+    return chunk.split_chunks(_all_files(spark, folder), MAX_LINES, None)
 
 
 def _oversized(meta: DataFrame) -> DataFrame:
     # With a budget at the overhead, every full chunk exceeds it.
-    return pack.oversized(chunk.chunk_ranges(meta, fixed.EXACT_OVERHEAD, SKIP), fixed.EXACT_OVERHEAD)
+    return pack.oversized(chunk.chunk_ranges(meta, fixed.EXACT_OVERHEAD, None), fixed.EXACT_OVERHEAD)
 
 
 @query
@@ -580,7 +581,7 @@ def bundle_names(spark, folder):
 
 
 def _chunks(spark, folder) -> DataFrame:
-    return chunk.split_chunks(_files(spark, folder), MAX_LINES, SKIP)
+    return chunk.split_chunks(_files(spark, folder), MAX_LINES, None)
 
 
 @query
@@ -676,7 +677,7 @@ def manifest_lines(spark, folder):
     meta, packed, _, sizes = _documents_run(spark, folder)
     skipped = settle(chunk.processing_skips(chunk.large_files(meta, WARN, SKIP), _oversized(meta)))
     made = packed.groupBy("repo").agg(F.max("bundle_id").alias("bundle_count"))
-    wanted = select.Wanted(mode="non_interactive", paths=["src/", "gone.py"])
+    wanted = select.Wanted(mode="non_interactive", paths=["src/", "gone.py", "src"])
     chosen = select.select_files(meta, wanted, BASE)
     reasons = F.sort_array(F.collect_list(F.struct("reason", "files")))
     counts = scan.skips(tables.documents(spark, folder)).groupBy("repo")
@@ -701,11 +702,17 @@ def manifest_lines(spark, folder):
 @query
 def bundle_text_with_tree(spark, folder):
     meta, packed, rows, sizes = _documents_run(spark, folder)
-    short = sizes.where(F.col("lines") <= fixed.ONE_FILE_LINES)
-    heads = render.tree_heads(rows, short.select("repo"))
+    heads = render.tree_heads(tree.tree_lines(rows), sizes.select("repo"))
     return render.bundle_texts(render.bundle_blocks(_chunks(spark, folder), packed, heads=heads))
 
 
+@query
+def selected_paths(spark, folder):
+    """The typed paths a manifest lists: relative to their root, each once, blanks left out."""
+    typed = ["src/", "src", " lib/ ", " ", "lib", f"{BASE}/src1/docs/", f"{BASE}/src1"]
+    return select.select_files(_meta(spark, folder), select.Wanted(mode="non_interactive", paths=typed), BASE).paths
+
+
 # Tree and overview ------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from bindery import __version__
 from bindery.functions import fixed, naming
 from bindery.operators import chunk, manifest, pack, render, report, scan, select, tree
 from bindery.session import settle
-from bindery.sources.documents import write_any, write_bounded, write_sorted
+from bindery.sources.documents import write_documents, write_sorted
 from bindery.sources.trees import Scanned, scan_listing, scan_tree
 
 
@@ -57,7 +57,6 @@ def export(
     overview: bool = False,
     include_tree: bool = True,
     bundles: str = "files",
-    one_file_lines: int = fixed.ONE_FILE_LINES,
     skip_secrets: bool = True,
     base: str = "",
     stamp: str | None = None,
@@ -111,8 +110,8 @@ def export(
     sizes = tree.tree_sizes(tree_rows)
     firsts = packed.where(F.col("bundle_id") == 1).select("repo").distinct()
     shown = sizes.join(firsts, "repo", "left_semi")
-    inline = shown.where(F.col("lines") <= one_file_lines) if include_tree else shown.where(F.lit(False))
-    write_any(_tree_documents(tree_rows, root, stamp), output, tree.ORDER, one_file_lines)
+    inline = shown if include_tree else shown.where(F.lit(False))
+    write_documents(_tree_documents(tree_rows, root, stamp), output, tree.ORDER)
 
     # Manifest table, in which the tree block shifts the first bundle.
     extra = inline.select("repo", (F.col("lines") + render.TREE_EXTRA_LINES).alias("tree_line_count"))
@@ -128,7 +127,7 @@ def export(
 
     # Bundles: only here do texts move, once, to meet their bundle numbers.
     chunks = chunk.split_chunks(texts, max_lines, skip, overhead)
-    heads = render.tree_heads(tree_rows, inline.select("repo"))
+    heads = render.tree_heads(tree.tree_lines(tree_rows), inline.select("repo")) if include_tree else None
     blocks = render.bundle_blocks(chunks, packed, layout, redacted, heads)
     name = naming.bundle_name(root, F.col("bundle_id"), F.lit(stamp))
     if bundles == "table":
@@ -169,7 +168,7 @@ def export(
     lines = lines.withColumn("doc", naming.manifest_name(root, F.lit(stamp))).withColumn(
         "text", F.concat("text", F.lit("\n"))
     )
-    write_any(settle(lines), output, manifest.ORDER, one_file_lines)
+    write_documents(lines, output, manifest.ORDER)
 
     if overview:
         name = naming.manifest_name(root, F.lit(stamp))
@@ -178,7 +177,7 @@ def export(
         text = text.withColumn("doc", F.lit("PROJECT_OVERVIEW.txt")).withColumn(
             "text", F.concat("text", F.when(end, "").otherwise("\n"))
         )
-        write_bounded(text, output, ["section", "ord"])
+        write_documents(text, output, ["section", "ord"])
     return result
 
 
@@ -220,11 +219,10 @@ def tree_only(
     *,
     many: bool = False,
     stamp: str | None = None,
-    one_file_lines: int = fixed.ONE_FILE_LINES,
 ) -> str:
     """Write nothing but the file trees.  Secrets are always left out."""
     check_places(source, output)
     stamp = stamp or naming.stamp_now()
     rows = settle(tree.tree_rows(scan_tree(spark, source, many).meta))
-    write_any(_tree_documents(rows, F.col("repo"), stamp), output, tree.ORDER, one_file_lines)
+    write_documents(_tree_documents(rows, F.col("repo"), stamp), output, tree.ORDER)
     return stamp

@@ -28,6 +28,10 @@ def _in(words) -> str:
     return "(" + ", ".join("'" + w + "'" for w in words) + ")"
 
 
+def _lookup(column: str, values: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in values.items()) + " end"
+
+
 def _case(column: str, groups: dict[str, str]) -> str:
     arms = " ".join(f"when {column} in {_in(v.split())} then '{k}'" for k, v in groups.items())
     return f"case {arms} end"
@@ -71,7 +75,7 @@ CATEGORY = (
     f"coalesce({_case(NAME, fixed.SPECIAL_NAMES)}, {_case(SUFFIX, fixed.CATEGORY_SUFFIXES)})"
 )
 ICON = (
-    f"coalesce({_case(NAME, fixed.NAME_ICONS)}, {_case(SUFFIX, fixed.SUFFIX_ICONS)}, "
+    f"coalesce({_lookup(NAME, fixed.NAME_ICONS)}, {_lookup(SUFFIX, fixed.SUFFIX_ICONS)}, "
     + "case category "
     + " ".join(f"when '{c}' then '{i}'" for c, i in fixed.CATEGORY_ICONS.items())
     + f" end, '{fixed.DEFAULT_ICON}')"
@@ -126,7 +130,7 @@ CHUNKS = f"""
 chunks0 as (
   select repo, rel_path, category, line_count as total_file_lines, lines,
     ceil(line_count / {FULL})::int as chunk_count, unnest(range(1, ceil(line_count / {FULL})::int + 1))::int as chunk_index
-  from files where line_count > 0 and line_count < {SKIP}),
+  from files where line_count > 0),
 chunks as (
   select repo, rel_path, category, chunk_index, chunk_count,
     (chunk_index - 1) * {FULL} + 1 as start_line,
@@ -192,7 +196,7 @@ oversized as (
   select repo, rel_path as path, 'chunk_exceeds_max_lines' as reason, i as chunk_index,
     (least(i * {OVERHEAD}, line_count) - (i - 1) * {OVERHEAD})::int as line_count
   from (select *, unnest(range(1, ceil(line_count / {OVERHEAD})::int + 1))::int as i
-        from files where line_count > 0 and line_count < {SKIP}))"""
+        from files where line_count > 0))"""
 LARGE = f"""
 large as (
   select repo, rel_path as path,
@@ -262,10 +266,7 @@ def _across_lines(pattern: str) -> str:
 
 HEX = REDACTIONS[17][0]
 
-ALIASES = {
-    **{c: f"{c} {w}" for c, w in fixed.CATEGORY_ALIASES.items()},
-}
-CANONICAL = _case("lower(trim(w))", ALIASES)
+CANONICAL = _lookup("lower(trim(w))", {c: c for c in fixed.CATEGORY_DESCRIPTIONS} | fixed.CATEGORY_ALIASES)
 TYPED = (
     f"[' ' || substring({SUFFIX}, 2, 100), upper({TOP}), replace({SUFFIX}, '.', '')]"
 )
@@ -522,7 +523,7 @@ totals as (
   select repo, count(*) as n_files, sum(line_count)::bigint as n_lines, sum(size_bytes)::bigint as n_bytes,
     (select max(bundle_id) from packed p where p.repo = f.repo) as n_bundles,
     (select count(*) from skips s where s.repo = f.repo) as n_skips,
-    case when bool_or(starts_with(rel_path, 'src/')) then '["gone.py"]' else '["gone.py","src/"]' end as missing,
+    case when bool_or(starts_with(rel_path, 'src/')) then '["gone.py"]' else '["gone.py","src","src/"]' end as missing,
     (select string_agg('"' || reason || '":' || n, ',' order by reason) from (
        select repo, {REASON} as reason, count(*) as n from docs where {REASON} is not null group by all) r
      where r.repo = f.repo) as reasons
@@ -606,7 +607,9 @@ def statements() -> dict[str, str]:
             select repo, rel_path, coalesce(string_agg(w, ',' order by i) filter (where {CANONICAL} is null), '') as unknown from w group by all""",
         "normalize_paths": f"""{every} select repo, rel_path, rel_path as inside, '/elsewhere/' || rel_path as outside,
             {PARENT} as relative from every""",
-        "run_timestamp": f"""select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp, true as is_stamp,
+        "selected_paths": f"""{WITH_DOCS}, repos as (select distinct repo from files)
+            select repo, unnest(['src', 'lib'] || case when repo = 'src1' then ['docs', '.'] else ['/corpus/src1/docs', '/corpus/src1'] end) as path from repos""",
+        "run_timestamp": f"""select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp, value > 5 as is_stamp,
             case when value > 5 then strftime(ts, '%Y%m%dT%H%M%SZ') else '{STAMP}' end as dir_stamp from events""",
         "content_sha256": f"{every} select repo, rel_path, sha256(regexp_replace(content, '\\n$', '')) as sha256 from every",
         "file_sizes": f"{every} select repo, rel_path, len({LINES})::int as line_count, octet_length(encode(content)) as size_bytes from every",

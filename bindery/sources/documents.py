@@ -1,9 +1,9 @@
 """Named text documents: rows of text concatenated into files.
 
 Rows arrive sorted, so a task streams one document after the other to its file
-and holds a single row.  Documents of bounded size are kept in one task by
-hashing.  Documents without a bound are range-partitioned: one that spans tasks
-ends up as a folder of numbered parts whose concatenation is the document.
+and holds a single row.  The rows of a document are kept in one task by hashing.
+Rows that a caller has partitioned otherwise may be written as they are: a document
+that spans tasks then ends up as a folder of numbered parts.
 """
 
 from __future__ import annotations
@@ -129,26 +129,12 @@ def write_sorted(rows: DataFrame, path: str, whole: bool) -> None:
     )
 
 
-def write_bounded(rows: DataFrame, path: str, order: list[str], parts: int | None = None) -> None:
-    """Documents of bounded size, each hashed to one task and written as one file."""
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartition(n, "repo", "doc").sortWithinPartitions("repo", "doc", *order)
-    write_sorted(placed, path, whole=True)
-
+def write_documents(rows: DataFrame, path: str, order: list[str], parts: int | None = None) -> None:
+    """Each document as one file, whatever its length.
 
-def write_any(
-    rows: DataFrame, path: str, order: list[str], limit: int, parts: int | None = None
-) -> None:
-    """Documents of any size, from settled rows.
-
-    Documents of up to ``limit`` rows become one file each.  Longer ones are
-    range-partitioned over many tasks and become folders of numbered parts.
+    A document's rows meet in one task, which sorts them (on disk where they are many) and streams
+    them to the file, so it holds one row at a time.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["repo", "doc"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    long = sizes.where(F.col("n") > limit).select(*keys)
-    write_bounded(rows.join(long, keys, "left_anti"), path, order, n)
-    if not long.isEmpty():
-        spread = rows.join(long, keys, "left_semi").repartitionByRange(n, *keys, *order)
-        write_sorted(spread.sortWithinPartitions(*keys, *order), path, whole=False)
+    placed = rows.repartition(n, "repo", "doc").sortWithinPartitions("repo", "doc", *order)
+    write_sorted(placed, path, whole=True)

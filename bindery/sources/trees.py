@@ -209,7 +209,11 @@ def from_judged(judged: DataFrame) -> Scanned:
 def scan_listing(
     listing: DataFrame, skip_secrets: bool = True, rules: DataFrame | None = None
 ) -> Scanned:
-    """Scan a table of files; its contents stay where they are."""
+    """Scan a table of files; its contents stay where they are.
+
+    Without ``rules`` the root ignore files among the rows count, as they do for trees.
+    """
+    rules = scan.ignore_rules(listing) if rules is None else rules
     return from_judged(scan.judge(scan.with_reason(listing, skip_secrets, rules)))
 
 

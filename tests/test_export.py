@@ -172,14 +172,12 @@ def test_export_of_a_selection_from_many_trees(spark, source, tmp_path):
     assert text.count("BEGIN FILE") == 4
 
 
-def test_long_documents_become_numbered_parts(spark, tmp_path):
+def test_documents_of_any_length_are_single_files(spark, tmp_path):
     rows = [("big", "a.txt", i, f"line {i}\n") for i in range(2000)]
     rows += [(f"r{i}", "a.txt", 0, "x") for i in range(30)] + [("big", "b.txt", 0, "é")]
-    df = spark.createDataFrame(rows, "repo string, doc string, n int, text string")
-    documents.write_any(df, str(tmp_path), ["n"], limit=100, parts=6)
-    parts = sorted((tmp_path / "big" / "a.txt").iterdir())
-    assert 3 <= len(parts) <= 6
-    assert read_text(tmp_path / "big" / "a.txt") == "".join(r[3] for r in rows[:2000])
+    df = spark.createDataFrame(rows, "repo string, doc string, n int, text string").repartition(7)
+    documents.write_documents(df, str(tmp_path), ["n"], parts=6)
+    assert (tmp_path / "big" / "a.txt").read_text() == "".join(r[3] for r in rows[:2000])
     assert (tmp_path / "big" / "b.txt").read_text() == "é"
     assert sorted(p.name for p in tmp_path.iterdir()) == sorted(["big"] + [f"r{i}" for i in range(30)])
     assert all([p.name for p in (tmp_path / f"r{i}").iterdir()] == ["a.txt"] for i in range(30))
@@ -195,13 +193,32 @@ def test_range_partitioned_documents_that_fit_one_task_are_one_file(spark, tmp_p
     }
 
 
-def test_long_trees_stay_out_of_the_first_bundle(spark, source, tmp_path):
-    out = tmp_path / "out"
-    plans.export_tree(spark, str(source / "other"), str(out), stamp=STAMP, one_file_lines=3)
-    text = (out / "other" / f"other_bundle_001_{STAMP}.txt").read_text()
-    assert "FILETREE" not in text and "BEGIN FILE: app.py" in text
-    assert read_text(out / "other" / f"other_file_tree_{STAMP}.txt").startswith("other/\n")
-    assert json.loads(read_text(out / "other" / f"other_manifest_{STAMP}.json"))["bundle_count"] == 1
+def test_long_trees_open_the_first_bundle(spark, tmp_path):
+    rows = [("big", f"d{i % 90:02d}/e{i % 7}/f{i:05d}.py", b"x = 1\n") for i in range(1500)] + [("few", "a.py", b"1\n")]
+    listing = spark.createDataFrame(rows, "repo string, rel_path string, content binary")
+    plans.export_listing(spark, listing, str(tmp_path), stamp=STAMP)
+    for repo in ("big", "few"):
+        tree = (tmp_path / repo / f"{repo}_file_tree_{STAMP}.txt").read_text()
+        text = (tmp_path / repo / f"{repo}_bundle_001_{STAMP}.txt").read_text()
+        assert text.startswith(render.TREE_HEAD + tree + render.TREE_FOOT + render.RULE)
+        json.loads((tmp_path / repo / f"{repo}_manifest_{STAMP}.json").read_text())
+    assert tree.count("\n") >= 1
+
+
+def test_repeated_inputs_make_a_valid_manifest(spark, tmp_path):
+    listing = spark.createDataFrame([("r", "src/a.py", b"1\n"), ("r", "b.py", b"2\n")], "repo string, rel_path string, content binary")
+    wanted = Wanted(mode="non_interactive", paths=["src/", "src", "/base/r/src", " "])
+    plans.export_listing(spark, listing, str(tmp_path), stamp=STAMP, wanted=wanted, base="/base")
+    manifest = json.loads((tmp_path / "r" / f"r_manifest_{STAMP}.json").read_text())
+    assert manifest["selection"]["selected_paths"] == ["src"] and manifest["selected_files"] == ["src/a.py"]
+
+
+def test_listings_follow_their_root_ignore_files(spark, tmp_path):
+    rows = [("r", ".gitignore", b"*.md\n"), ("r", "a.md", b"1\n"), ("r", "b.py", b"2\n"), ("s", "a.md", b"3\n")]
+    listing = spark.createDataFrame(rows, "repo string, rel_path string, content binary")
+    result = plans.export_listing(spark, listing, str(tmp_path), stamp=STAMP)
+    kept = {(r["repo"], r["rel_path"]) for r in spark.read.parquet(result.tables["files"]).collect()}
+    assert ("r", "a.md") not in kept and {("r", "b.py"), ("s", "a.md")} <= kept
 
 
 def test_tree_only(spark, source, tmp_path):

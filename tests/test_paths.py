@@ -65,7 +65,7 @@ def test_icons(evaluate):
     assert got == ["🐍", "🐍", "🐳", "📘", "📄", "📋", "🖥️"]
     icons = list(fixed.ICON_NAMES) + ["❓"]
     assert evaluate(icons, paths.icon_name(V)) == list(fixed.ICON_NAMES.values()) + ["Other"]
-    assert len(fixed.spread(fixed.SUFFIX_ICONS)) + len(fixed.spread(fixed.NAME_ICONS)) == 57
+    assert len(fixed.SUFFIX_ICONS) + len(fixed.NAME_ICONS) == 57
 
 
 def test_globs_match_like_fnmatch(evaluate):
