@@ -6,7 +6,8 @@ Sketches of linked documents share all but few values (``least_shared``), so the
 values of each, few enough, must meet in an inverted list; frequent passages are never in
 these unless a document has little else.  Lists generate pairs in two steps: first each member
 with the list's smallest class, and, when those links have joined components, the
-remaining pairs of different components.  A pair goes on if it shares enough sketch values
+remaining pairs of different components, counted in cells of bounded size (lists with the
+same members are one).  A pair goes on if it shares enough sketch values
 and the sketch of the union estimates enough similarity (``SIGMAS`` standard deviations of leeway);
 the exact similarity of the full sets confirms it.  Links give components.
 
@@ -32,6 +33,8 @@ from bindery.session import settle
 KEPT, SIGMAS = 256, 4.5
 #: Values of most lists that are known by their frequency; the order of the others is their own.
 FREQUENT, OFTEN = 65_536, 4
+#: Members of one side of a cell, rows that one group of cells should have, and columns counted at once.
+CELL, GROUP_ROWS, COLUMNS = 256, 2048, 8192
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -97,7 +100,7 @@ def frequent_values(rows: DataFrame) -> np.ndarray:
 
 
 def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
-    """Inverted lists with two members or more: ``value``, ``mark`` and the smallest mark, ``center``.
+    """Inverted lists with two members or more: ``value``, ``mark`` and the smallest mark, ``center``, with their set sizes.
 
     Values are sorted within tasks and streamed, so a list of any length is never held; the
     center has no row of its own.  Repeated marks of a batch are skipped, as copies need no lists.
@@ -112,27 +115,27 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
         return long_lists(parts, pa.int32())
 
     def runs(batches):
-        last = (None, 0, 0, 0, 0)  # value, center and mark of the row before
+        last = (None, 0, 0, 0, 0, 0)  # value, center with its size, and mark of the row before
         for batch in batches:
-            value, x, y = (c.to_numpy() for c in batch.columns)
+            value, x, y, n = (c.to_numpy() for c in batch.columns)
             if not len(value):
                 continue
             place = np.arange(len(value))
             fresh = np.concatenate(([value[0] != last[0]], value[1:] != value[:-1]))
             start = np.maximum.accumulate(np.where(fresh, place, -1))
-            first_x, first_y = np.where(start < 0, last[1], x[start]), np.where(start < 0, last[2], y[start])
-            again = np.concatenate(([(x[0], y[0]) == last[3:]], (x[1:] == x[:-1]) & (y[1:] == y[:-1]))) & ~fresh
+            first_x, first_y, first_n = (np.where(start < 0, last[k], c[start]) for k, c in ((1, x), (2, y), (3, n)))
+            again = np.concatenate(([(x[0], y[0]) == last[4:]], (x[1:] == x[:-1]) & (y[1:] == y[:-1]))) & ~fresh
             out = ((x != first_x) | (y != first_y)) & ~again
-            last = (value[-1], first_x[-1], first_y[-1], x[-1], y[-1])
-            columns = (value, x, y, first_x, first_y)
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["value", "x", "y", "first_x", "first_y"])
+            last = (value[-1], first_x[-1], first_y[-1], first_n[-1], x[-1], y[-1])
+            columns = (value, x, y, n, first_x, first_y, first_n)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["value", "x", "y", "n", "first_x", "first_y", "first_n"])
 
     chosen = prefix("sketch", prefix_size(F.size("sketch"), percent), F.col("mark")["a"])
-    values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"))
+    values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"), "n")
     ordered = values.repartition("value").sortWithinPartitions("value", "x", "y")
-    found = ordered.mapInArrow(runs, "value int, x bigint, y bigint, first_x bigint, first_y bigint")
+    found = ordered.mapInArrow(runs, "value int, x bigint, y bigint, n bigint, first_x bigint, first_y bigint, first_n bigint")
     mark, center = F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("first_x").alias("a"), F.col("first_y").alias("b"))
-    return settle(found.select("value", mark.alias("mark"), center.alias("center")))
+    return settle(found.select("value", mark.alias("mark"), "n", center.alias("center"), F.col("first_n").alias("center_n")))
 
 
 def by_rarity(sketch: pa.ListScalar, known: np.ndarray) -> np.ndarray:
@@ -149,20 +152,14 @@ def prefix_size(size: Column, percent: int) -> Column:
     return (size - least_shared(size, percent) + 1).cast("int")
 
 
-def members_of(rows: DataFrame, lists: DataFrame, known: np.ndarray) -> DataFrame:
-    """For each mark in a list, ``cls`` (its smallest doc_id), ``n`` and ``sketch``, the rarest values first."""
-
-    @F.arrow_udf("array<int>")
-    def rare(sketches: pa.Array) -> pa.Array:
-        return long_lists([by_rarity(s, known) for s in sketches], pa.int32())
-
+def members_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """For each mark in a list, ``cls`` (its smallest doc_id), ``n`` and ``sketch``."""
     marks = settle(lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct())
-    found = rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    return settle(found.withColumn("sketch", rare("sketch")))
+    return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
 
 def sizes_allow(x: Column, y: Column, percent: int) -> Column:
-    return F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def shared_enough(x: Column, y: Column, percent: int) -> Column:
@@ -170,10 +167,92 @@ def shared_enough(x: Column, y: Column, percent: int) -> Column:
     return F.size(F.array_intersect(x["sketch"], y["sketch"])) >= need
 
 
-def first_list(x: Column, y: Column, value: Column, percent: int) -> Column:
-    """Whether list ``value`` is the one of all lists the two share that their pair is taken from."""
-    heads = [F.slice(m["sketch"], F.lit(1), prefix_size(F.size(m["sketch"]), percent)) for m in (x, y)]
-    return F.array_min(F.array_intersect(*heads)) == value
+def cells_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, dealt to cells (``value``, ``i``, ``j``).
+
+    The members outside a list's largest component (``left``) meet all of it (``right``); both
+    sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.
+    """
+    everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
+    placed = settle(everyone.join(parts, "mark"))
+    sizes = placed.groupBy("value", "component").agg(
+        F.count("*").alias("size"), F.bit_xor("mark.a").alias("a"), F.bit_xor("mark.b").alias("b")
+    )
+    mixed_lists = sizes.groupBy("value").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("largest"), F.count("*").alias("parts"),
+        F.sum("size").alias("total"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"),
+    )
+    # Lists of two are done: their pair was a star.  Lists with the same members are one.
+    open_lists = mixed_lists.where("parts > 1 and total > 2").groupBy("a", "b", "total").agg(
+        F.min_by(F.struct("value", "main", "largest"), "value").alias("_")
+    )
+    cut = lambda n: F.ceil(n / CELL).cast("int")
+    open_lists = settle(open_lists.select("_.value", "_.main", cut(F.col("total") - F.col("_.largest")).alias("is"), cut(F.col("total")).alias("js")))
+    own_i, own_j = (F.pmod(F.xxhash64("mark", F.lit(k)), F.col(k)).cast("int") for k in ("is", "js"))
+    found = placed.join(open_lists, "value").select(
+        "value", "mark", "component", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
+    )
+    across = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    down = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    found = found.withColumn("cell", F.explode(F.when(F.col("in_main"), down).otherwise(F.array_union(across, down))))
+    left, right = ~F.col("in_main") & (F.col("cell.i") == F.col("own_i")), F.col("cell.j") == F.col("own_j")
+    return settle(found.select("value", "cell", "mark", "component", left.alias("left"), right.alias("right")))
+
+
+def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each sketch of ``left`` shares with each of ``right`` (places in ``sketches``)."""
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    _, column, seen = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    # Values of one member only are shared with nobody.
+    place = np.cumsum(seen > 1) - 1
+    kept = seen[column] > 1
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        run = slice(*np.searchsorted(column, (start, start + COLUMNS)))
+        held = np.zeros((len(sketches), int(column[run][-1]) - start + 1), np.float32)
+        held[owner[run], column[run] - start] = 1
+        found += held[left] @ held[right].T
+    return found
+
+
+def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs of marks (``mark``, ``center``) of different components that share enough sketch values."""
+
+    def pairs(data: pa.Table) -> pa.Table:
+        data = data.combine_chunks()
+        cell, a, b, n, component, need = (data.column(c).to_numpy() for c in ("cell", "a", "b", "n", "component", "need"))
+        is_left, is_right = (data.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        lists = data.column("sketch").combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        order = np.argsort(cell, kind="stable")
+        xs, ys = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            left, right = np.flatnonzero(is_left[rows]), np.flatnonzero(is_right[rows])
+            x, y = rows[left][:, None], rows[right][None, :]
+            # Two members that are both on both sides meet once.
+            twice = is_right[x] & is_left[y] & ((a[x] > a[y]) | ((a[x] == a[y]) & (b[x] > b[y])))
+            fits = (component[x] != component[y]) & ~twice
+            fits &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            if fits.any():
+                fits &= overlaps([values[ends[r] : ends[r + 1]] for r in rows], left, right) >= np.maximum(need[x], need[y])
+                i, j = np.nonzero(fits)
+                xs.append(rows[left[i]])
+                ys.append(rows[right[j]])
+        x, y = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (xs, ys))
+        return pa.table({"x": a[x], "x2": b[x], "y": a[y], "y2": b[y]})
+
+    groups = max(1, -(-cells.count() // GROUP_ROWS))
+    key = F.xxhash64("value", "cell")
+    least = least_shared(F.size("sketch"), percent).cast("bigint")
+    rows = cells.join(members.select("mark", "n", "sketch"), "mark").select(
+        F.pmod(key, F.lit(groups)).alias("group"), key.alias("cell"), "mark.a", "mark.b", "n", "component", "left", "right", "sketch", least.alias("need")
+    )
+    found = rows.groupBy("group").applyInArrow(pairs, "x bigint, x2 bigint, y bigint, y2 bigint")
+    mark = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("x", "x2"), ("y", "y2"))]
+    return settle(found.select(mark[0].alias("mark"), mark[1].alias("center")).distinct())
 
 
 def estimated(pairs: DataFrame, percent: int) -> DataFrame:
@@ -213,37 +292,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (``a``, ``b``) between classes that join all components of the similarity."""
-    known = frequent_values(rows)
-    lists = lists_of(rows, known, percent)
-    members = members_of(rows, lists, known)
+    lists = lists_of(rows, frequent_values(rows), percent)
+    members = members_of(rows, lists)
     member = F.struct("cls", "n", "sketch")
     x, y = F.col("x"), F.col("y")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(members.select("mark", member.alias("y")), "mark").join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
+        return settle(confirmed(settle(estimated(both.where(shared_enough(x, y, percent)), percent)), docs, words, percent))
+
     # Step one: every member with its list's center, each pair once.
-    stars = lists.select("mark", "center").distinct()
-    stars = stars.join(members.select("mark", member.alias("y")), "mark").join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
-    stars = stars.where(sizes_allow(x, y, percent)).where(shared_enough(x, y, percent))
-    near = settle(confirmed(settle(estimated(stars, percent)), docs, words, percent))
+    near = linked(lists.where(sizes_allow(F.col("n"), F.col("center_n"), percent)).select("mark", "center").distinct())
     joined = components(near)
     # Step two: members of different components, each against all of its list but the largest component.
     parts = members.select("mark", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     parts = settle(parts.select("mark", F.coalesce("component", "cls").alias("component")))
-    everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
-    placed = settle(everyone.join(parts, "mark"))
-    sizes = placed.groupBy("value", "component").agg(F.count("*").alias("size"))
-    mixed_lists = sizes.groupBy("value").agg(
-        F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("total")
-    )
-    # Lists of two are done: their pair was a star.
-    open_lists = settle(mixed_lists.where("parts > 1 and total > 2").select("value", "main"))
-    full = placed.join(open_lists, "value").join(members.select("mark", member.alias("m")), "mark")
-    full = settle(full.select("value", "component", (F.col("component") == F.col("main")).alias("in_main"), "m"))
-    left = full.where("not in_main").select("value", F.col("component").alias("x_component"), F.col("m").alias("x"))
-    right = full.select(F.col("value").alias("y_value"), F.col("component").alias("y_component"), "in_main", F.col("m").alias("y"))
-    once = F.col("in_main") | (F.col("x.cls") < F.col("y.cls"))
-    apart = (F.col("value") == F.col("y_value")) & (F.col("x_component") != F.col("y_component")) & once
-    test = sizes_allow(x, y, percent) & first_list(x, y, F.col("value"), percent) & shared_enough(x, y, percent)
-    rest = confirmed(settle(estimated(left.join(right, apart & test), percent)), docs, words, percent)
-    return near.union(rest)
+    rest = linked(pairs_of_cells(cells_of(lists, parts), members, percent))
+    return joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest)
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -350,6 +350,24 @@ def test_large_groups_of_near_copies_lose_no_link(spark, words, percent):
     assert got == plain_components(rows, words, percent)[0]
 
 
+def test_large_groups_cut_into_many_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 8)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 32)
+    rows = near_copies(90, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.components_of(df, 3, 85).collect()}
+    assert got == plain_components(rows, 3, 85)[0]
+
+
+def test_overlaps_are_counted_over_all_columns(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = random.Random(2)
+    sketches = [np.array(sorted(rng.sample(range(-200, 200), rng.randrange(0, 120))), np.int32) for _ in range(20)]
+    left, right = np.arange(0, 12), np.arange(5, 20)
+    want = [[len(set(sketches[x].tolist()) & set(sketches[y].tolist())) for y in right] for x in left]
+    assert minhash.overlaps(sketches, left, right).tolist() == want
+
+
 def test_duplicates_of_awkward_rows(spark, awkward, empty):
     got = minhash.components_of(awkward, 3, 85).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == sorted(
