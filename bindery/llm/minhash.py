@@ -200,7 +200,7 @@ def cells_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values each sketch of ``left`` shares with each of ``right`` (places in ``sketches``)."""
+    """How many values each sketch of ``left`` shares with each other one of ``right`` (places in ``sketches``)."""
     owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
     _, column, seen = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     # Values of one member only are shared with nobody.
