@@ -4,10 +4,10 @@ A document is the set of its word shingles, hashed; its sketch holds the ``KEPT`
 smallest values.  Documents with equal sets are one class, named by the smallest doc_id.
 Sketches of linked documents share all but few values (``least_shared``), so the rarest
 values of each, few enough, must meet in an inverted list; frequent passages are never in
-these unless a document has little else.  Lists generate pairs in two steps: first each member
-with the list's smallest class, and, when those links have joined components, the
-remaining pairs of different components, counted in cells of bounded size (lists with the
-same members are one).  A pair goes on if it shares enough sketch values
+these unless a document has little else.  Lists generate pairs in three steps: first each member
+with the list's smallest class; when those links have joined components, members outside
+a list's largest component with a few others of it; then all remaining pairs of different
+components, counted in cells of bounded size (lists with the same members are one).  A pair goes on if it shares enough sketch values
 and the sketch of the union estimates enough similarity (``SIGMAS`` standard deviations of leeway);
 the exact similarity of the full sets confirms it.  Links give components.
 
@@ -35,6 +35,8 @@ KEPT, SIGMAS = 256, 4.5
 FREQUENT, OFTEN = 65_536, 4
 #: Members of one side of a cell, rows that one group of cells should have, and columns counted at once.
 CELL, GROUP_ROWS, COLUMNS = 256, 2048, 8192
+#: Members of a list's largest component that the others meet before all of it.
+DELEGATES = 8
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -167,14 +169,16 @@ def shared_enough(x: Column, y: Column, percent: int) -> Column:
     return F.size(F.array_intersect(x["sketch"], y["sketch"])) >= need
 
 
-def cells_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of lists that hold several components, dealt to cells (``value``, ``i``, ``j``).
-
-    The members outside a list's largest component (``left``) meet all of it (``right``); both
-    sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.
-    """
+def placed_of(lists: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``value``, ``mark`` and ``component`` of all members of lists."""
+    parts = members.select("mark", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    parts = settle(parts.select("mark", F.coalesce("component", "cls").alias("component")))
     everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
-    placed = settle(everyone.join(parts, "mark"))
+    return settle(everyone.join(parts, "mark"))
+
+
+def open_of(placed: DataFrame) -> DataFrame:
+    """The lists that hold several components: ``value``, ``total``, and the largest component, ``main``, with its size."""
     sizes = placed.groupBy("value", "component").agg(
         F.count("*").alias("size"), F.bit_xor("mark.a").alias("a"), F.bit_xor("mark.b").alias("b")
     )
@@ -183,11 +187,27 @@ def cells_of(lists: DataFrame, parts: DataFrame) -> DataFrame:
         F.sum("size").alias("total"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"),
     )
     # Lists of two are done: their pair was a star.  Lists with the same members are one.
-    open_lists = mixed_lists.where("parts > 1 and total > 2").groupBy("a", "b", "total").agg(
-        F.min_by(F.struct("value", "main", "largest"), "value").alias("_")
-    )
+    found = mixed_lists.where("parts > 1 and total > 2").groupBy("a", "b", "total").agg(F.min_by(F.struct("value", "main", "largest"), "value").alias("_"))
+    return settle(found.select("_.*", "total"))
+
+
+def delegates_of(placed: DataFrame) -> DataFrame:
+    """Pairs (``mark``, ``center``) of the members outside each list's largest component with ``DELEGATES`` of it."""
+    open_lists = open_of(placed)
+    found = settle(placed.join(open_lists.select("value", "main"), "value"))
+    some = [F.min_by("mark", F.xxhash64("mark", F.lit(k))) for k in range(DELEGATES)]
+    centers = found.where("component = main").groupBy("value").agg(F.array_distinct(F.array(*some)).alias("centers"))
+    return found.where("component <> main").select("value", "mark").join(centers, "value").select("mark", F.explode("centers").alias("center")).distinct()
+
+
+def cells_of(placed: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, dealt to cells (``value``, ``i``, ``j``).
+
+    The members outside a list's largest component (``left``) meet all of it (``right``); both
+    sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.
+    """
     cut = lambda n: F.ceil(n / CELL).cast("int")
-    open_lists = settle(open_lists.select("_.value", "_.main", cut(F.col("total") - F.col("_.largest")).alias("is"), cut(F.col("total")).alias("js")))
+    open_lists = open_of(placed).select("value", "main", cut(F.col("total") - F.col("largest")).alias("is"), cut(F.col("total")).alias("js"))
     own_i, own_j = (F.pmod(F.xxhash64("mark", F.lit(k)), F.col(k)).cast("int") for k in ("is", "js"))
     found = placed.join(open_lists, "value").select(
         "value", "mark", "component", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
@@ -227,6 +247,10 @@ def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFr
         is_left, is_right = (data.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         lists = data.column("sketch").combine_chunks()
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        whole = np.diff(ends) == n
+        # Rows of one mark go by the first of them, so that a pair of several lists leaves once.
+        seen: dict[tuple[int, int], int] = {}
+        first = np.array([seen.setdefault(m, i) for i, m in enumerate(zip(a.tolist(), b.tolist(), strict=True))], np.int64)
         order = np.argsort(cell, kind="stable")
         xs, ys = [], []
         for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
@@ -237,11 +261,14 @@ def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFr
             fits = (component[x] != component[y]) & ~twice
             fits &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
             if fits.any():
-                fits &= overlaps([values[ends[r] : ends[r + 1]] for r in rows], left, right) >= np.maximum(need[x], need[y])
+                both = overlaps([values[ends[r] : ends[r + 1]] for r in rows], left, right)
+                # Uncut sketches tell the similarity itself.
+                fits &= (both >= np.maximum(need[x], need[y])) & (~(whole[x] & whole[y]) | (both * (100 + percent) >= percent * (n[x] + n[y])))
                 i, j = np.nonzero(fits)
-                xs.append(rows[left[i]])
-                ys.append(rows[right[j]])
+                xs.append(first[rows[left[i]]])
+                ys.append(first[rows[right[j]]])
         x, y = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (xs, ys))
+        x, y = np.divmod(np.unique(x * len(a) + y), max(1, len(a)))
         return pa.table({"x": a[x], "x2": b[x], "y": a[y], "y2": b[y]})
 
     groups = max(1, -(-cells.count() // GROUP_ROWS))
@@ -299,16 +326,19 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(members.select("mark", member.alias("y")), "mark").join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
-        return settle(confirmed(settle(estimated(both.where(shared_enough(x, y, percent)), percent)), docs, words, percent))
+        both = both.where(sizes_allow(x["n"], y["n"], percent)).where(shared_enough(x, y, percent))
+        return settle(confirmed(settle(estimated(both, percent)), docs, words, percent))
+
+    def stars(joined: DataFrame) -> DataFrame:
+        return joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
     # Step one: every member with its list's center, each pair once.
-    near = linked(lists.where(sizes_allow(F.col("n"), F.col("center_n"), percent)).select("mark", "center").distinct())
-    joined = components(near)
-    # Step two: members of different components, each against all of its list but the largest component.
-    parts = members.select("mark", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    parts = settle(parts.select("mark", F.coalesce("component", "cls").alias("component")))
-    rest = linked(pairs_of_cells(cells_of(lists, parts), members, percent))
-    return joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest)
+    joined = components(linked(lists.where(sizes_allow(F.col("n"), F.col("center_n"), percent)).select("mark", "center").distinct()))
+    # Step two: members outside a list's largest component with some of it.
+    joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined)))))
+    # Step three: members of different components, each against all of its list but the largest component.
+    cells = cells_of(placed_of(lists, members, joined))
+    return stars(joined).union(linked(pairs_of_cells(cells, members, percent)))
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
