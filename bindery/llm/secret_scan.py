@@ -70,7 +70,8 @@ def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:
             continue
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if any(a < stop and start < b for a, b in taken[at : at + 8]):
+        # The first span that ends behind the start is the first that can overlap.
+        if at < len(taken) and taken[at][0] < stop:
             continue
         before = text[max(0, start - REACH) : start].rpartition("\n")[2]
         if SENSITIVE.search(before):
