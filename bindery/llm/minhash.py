@@ -20,13 +20,14 @@ sets all link it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import WordHashes, long_lists, rolling
+from bindery.llm.common import long_lists, mixed, rolling
 from bindery.llm.components import components
 from bindery.session import settle
 
@@ -37,13 +38,78 @@ FREQUENT, OFTEN = 65_536, 4
 CELL, GROUP_ROWS, COLUMNS = 256, 2048, 8192
 #: Members of a list's largest component that the others meet before all of it.
 DELEGATES = 8
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Text bytes that are hashed at once, up to the end of a word.
+BLOCK_BYTES = 1 << 20
+SOLID = ~np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 
 
-def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    found = hashes.of(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
-    return np.unique(rolling(found, min(words, len(found)))) if len(found) else np.empty(0, np.uint64)
+def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts that stand one after the other in ``data``, and how many each text has.
+
+    A word is the sum of one pseudo-random number for each of its bytes at its place.
+    """
+    solid = SOLID[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    starts = np.asarray(starts, np.int64)
+    heads = starts[starts < len(data)]
+    begins[heads] = solid[heads]
+    at = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(at, np.append(starts, len(data))))
+    if not len(at):
+        return np.empty(0, np.uint64), counts
+    inside = np.flatnonzero(solid)
+    first = np.flatnonzero(begins[inside])
+    place = inside - np.repeat(at, np.diff(np.append(first, len(inside))))
+    values = mixed(((place.astype(np.uint64) << np.uint64(8)) + LOWER[data[inside]] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(np.add.reduceat(values, first)), counts
+
+
+def hashed_text(data: np.ndarray) -> np.ndarray:
+    """The word hashes of one text of any length, a block at a time."""
+    parts, start = [], 0
+    while start < len(data):
+        stop = min(len(data), start + BLOCK_BYTES)
+        while stop < len(data) and SOLID[data[stop]]:
+            ahead = np.flatnonzero(~SOLID[data[stop : stop + BLOCK_BYTES]])
+            stop = stop + int(ahead[0]) if len(ahead) else min(len(data), stop + BLOCK_BYTES)
+        parts.append(hashed_words(data[start:stop], np.zeros(1, np.int64))[0])
+        start = stop
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
+def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    row = 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + BLOCK_BYTES, side="right")) - 1)
+        stop = min(stop, len(texts))
+        part = data[ends[row] : ends[stop]]
+        if stop == row + 1:
+            hashes = hashed_text(part)
+            counts = np.array([len(hashes)])
+        else:
+            hashes, counts = hashed_words(part, ends[row:stop] - ends[row])
+        rolled, start = rolling(hashes, words), 0
+        for count in counts.tolist():
+            if count >= words:
+                yield distinct(rolled[start : start + count - words + 1])
+            else:
+                yield rolling(hashes[start : start + count], max(1, count))
+            start += count
+        row = stop
 
 
 def least_shared(size: Column, percent: int) -> Column:
@@ -68,14 +134,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def sketch(texts: pa.Array) -> pa.Array:
         import xxhash
 
-        hashes, sizes, marks, parts = WordHashes(), [], [], []
-        for text in texts:
-            found = shingles(text.as_py() or "", words, hashes)
+        sizes, marks, parts = [], [], []
+        for found in shingles(texts, words):
             sizes.append(len(found))
             digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
             marks.append({"a": int(digest[0]), "b": int(digest[1])})
             # Only as many distinct upper halves as are kept.
-            halves = np.unique((found[: 2 * KEPT] >> np.uint64(32)).astype(np.uint32))[:KEPT]
+            halves = distinct((found[: 2 * KEPT] >> np.uint64(32)).astype(np.uint32))[:KEPT]
             parts.append((halves ^ np.uint32(1 << 31)).view(np.int32))
         mark = pa.array(marks, pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), mark, long_lists(parts, pa.int32())], ["n", "mark", "sketch"])
@@ -111,8 +176,11 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
     @F.arrow_udf("array<int>")
     def prefix(sketches: pa.Array, sizes: pa.Array, marks: pa.Array) -> pa.Array:
         seen, parts = set(), []
-        for sketch, size, mark in zip(sketches, sizes.to_pylist(), marks.to_pylist(), strict=True):
-            parts.append(np.empty(0, np.int32) if mark in seen else by_rarity(sketch, known)[:size])
+        ends, values = sketches.offsets.to_numpy(), sketches.values.to_numpy()
+        often = frequencies(values, known)
+        for start, stop, size, mark in zip(ends[:-1], ends[1:], sizes.to_pylist(), marks.to_pylist(), strict=True):
+            row = slice(start, start if mark in seen else stop)
+            parts.append(values[row][np.lexsort((values[row], often[row]))[:size]])
             seen.add(mark)
         return long_lists(parts, pa.int32())
 
@@ -140,13 +208,12 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
     return settle(found.select("value", mark.alias("mark"), "n", center.alias("center"), F.col("first_n").alias("center_n")))
 
 
-def by_rarity(sketch: pa.ListScalar, known: np.ndarray) -> np.ndarray:
-    """The sketch values, those of unknown frequency first, then by frequency."""
-    sketch = np.asarray(sketch.as_py(), np.int32)
+def frequencies(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How often each value was seen, 0 where that is unknown."""
     if not len(known):
-        return sketch
-    at = np.searchsorted(known[:, 0], sketch).clip(max=len(known) - 1)
-    return sketch[np.lexsort((sketch, np.where(known[at, 0] == sketch, known[at, 1], 0)))]
+        return np.zeros(len(values), np.int64)
+    at = np.searchsorted(known[:, 0], values).clip(max=len(known) - 1)
+    return np.where(known[at, 0] == values, known[at, 1], 0)
 
 
 def prefix_size(size: Column, percent: int) -> Column:
@@ -305,8 +372,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     @F.arrow_udf("array<bigint>")
     def full(texts: pa.Array) -> pa.Array:
-        hashes = WordHashes()
-        return long_lists([shingles(t.as_py() or "", words, hashes) for t in texts])
+        return long_lists(list(shingles(texts, words)))
 
     asked = settle(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
     texts = docs.select(F.col("doc_id").alias("cls"), F.col("text").alias("_text")).join(asked, "cls")

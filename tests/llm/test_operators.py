@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -329,6 +330,24 @@ def test_duplicates_match_all_pairs(spark, texts):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+@pytest.mark.parametrize("block", [4, 50, 1 << 20])
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_shingles_are_equal_where_the_words_are(monkeypatch, block, words):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    rng = random.Random(3)
+    odd = [None, "", " ", "\n\t", "a", "A b", " a B  ", "x\x0by\x0cz", "ß É", "\x1f a\x00", "é" * 5, "ab c" * 40]
+    odd += ["".join(rng.choices("aB \né", k=rng.randint(0, 30))) for _ in range(500)]
+    sets = plain_components(list(enumerate(odd)), words, 101)[1]
+    for column in (pa.array(odd), pa.array(["one more", *odd]).slice(1), pa.array(odd, pa.large_string())):
+        found, by_set, by_hash = list(minhash.shingles(column, words)), {}, {}
+        assert len(found) == len(odd)
+        for i, values in enumerate(found):
+            own, key = frozenset(sets[i][0]), values.tobytes()
+            assert len(values) == len(own) and (np.diff(values) > 0).all()
+            assert by_set.setdefault(own, key) == key and by_hash.setdefault(key, own) == own
+    assert list(minhash.shingles(pa.array([], pa.string()), words)) == []
+
+
 def near_copies(count, seed):
     """Texts around the limit: each replaces some words of one text; some are short."""
     rng = random.Random(seed)
