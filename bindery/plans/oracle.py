@@ -11,6 +11,7 @@ from bindery.plans.catalog import (
     BASE,
     KEYWORDS,
     MAX_LINES,
+    PLANTED,
     SKIP,
     STAMP,
     WARN,
@@ -264,7 +265,35 @@ def _across_lines(pattern: str) -> str:
     return pattern.replace("[ \\x00]*$", "[ \\t]*$").replace("KEY-----[^\\n]*?", "KEY-----(?s:.)*?")
 
 
-HEX = REDACTIONS[17][0]
+#: The steps of REDACTIONS that each rule is made of; a line holds one match of its rule at most.
+RULE_STEPS = {
+    "private_key_block": [0], "bearer_header": [1], "bearer_json": [2], "api_key_header": [3], "jwt": [4], "aws_key": [5],
+    "github_token": [6], "slack_token": [7], "google_key": [8], "stripe_key": [9], "twilio_key": [10], "json_secret": [11],
+    "yaml_secret": [12, 13, 14], "url_secret": [15], "base64_secret": [16], "hex_secret": [17], "env_secret": [18, 19, 20, 21],
+}
+
+
+def _planted() -> str:
+    return f"""named as (select repo, rel_path, content, sha256(repo || '/' || rel_path) as name from every),
+        planted as (select repo, rel_path, content || chr(10) || replace(
+            ({_list(PLANTED)})[1 + ('0x' || substring(name, 1, 7))::int % {len(PLANTED)}], '@', name) as content from named)"""
+
+
+def _rule_hits(every: str) -> str:
+    """Each rule counts its matches in what the rules before it left."""
+    steps, counts, source = [], [], "planted"
+    for rule, places in RULE_STEPS.items():
+        out, hits = "content", []
+        for place in places:
+            pattern, replacement = REDACTIONS[place]
+            if replacement and rule != "yaml_secret" or place == 13:
+                hits.append(f"len(regexp_extract_all({out}, {_sql_text(pattern)}))")
+            out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(replacement)}, 'g')"
+        steps.append(f"{rule} as materialized (select {out} as content, {' + '.join(hits)} as n from {source})")
+        counts.append(f"select '{rule}' as rule, sum(n)::bigint as hits, count(*) filter (where n > 0) as texts from {rule}")
+        source = rule
+    return f"{every}, {_planted()}, {', '.join(steps)} select * from ({' union all '.join(counts)}) where hits > 0"
+
 
 CANONICAL = _lookup("lower(trim(w))", {c: c for c in fixed.CATEGORY_DESCRIPTIONS} | fixed.CATEGORY_ALIASES)
 TYPED = (
@@ -615,8 +644,8 @@ def statements() -> dict[str, str]:
         "file_sizes": f"{every} select repo, rel_path, len({LINES})::int as line_count, octet_length(encode(content)) as size_bytes from every",
         "redact_text": f"{every} select repo, rel_path, {_redacted('content')} as redacted from every",
         "redact_whole_text": f"{every} select repo, rel_path, {_redacted('content', whole=True)} as redacted from every",
-        "redact_rule_hits": f"""{every}, n as (select len(regexp_extract_all(content, {_sql_text(HEX)})) as n from every)
-            select 'hex_secret' as rule, sum(n)::bigint as hits, count(*) filter (where n > 0) as texts from n having sum(n) > 0""",
+        "redact_rule_hits": _rule_hits(every),
+        "redact_planted": f"{every}, {_planted()} select repo, rel_path, {_redacted('content')} as redacted from planted",
         "select_categories": f"{WITH_DOCS} select repo, rel_path from files where category in ('python', 'config_docs', 'web_ui')",
         "select_name_filters": f"{WITH_DOCS} select repo, rel_path from files where regexp_matches({NAME}, '(?i)f12|docker|\\.kt')",
         "select_keywords": f"{WITH_EVERY} select repo, rel_path from files where " + " or ".join(
