@@ -237,9 +237,9 @@ def shared_enough(x: Column, y: Column, percent: int) -> Column:
 
 
 def placed_of(lists: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
-    """``value``, ``mark`` and ``component`` of all members of lists."""
-    parts = members.select("mark", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    parts = settle(parts.select("mark", F.coalesce("component", "cls").alias("component")))
+    """``value``, ``mark``, ``n`` and ``component`` of all members of lists."""
+    parts = members.select("mark", "n", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    parts = settle(parts.select("mark", "n", F.coalesce("component", "cls").alias("component")))
     everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
     return settle(everyone.join(parts, "mark"))
 
@@ -258,13 +258,14 @@ def open_of(placed: DataFrame) -> DataFrame:
     return settle(found.select("_.*", "total"))
 
 
-def delegates_of(placed: DataFrame) -> DataFrame:
-    """Pairs (``mark``, ``center``) of the members outside each list's largest component with ``DELEGATES`` of it."""
+def delegates_of(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``mark``, ``center``) of the members outside each list's largest component with ``DELEGATES`` of it, if their sizes allow a link."""
     open_lists = open_of(placed)
     found = settle(placed.join(open_lists.select("value", "main"), "value"))
-    some = [F.min_by("mark", F.xxhash64("mark", F.lit(k))) for k in range(DELEGATES)]
+    some = [F.min_by(F.struct("mark", "n"), F.xxhash64("mark", F.lit(k))) for k in range(DELEGATES)]
     centers = found.where("component = main").groupBy("value").agg(F.array_distinct(F.array(*some)).alias("centers"))
-    return found.where("component <> main").select("value", "mark").join(centers, "value").select("mark", F.explode("centers").alias("center")).distinct()
+    pairs = found.where("component <> main").select("value", "mark", "n").join(centers, "value").select("mark", "n", F.explode("centers").alias("_"))
+    return pairs.where(sizes_allow(F.col("n"), F.col("_.n"), percent)).select("mark", F.col("_.mark").alias("center")).distinct()
 
 
 def cells_of(placed: DataFrame) -> DataFrame:
@@ -401,7 +402,7 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     # Step one: every member with its list's center, each pair once.
     joined = components(linked(lists.where(sizes_allow(F.col("n"), F.col("center_n"), percent)).select("mark", "center").distinct()))
     # Step two: members outside a list's largest component with some of it.
-    joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined)))))
+    joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined), percent))))
     # Step three: members of different components, each against all of its list but the largest component.
     cells = cells_of(placed_of(lists, members, joined))
     return stars(joined).union(linked(pairs_of_cells(cells, members, percent)))
