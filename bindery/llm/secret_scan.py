@@ -1,7 +1,7 @@
 """Secret scans: dictionary-primed zstandard novelty.
 
 Candidates are strings that three base patterns find and long strings of key
-characters that follow a sensitive word on the same line.  Each candidate is
+characters that follow a sensitive word on the same line, also in a name before ``=``.  Each candidate is
 compressed with a dictionary of the code around it and of common identifiers; the
 marginal bytes per character are its novelty.  Base findings are always reported;
 other candidates only if they are incompressible.
@@ -30,6 +30,7 @@ BASE = KINDS[:3]
 
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential|auth|bearer|private|access", re.A | re.I)
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 #: Code points before a candidate that may hold the sensitive word, and on each side that prime the compressor.
 REACH, AROUND = 48, 256
 #: Marginal compressed bytes per character from which a candidate counts as incompressible.
@@ -65,25 +66,48 @@ def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:
     at = 0
     out = []
     for match in LONG.finditer(text):
-        start, stop = match.span()
-        if not any(c.isdigit() for c in match.group()):
-            continue
-        while at < len(taken) and taken[at][1] <= start:
+        stop = match.end()
+        while at < len(taken) and taken[at][1] <= match.start():
             at += 1
-        # The first span that ends behind the start is the first that can overlap.
-        if at < len(taken) and taken[at][0] < stop:
-            continue
-        before = text[max(0, start - REACH) : start].rpartition("\n")[2]
-        if SENSITIVE.search(before):
-            value = novelty(match.group(), around(text, start, stop))
-            if value >= threshold:
-                out.append(("novel", start, stop, value))
+        for start, named in values_of(text, *match.span()):
+            if not any(c.isdigit() for c in text[start:stop]):
+                continue
+            # The first span that ends behind the start is the first that can overlap.
+            near = at
+            while near < len(taken) and taken[near][1] <= start:
+                near += 1
+            if near < len(taken) and taken[near][0] < stop:
+                continue
+            before = text[max(0, start - REACH) : start].rpartition("\n")[2]
+            if named or SENSITIVE.search(before):
+                value = novelty(text[start:stop], around(text, start, stop))
+                if value >= threshold:
+                    out.append(("novel", start, stop, value))
+                    break
     for kind, start, stop, value in found:
         out.append((kind, start, stop, novelty(text[value:stop], around(text, value, stop))))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [dict(zip(("kind", "start", "stop", "novelty"), s, strict=True)) for s in out]
 
 
+def values_of(text: str, start: int, stop: int) -> list[tuple[int, bool]]:
+    """Where the value of a run of key characters may start, and whether a sensitive name stands right before it.
+
+    A part that holds a sensitive word and ends at an inner ``=`` is a name.
+    What follows the first name is tried first, then what follows the last, then the whole run.
+    """
+    end = start + len(text[start:stop].rstrip("="))
+    out, part = [], start
+    while (cut := text.find("=", part, end)) >= 0:
+        named = SENSITIVE.search(text, part, cut)
+        part = cut + 1
+        while text[part] == "=":
+            part += 1
+        if named and stop - part >= LEAST:
+            out.append((part, True))
+    return [*dict.fromkeys([*out[:1], *out[-1:]]), (start, False)]
+
+
 def around(text: str, start: int, stop: int) -> str:
     return text[max(0, start - AROUND) : start] + text[stop : stop + AROUND]
 

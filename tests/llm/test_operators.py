@@ -94,6 +94,17 @@ def test_novelty_tells_keys_from_names():
     assert secret_scan.redacted(f"a {key} b\ntoken=abcdef1 c") == "a bearer credential [SECRET] b\n[SECRET] c"
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY", "export PRIVATE_KEY", "secret_key", "db_token_prod", "A=b=ACCESS_ID", "--auth-key"])
+def test_values_right_behind_their_names_are_found(name):
+    for value in ("Zx9Kq2mLv7pLd8fGh2nM4tRw", "wJ8lrXUtnF3MI/K7MD/bPxRfi==", "Zx9KpwdLv7p=d8fGh2nM4tRw"):
+        text = f"a=1\n{name}={value}\nb=2"
+        assert [text[s["start"] : s["stop"]] for s in secret_scan.spans_of(text)] == [value]
+        assert secret_scan.redacted(text) == f"a=1\n{name}=[SECRET]\nb=2"
+    assert not secret_scan.spans_of("plain_name=Zx9Kq2mLv7pLd8fGh2nM4tRw")
+    assert not secret_scan.spans_of("access_name=abcdefghijklmnopqrstuvwxyz0123456789")
+    assert [s["stop"] for s in secret_scan.spans_of("private_key: Zx9Kq2mL=7pLd8fGh2nM4")] == [34]
+
+
 def test_secrets_of_awkward_rows(awkward, empty):
     rows = secret_scan.scan(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
