@@ -33,6 +33,8 @@ LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST = 16
 #: Code points before a candidate that may hold the sensitive word, and on each side that prime the compressor.
 REACH, AROUND = 48, 256
+#: Bytes measured at once: from 64 on the compressor codes single letters, so keys of a small alphabet would look compressible.
+PIECE = 48
 #: Marginal compressed bytes per character from which a candidate counts as incompressible.
 NOVELTY = 0.8
 IDENTIFIERS = (
@@ -50,11 +52,16 @@ SPAN_SQL = "array<struct<kind:string,start:bigint,stop:bigint,novelty:double>>"
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Compressed bytes the candidate adds, per byte, once its surroundings are known."""
+    """Compressed bytes the candidate adds, per byte, once its surroundings are known.
+
+    Long candidates are measured in pieces of equal length, and the largest value counts.
+    """
     primed = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
-    raw = candidate.encode()
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    raw, least = candidate.encode(), len(packer.compress(b""))
+    count = -(-len(raw) // PIECE)
+    ends = [i * len(raw) // count for i in range(count + 1)]
+    return max((len(packer.compress(raw[a:b])) - least) / (b - a) for a, b in zip(ends, ends[1:]))
 
 
 def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:

@@ -105,6 +105,16 @@ def test_values_right_behind_their_names_are_found(name):
     assert [s["stop"] for s in secret_scan.spans_of("private_key: Zx9Kq2mL=7pLd8fGh2nM4")] == [34]
 
 
+@pytest.mark.parametrize("letters", ["0123456789", "0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_random_keys_of_all_lengths_are_found(letters):
+    rng = random.Random(len(letters))
+    for size in (16, 17, 24, 47, 48, 49, 63, 64, 65, 96, 97, 128, 200, 256, 512, 800, 1600, 4000):
+        key = "7" + "".join(rng.choices(letters, k=size - 1))
+        assert secret_scan.redacted(f"the bearer credential {key} is here") == "the bearer credential [SECRET] is here"
+        assert secret_scan.novelty(key, "the bearer credential ") >= secret_scan.NOVELTY
+    assert not secret_scan.spans_of("the bearer credential " + "default/example0/" * 40 + " is here")
+
+
 def test_secrets_of_awkward_rows(awkward, empty):
     rows = secret_scan.scan(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
