@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm and lifted by one component, so that the nearest
-point is the one with the largest inner product.  Each table cuts several Gaussian
-projections into intervals of one width; the intervals of a vector name its bucket.  A
+Vectors are hashed by direction, each scaled by its own norm (one norm for all would crowd
+short vectors into few buckets).  Long vectors have large inner products from far directions
+too, so those with the largest norms are candidates of every query.  Each table cuts several
+Gaussian projections into intervals of one width; the intervals of a vector name its bucket.  A
 query visits its own bucket and perturbed ones (each projection one interval down or up),
 those first that are most likely to hold neighbours: by the summed squared distance to
 the visited intervals.  Candidates of all tables are ranked by exact inner products.
 
 Buckets are dealt to blocks of bounded size (large buckets are split), and queries travel
 to the blocks they probe; a block keeps the best few of each of its queries, so candidate
-pairs never become rows.  Equal vectors are one class, searched once.
+pairs never become rows.  Equal vectors are one class, searched once.  Queries that found
+fewer than they ask for, though there are more vectors, are compared with all.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without an id or with another length than most vectors have (of equally frequent lengths the
@@ -31,6 +33,10 @@ TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 1.5, 100
 #: Vectors of a block, and queries that meet one copy of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 16_384
 SALTS = 256
+#: Vectors with the largest norms that every query meets, give or take the error of a quantile.
+HEAD = 1024
+#: Table numbers of the largest vectors and of the comparison with all.
+LARGEST, ALL = -1, -2
 
 
 class Hashing:
@@ -39,7 +45,7 @@ class Hashing:
     def __init__(self, dimensions: int, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.tables, self.projections, self.width = tables, projections, width
-        self.lines = rng.standard_normal((dimensions + 1, tables * projections))
+        self.lines = rng.standard_normal((dimensions + 1, tables * projections))[:dimensions]
         self.offsets = rng.uniform(0, 1, tables * projections)
         self.steps = np.array(list(itertools.product((-1, 0, 1), repeat=projections)), np.int64)
         self.probes = min(probes, len(self.steps))
@@ -80,6 +86,12 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors scaled to norm 1; the first division keeps squares in range."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def clean(vectors: DataFrame, query: Column) -> DataFrame:
     """``id``, ``vec``, ``is_query`` and the class key of all rows that take part."""
     vec = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
@@ -143,6 +155,20 @@ def best_in_block(k: int):
     return search
 
 
+def lists_of(data: DataFrame, asked: DataFrame, classes: DataFrame, k: int, times: int) -> DataFrame:
+    """For each query class ``best``, the ids of its best classes in order; a class meets a query ``times`` times at most."""
+    keys = ["tab", "block", "part", "copy"]
+    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
+        best_in_block(k), "cls bigint, found array<struct<score:double,cls:bigint>>"
+    )
+    # The best of all blocks; a block gives at most k + 1.
+    every = F.transform(F.flatten(F.collect_list("found")), lambda f: F.struct((-f["score"]).alias("less"), f["cls"].alias("near")))
+    best = F.slice(F.array_distinct(F.slice(F.sort_array(every), 1, (k + 1) * times)), 1, k + 1)
+    best = found.groupBy("cls").agg(best.alias("best")).select("cls", F.explode("best").alias("_")).select("cls", "_.less", "_.near")
+    members = best.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "less", F.explode("ids").alias("id"))
+    return members.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("less", "id"))).alias("best"))
+
+
 def search(vectors: DataFrame, query: Column, k: int = 20, **parameters) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the nearest found of each query row of ``vectors``.
 
@@ -154,31 +180,34 @@ def search(vectors: DataFrame, query: Column, k: int = 20, **parameters) -> Data
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == length["n"])
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    classes = settle(classes_of(rows, k).withColumn("norm", norm))
-    facts = classes.agg(F.max("norm").alias("norm"), F.count("*").alias("n"), F.count_if("is_query").alias("queries")).first()
+    # Equal norms differ a little, so that a quantile can part them.
+    weight = norm * (1 + 1e-9 * F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) / 1_000_003)
+    classes = settle(classes_of(rows, k).withColumn("weight", weight))
+    facts = classes.agg(F.count("*").alias("n"), F.count_if("is_query").alias("queries"), F.sum(F.size("ids")).alias("ids")).first()
     hashing = Hashing(length["n"], **parameters)
-    largest = facts["norm"]
+    above = -1.0
+    if facts["n"] > HEAD:
+        accuracy = min(1_000_000, max(10_000, 4 * facts["n"] // HEAD))
+        above = classes.agg(F.percentile_approx("weight", 1 - HEAD / facts["n"], accuracy)).first()[0]
 
     @F.arrow_udf("array<bigint>")
     def buckets(batch: pa.Array) -> pa.Array:
-        scaled = matrix(batch) / largest
-        lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
-        found = hashing.buckets(np.column_stack((scaled, lift)))
+        found = hashing.buckets(directions(matrix(batch)))
         return pa.array(list(found), pa.list_(pa.int64()))
 
     @F.arrow_udf("array<array<bigint>>")
     def probed(batch: pa.Array) -> pa.Array:
         out = []
         for start in range(0, len(batch), 256):
-            part = matrix(batch.slice(start, 256))
-            part = part / np.linalg.norm(part, axis=1, keepdims=True)
-            out += [list(p) for p in hashing.probed(np.column_stack((part, np.zeros(len(part)))))]
+            out += [list(p) for p in hashing.probed(directions(matrix(batch.slice(start, 256))))]
         return pa.array(out, pa.list_(pa.list_(pa.int64())))
 
     blocks = max(1, -(-facts["n"] // BLOCK_ROWS))
     copies = 1 + facts["queries"] // BLOCK_QUERIES
     block = F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block")
-    data = settle(classes.select("cls", F.posexplode(buckets("vec")).alias("tab", "code")))
+    every_query = [F.lit(LARGEST).alias("tab"), F.lit(0).cast("bigint").alias("code")]
+    data = classes.select("cls", F.posexplode(buckets("vec")).alias("tab", "code"))
+    data = settle(data.union(classes.where(F.col("weight") > above).select("cls", *every_query)))
     # Buckets over the size of a block are split; there are few, as each holds many rows.
     large = data.groupBy("tab", "code").count().where(F.col("count") > BLOCK_ROWS)
     large = settle(large.select("tab", "code", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts")))
@@ -188,21 +217,27 @@ def search(vectors: DataFrame, query: Column, k: int = 20, **parameters) -> Data
     data = data.select("tab", block, "part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "code", "cls", "vec")
     asking = classes.where("is_query")
     asked = asking.select("cls", F.posexplode(probed("vec")).alias("tab", "codes")).select("cls", "tab", F.explode("codes").alias("code"))
+    asked = asked.union(asking.select("cls", *every_query))
     asked = asked.join(large, ["tab", "code"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     asked = asked.groupBy("cls", "tab", block, "part").agg(F.collect_set("code").alias("codes"))
     asked = asked.withColumn("copy", F.pmod(F.xxhash64("cls"), F.lit(copies)).cast("int")).join(asking.select("cls", "vec"), "cls")
-    keys = ["tab", "block", "part", "copy"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
-        best_in_block(k), "cls bigint, found array<struct<score:double,cls:bigint>>"
-    )
-    # The best of all blocks; a block gives at most k + 1.
-    every = F.transform(F.flatten(F.collect_list("found")), lambda f: F.struct((-f["score"]).alias("less"), f["cls"].alias("near")))
-    # A class lies in one block of each table, so it comes at most that often.
-    head = F.slice(F.sort_array(every), 1, (k + 1) * hashing.tables)
-    best = F.slice(F.array_distinct(head), 1, k + 1)
-    best = found.groupBy("cls").agg(best.alias("best")).select("cls", F.explode("best").alias("_")).select("cls", "_.less", "_.near")
-    members = best.join(classes.select(F.col("cls").alias("near"), "ids"), "near").select("cls", "less", F.explode("ids").alias("id"))
-    lists = members.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("less", "id"))).alias("best"))
+    lists = settle(lists_of(data, asked, classes, k, hashing.tables + 1))
+    # Those with fewer than their own and k others, compared with all.
+    short = asking.select("cls", "vec").join(lists.select("cls", F.size("best").alias("n")), "cls", "left")
+    short = settle(short.where(F.coalesce("n", F.lit(0)) < min(k + 1, facts["ids"])).select("cls", "vec"))
+    missing = short.count()
+    if missing:
+        copies = 1 + missing // BLOCK_QUERIES
+        place = [F.lit(ALL).alias("tab"), F.lit(0).cast("bigint").alias("part")]
+        data = classes.select(
+            *place, F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
+            F.lit(0).cast("bigint").alias("code"), "cls", "vec",
+        )
+        asked = short.select(
+            *place, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
+            F.pmod(F.xxhash64("cls"), F.lit(copies)).cast("int").alias("copy"), F.array(F.lit(0).cast("bigint")).alias("codes"), "cls", "vec",
+        )
+        lists = lists.join(short, "cls", "left_anti").union(lists_of(data, asked, classes, k, 1))
     owners = rows.where("is_query").select("id", "key").distinct().join(classes.select("key", "cls"), "key").select(F.col("id").alias("query_id"), "cls")
     own = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     out = owners.join(lists, "cls").select("query_id", F.posexplode(own).alias("_at", "_"))

@@ -206,6 +206,38 @@ def test_search_with_copies_and_unusable_vectors(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def searched(spark, rows):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.search(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    return got
+
+
+@pytest.mark.parametrize("norms", ["one long", "spread", "wide"])
+def test_search_finds_most_neighbours_of_unequal_norms(spark, norms):
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
+    rng = np.random.default_rng(3)
+    scales = np.where(np.arange(len(rows)) == 5, 100.0, 1.0) if norms == "one long" else np.exp({"spread": 0.5, "wide": 2.0}[norms] * rng.standard_normal(len(rows)))
+    rows = [(i, v * s) for (i, v), s in zip(rows, scales, strict=True)]
+    got, want = searched(spark, rows), nearest(rows)
+    assert got.keys() == want.keys() and all([r for r, _ in mine] == list(range(1, 21)) for mine in got.values())
+    assert sum(len({i for _, i in got[q]} & {i for i, _ in best}) for q, best in want.items()) >= 0.9 * 20 * len(want)
+
+
+@pytest.mark.parametrize("head", [ann.HEAD, 1])
+@pytest.mark.parametrize("count", [1, 5, 20, 21, 40])
+def test_search_of_tiny_tables_finds_all(spark, monkeypatch, count, head):
+    monkeypatch.setattr(ann, "HEAD", head)
+    rng = np.random.default_rng(count)
+    rows = [(i, rng.standard_normal(8) * 10.0 ** rng.integers(-3, 4)) for i in range(count)]
+    rows[-1] = (count - 1, -rows[0][1]) if count > 1 else rows[-1]
+    got, want = searched(spark, rows), nearest(rows)
+    assert {q: len(best) for q, best in want.items() if best} == {q: len(mine) for q, mine in got.items()}
+    if head > 1 or count <= 21:
+        assert got == {q: [(n, i) for n, (i, _) in enumerate(best, 1)] for q, best in want.items() if best}
+
+
 # 4 ----------------------------------------------------------------------------
 
 
