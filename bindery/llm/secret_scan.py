@@ -1,10 +1,12 @@
 """Secret scans: dictionary-primed zstandard novelty.
 
 Candidates are strings that three base patterns find and long strings of key
-characters that follow a sensitive word on the same line, also in a name before ``=``.  Each candidate is
+characters that follow a sensitive word closely, also in a name before ``=``, over line ends
+and one after the other (the lines of a key); of those, the parts outside base findings.  Each candidate is
 compressed with a dictionary of the code around it and of common identifiers; the
 marginal bytes per character are its novelty.  Base findings are always reported;
-other candidates only if they are incompressible.
+other candidates only if they are incompressible, with or without digits, so a long rare word
+close behind a sensitive one is reported too.
 
 Null and empty texts have no spans.  Repeated rows are scanned each for itself.
 Spans count code points, ends exclusive, and are ordered by start, then kind.
@@ -31,6 +33,8 @@ BASE = KINDS[:3]
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential|auth|bearer|private|access", re.A | re.I)
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST = 16
+#: What stands between the lines of one key.
+GAP = re.compile(r"(?:[\s\"'+,]|\\[nr]?)*")
 #: Code points before a candidate that may hold the sensitive word, and on each side that prime the compressor.
 REACH, AROUND = 48, 256
 #: Bytes measured at once: from 64 on the compressor codes single letters, so keys of a small alphabet would look compressible.
@@ -69,34 +73,41 @@ def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:
     found = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
-    taken = sorted((a, b) for _, a, b, _ in found)
-    at = 0
+    taken = sorted((a, b, value) for _, a, b, value in found)
+    at, last = 0, -REACH - 1
     out = []
     for match in LONG.finditer(text):
         stop = match.end()
         while at < len(taken) and taken[at][1] <= match.start():
             at += 1
         for start, named in values_of(text, *match.span()):
-            if not any(c.isdigit() for c in text[start:stop]):
+            follows = start - last <= REACH and GAP.fullmatch(text, last, start)
+            if not (named or follows or SENSITIVE.search(text, max(0, start - REACH), start)):
                 continue
-            # The first span that ends behind the start is the first that can overlap.
-            near = at
-            while near < len(taken) and taken[near][1] <= start:
-                near += 1
-            if near < len(taken) and taken[near][0] < stop:
-                continue
-            before = text[max(0, start - REACH) : start].rpartition("\n")[2]
-            if named or SENSITIVE.search(before):
-                value = novelty(text[start:stop], around(text, start, stop))
-                if value >= threshold:
-                    out.append(("novel", start, stop, value))
-                    break
+            parts = [(a, b, novelty(text[a:b], around(text, a, b))) for a, b in outside(start, stop, taken, at)]
+            if parts := [("novel", *p) for p in parts if p[2] >= threshold]:
+                out += parts
+                last = stop
+                break
     for kind, start, stop, value in found:
         out.append((kind, start, stop, novelty(text[value:stop], around(text, value, stop))))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [dict(zip(("kind", "start", "stop", "novelty"), s, strict=True)) for s in out]
 
 
+def outside(start: int, stop: int, taken: list[tuple[int, int, int]], at: int) -> list[tuple[int, int]]:
+    """The parts of a candidate outside base spans that are long enough; what leads to the name in a span belongs to the name."""
+    out = []
+    while start < stop:
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        a, b, value = taken[at] if at < len(taken) else (stop, stop, stop)
+        if min(a, stop) - start >= LEAST and not a < value <= stop:
+            out.append((start, min(a, stop)))
+        start = b if a < stop else stop
+    return out
+
+
 def values_of(text: str, start: int, stop: int) -> list[tuple[int, bool]]:
     """Where the value of a run of key characters may start, and whether a sensitive name stands right before it.
 

@@ -115,6 +115,23 @@ def test_random_keys_of_all_lengths_are_found(letters):
     assert not secret_scan.spans_of("the bearer credential " + "default/example0/" * 40 + " is here")
 
 
+def test_keys_over_line_ends_without_digits_and_around_base_spans_are_found():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, of=letters + "0123456789+/": "".join(rng.choices(of, k=n))
+    mask = "[SECRET]"
+    frame = "x\n-----BEGIN PRIVATE KEY-----\n{}\n-----END PRIVATE KEY-----\nend"
+    assert secret_scan.redacted(frame.format("\n".join([*(key(64) for _ in range(20)), key(30) + "=="]))) == frame.format("\n".join([mask] * 21))
+    for text in ('{{"private_key":\n   "{}"}}', "credential: >\n  {}\n", "bearer {} end"):
+        for value in (key(24), key(24, letters), key(300, letters)):
+            assert secret_scan.redacted(text.format(value)) == text.format(mask)
+    assert secret_scan.redacted(f"private: {key(20)}-{key(24, '0123456789abcdef')}-{key(20)} b") == f"private: {mask * 3} b"
+    assert secret_scan.redacted("access my_long_variable_of_the_api_key=Zx9Kq2mLv7p") == f"access my_long_variable_of_the_{mask}"
+    assert not secret_scan.spans_of("-----BEGIN PUBLIC KEY-----\nprivate\n" + "-" * 40 + "\n" + "=" * 40)
+    far = "private_key " + "word " * 40
+    assert not secret_scan.spans_of(f"{far}{key(24, letters)}")
+
+
 def test_secrets_of_awkward_rows(awkward, empty):
     rows = secret_scan.scan(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
