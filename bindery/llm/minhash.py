@@ -422,7 +422,19 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group: that with the group's smallest doc_id."""
-    found = components_of(docs, words, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(settle(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The documents with one of each group: that with the group's smallest doc_id.
+
+    Rows without a doc_id go by a number from their text, above the usual ids; of those with
+    equal texts one row stays, the smallest by its other columns.  Rows that repeat a doc_id stay or go together.
+    """
+    number = F.lit((1 << 63) - 1) - F.xxhash64("text").bitwiseAND((1 << 62) - 1)
+    number = number.cast(docs.schema["doc_id"].dataType)
+    found = components_of(docs.withColumn("doc_id", F.coalesce("doc_id", number)), words, percent)
+    gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    nameless = docs.where("doc_id is null").join(gone, number == F.col("_gone"), "left_anti")
+    filled = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(*[c for c, n in zip(columns, docs.columns, strict=True) if n != "text"]))
+    least = nameless.where(filled).groupBy("text").agg(F.min_by(F.struct(*columns), others).alias("_")).select("_.*")
+    return named.unionByName(nameless.where(~filled)).unionByName(least)

@@ -468,6 +468,18 @@ def test_duplicates_of_awkward_rows(spark, awkward, empty):
     assert minhash.components_of(empty).count() == 0 and minhash.keep_one(empty).count() == 0
 
 
+def test_copies_without_ids_go(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, one, 3), (None, one, 2), (None, one.upper(), 1), (None, two, 5), (7, two, 6), (None, two + " end", 4)]
+    rows += [(None, "its own words", 8), (None, None, 9), (None, None, 9), (None, " ", 10), (None, "", 11), (None, "", 11)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(r[2] for r in got if r[2] > 3) == [6, 8, 9, 9, 10, 11, 11]
+    # Which spelling stays is the hash's choice; of equal texts it is the smallest row.
+    assert [r[2] for r in got if r[2] <= 3] in ([1], [2])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(500, i) for i in range(501, 540)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(80)]
