@@ -1,7 +1,8 @@
 """Sharding by Hilbert-curve order.
 
 Several metadata dimensions are quantised to equal steps between their smallest and
-largest values (strings by their first bytes), the cell of a row gets its index on the
+largest values (strings by rank: each distinct value its own step where they are few, else
+steps of about equal row counts), the cell of a row gets its index on the
 Hilbert curve, rows are sorted by it, and the order is cut into runs of equal row counts.
 Rows that are close in all dimensions land in the same shard, so the value ranges of
 a shard's files are narrow in every dimension.
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from bindery.session import settle
 
 BITS = 5
-PREFIX = 6  # leading bytes of a string that count
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -51,12 +51,25 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A number that keeps the order of the column's values."""
-    if dict(df.dtypes)[column] != "string":
-        return F.col(column).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0")
-    return F.conv(head, 16, 10).cast("double")
+def string_steps(rows: DataFrame, column: str, steps: int) -> list[tuple[str, int]]:
+    """The smallest string of each step with the step's number, in order.
+
+    Distinct values are sorted by range; slices add up their own rows, and one row per slice gives where each begins.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    sliced = settle(counts.repartitionByRange("value").withColumn("slice", F.spark_partition_id()))
+    sums = settle(sliced.groupBy("slice").agg(F.sum("n").alias("rows"), F.count("*").alias("values")))
+    total = sums.agg(F.sum("rows").alias("rows"), F.sum("values").alias("values")).first()
+    if not total["rows"]:
+        return []
+    # A step a value where that is possible, else by the rows before the value.
+    weight, whole = (F.lit(1), total["values"]) if total["values"] <= steps else (F.col("n"), total["rows"])
+    earlier = F.sum("values" if total["values"] <= steps else "rows").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("slice", F.coalesce(earlier, F.lit(0)).alias("start"))
+    before = F.sum(weight).over(Window.partitionBy("slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sliced.join(F.broadcast(starts), "slice").withColumn("before", F.col("start") + F.coalesce(before, F.lit(0)))
+    found = placed.groupBy(F.expr(f"int(before * {steps} div {whole})").alias("step")).agg(F.min("value").alias("value"))
+    return sorted((r["value"], r["step"]) for r in found.collect())
 
 
 def ordered(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
@@ -65,18 +78,24 @@ def ordered(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFra
     Ranks come from a table sorted by range: every slice numbers its own rows, and the
     slices' row counts (one row per slice) give where each begins.
     """
-    numbers = [as_number(rows, d).alias(f"_n{i}") for i, d in enumerate(dimensions)]
-    held = settle(rows.select("*", *numbers))
-    bounds = held.agg(*[f(f"_n{i}").alias(f"_{k}{i}") for i in range(len(dimensions)) for k, f in (("lo", F.min), ("hi", F.max))])
-    lows = bounds.first().asDict()
     steps = 1 << bits
+    held = settle(rows)
+    strings = {i: string_steps(held, d, steps) for i, d in enumerate(dimensions) if dict(rows.dtypes)[d] == "string"}
+    held = held.select("*", *[F.col(d).cast("double").alias(f"_n{i}") for i, d in enumerate(dimensions) if i not in strings])
+    ends = [f(f"_n{i}").alias(f"_{k}{i}") for i in range(len(dimensions)) if i not in strings for k, f in (("lo", F.min), ("hi", F.max))]
+    lows = held.agg(*ends).first().asDict() if ends else {}
 
     def cell(i: int) -> Column:
+        if i in strings:
+            found = F
+            for least, step in reversed(strings[i]):
+                found = found.when(F.col(dimensions[i]) >= least, step)
+            return F.lit(0) if found is F else found.otherwise(0)
         low, high = lows[f"_lo{i}"], lows[f"_hi{i}"]
         if low is None or low == high:
             return F.lit(0)
         scaled = F.floor((F.col(f"_n{i}") - F.lit(low)) / F.lit(high - low) * F.lit(steps))
-        return F.coalesce(F.least(scaled, F.lit(steps - 1)), F.lit(0)).cast("int")
+        return F.when(scaled.isNull(), 0).otherwise(F.least(scaled, F.lit(steps - 1))).cast("int")
 
     @F.pandas_udf("bigint")
     def curve(cells: pd.DataFrame) -> pd.Series:
@@ -84,7 +103,7 @@ def ordered(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFra
 
     names = [f"_c{i}" for i in range(len(dimensions))]
     placed = held.withColumns({n: cell(i) for i, n in enumerate(names)})
-    placed = placed.withColumn("hilbert", curve(F.struct(*names))).drop(*names, *[f"_n{i}" for i in range(len(dimensions))])
+    placed = placed.withColumn("hilbert", curve(F.struct(*names))).drop(*names, *[f"_n{i}" for i in range(len(dimensions)) if i not in strings])
     keys = ["hilbert", *rows.columns]
     sorted_rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     sliced = settle(

@@ -178,6 +178,21 @@ def test_shards_of_awkward_rows(awkward, empty, tmp_path):
     assert sharding.shard_ranges(found, ["doc_id"]).count() == 8
 
 
+def test_steps_of_strings_follow_their_rank_and_nulls_come_first(spark):
+    rows = [(f"https://example.org/src{i % 20}", float(i) if i % 9 else None, f"https://example.org/{i:04d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "source string, size double, url string")
+    few = {r["source"]: r["hilbert"] for r in sharding.ordered(df, ["source"]).collect()}
+    assert [few[s] for s in sorted(few)] == [i * 32 // 20 for i in range(20)]
+    many = sorted((r["url"], r["hilbert"]) for r in sharding.ordered(df, ["url"]).collect())
+    assert [h for _, h in many] == [i * 32 // 400 for i in range(400)]
+    sizes = [(r["size"], r["hilbert"]) for r in sharding.ordered(df, ["size"]).collect()]
+    assert {h for s, h in sizes if s is None} == {0} and {h for s, h in sizes} == set(range(32))
+    nulls = df.withColumn("source", F.when(F.col("size") > 5, F.col("source")))
+    assert {r["hilbert"] for r in sharding.ordered(nulls, ["source"]).collect() if r["source"] is None} == {0}
+    none = df.withColumn("source", F.lit(None).cast("string"))
+    assert {r["hilbert"] for r in sharding.ordered(none, ["source"]).collect()} == {0}
+
+
 # 3 ----------------------------------------------------------------------------
 
 
