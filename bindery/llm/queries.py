@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import ann, chat, decontaminate, langid, licenses, minhash, pieces, secret_scan, sharding, toxicity
+from bindery.llm import ann, chat, collocations, decontaminate, langid, licenses, minhash, mixing, pieces, secret_scan, sharding, spelling, toxicity
 from bindery.llm.common import crc_of_id, table, text_of
+from bindery.llm.oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,5 +127,21 @@ def op10_license_diagonals(spark, folder):
     )
 
 
-#: Statements for queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+@query
+def op11_spelling_variants(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_systematic_mix(spark, folder):
+    docs = table(spark, folder, "documents")
+    size = F.regexp_count(text_of(docs), F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = docs.select("doc_id", "source", size.alias("words"))
+    found = mixing.mix(rows, F.col("words"), F.col("source"), weights=[3, 1, 2], share=Fraction(3, 2), cap=2)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+@query
+def op13_phrase_collocations(spark, folder):
+    found = collocations.top(table(spark, folder, "documents"), 2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "doc_id")
