@@ -135,7 +135,7 @@ def export(
     else:
         ordered = blocks.sortWithinPartitions("region", "repo", "rel_path", "chunk_index")
         named = ordered.select("repo", name.alias("doc"), F.col("block").alias("text"))
-        write_sorted(named, output, whole=True)
+        write_sorted(named, output)
 
     # Manifest document.
     reasons = F.sort_array(F.collect_list(F.struct("reason", "files")))

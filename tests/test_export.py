@@ -187,7 +187,7 @@ def test_range_partitioned_documents_that_fit_one_task_are_one_file(spark, tmp_p
     rows = [(f"r{i:03d}", "a.txt", j, f"{j}\n") for i in range(50) for j in range(7)]
     df = spark.createDataFrame(rows, "repo string, doc string, n int, text string")
     placed = df.repartitionByRange(5, "repo", "doc", "n").sortWithinPartitions("repo", "doc", "n")
-    documents.write_sorted(placed, str(tmp_path), whole=False)
+    documents.write_sorted(placed, str(tmp_path))
     assert {p.name: read_text(p / "a.txt") for p in tmp_path.iterdir()} == {
         f"r{i:03d}": "".join(f"{j}\n" for j in range(7)) for i in range(50)
     }
