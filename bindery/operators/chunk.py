@@ -38,6 +38,19 @@ def large_files(
     )
 
 
+def too_long(files: DataFrame, row_bytes: int, skip: int | None = fixed.SKIP_LINES) -> DataFrame:
+    """Report rows of files that are not left out for their lines, but have no text, as it would not fit a row."""
+    return _fitting(files.where(F.col("size_bytes") > row_bytes), skip).select(
+        "repo",
+        F.col("rel_path").alias("path"),
+        F.lit(fixed.REASON_TOO_LONG).alias("reason"),
+        "line_count",
+        F.lit(None).cast("int").alias("threshold"),
+        F.lit(None).cast("int").alias("max_lines"),
+        F.lit(None).cast("int").alias("chunk_index"),
+    )
+
+
 def room(max_lines: int, overhead: int = fixed.EXACT_OVERHEAD) -> int:
     """Lines of content in a full chunk; a budget below the overhead leaves the budget."""
     return max_lines - overhead if max_lines > overhead else max_lines

@@ -95,11 +95,14 @@ def export(
         chosen = select.select_files(meta, wanted, base)
         chosen_meta = meta if wanted.mode == "all" else settle(scan.meta(chosen.files))
 
-    ranges = chunk.chunk_ranges(chosen_meta, max_lines, skip, overhead)
+    large = chunk.large_files(chosen_meta, warn, skip)
+    readable = chosen_meta
+    if scanned.row_bytes is not None:
+        large = large.unionByName(chunk.too_long(chosen_meta, scanned.row_bytes, skip))
+        readable = chosen_meta.where(F.col("size_bytes") <= scanned.row_bytes)
+    ranges = chunk.chunk_ranges(readable, max_lines, skip, overhead)
     packed = settle(pack.pack(settle(ranges), max_lines, overhead))
-    skipped = chunk.processing_skips(
-        chunk.large_files(chosen_meta, warn, skip), pack.oversized(ranges, max_lines, overhead)
-    )
+    skipped = chunk.processing_skips(large, pack.oversized(ranges, max_lines, overhead))
     result.metadata = chosen.metadata
     result.result = manifest.run_result(chosen_meta, packed)
     result.skipped_items = store("processing_skips", skipped)
