@@ -35,27 +35,29 @@ def describe(needs: np.ndarray, max_lines: int, whole: bool) -> np.ndarray:
     run fits, adding ``fill`` lines.  If nothing precedes the run (``whole`` is
     false) only the row for an empty bundle is needed.
     """
-    total = np.concatenate(([0], np.cumsum(needs, dtype=np.int64)))
+    total, after = next_openings(needs, max_lines)
     n = len(needs)
-    # after[i]: first chunk that does not fit into a bundle opened at chunk i.
-    after = np.searchsorted(total, total[:-1] + max_lines, side="right") - 1
+    # last[i]: the last bundle opened by a run of jumps from chunk i; closed[i]: how many jumps lead there.
+    last = np.where(after < n, after, np.arange(n)).astype(np.int32)
+    closed = (after < n).astype(np.int32)
+    while (last[last] != last).any():
+        closed, last = closed + closed[last], last[last]
     if not whole:
-        closed, at = 0, 0
-        while after[at] < n:
-            closed, at = closed + 1, int(after[at])
-        return np.array([[max_lines, closed, total[n] - total[at]]], dtype=np.int32)
-    jumps, closed, fill = after.tolist(), [0] * n, (total[n] - total[:-1]).tolist()
-    for i in range(n - 1, -1, -1):
-        nxt = jumps[i]
-        if nxt < n:
-            closed[i] = closed[nxt] + 1
-            fill[i] = fill[nxt]
+        return np.array([[max_lines, closed[0], total[n] - total[last[0]]]], dtype=np.int32)
     first = int(np.searchsorted(total, max_lines, side="right"))
-    rows = [(total[i], closed[i] + 1, fill[i]) for i in range(min(first, n))]
+    at = np.arange(min(first, n))
+    rows = np.stack([total[at], closed[at] + 1, total[n] - total[last[at]]], axis=1)
     if first > n:
-        rows.append((total[n], -1, total[n]))
-    kept = [r for i, r in enumerate(rows) if i == 0 or r[1:] != rows[i - 1][1:]]
-    return np.array(kept, dtype=np.int32)
+        rows = np.concatenate([rows, [[total[n], -1, total[n]]]])
+    changes = np.ones(len(rows), bool)
+    changes[1:] = (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)
+    return rows[changes].astype(np.int32)
+
+
+def next_openings(needs: np.ndarray, max_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums, and for each chunk the first that does not fit into a bundle opened at it."""
+    total = np.concatenate(([0], np.cumsum(needs, dtype=np.int64)))
+    return total, np.searchsorted(total, total[:-1] + max_lines, side="right") - 1
 
 
 def apply_description(state: tuple[int, int], table: np.ndarray, max_lines: int):
@@ -70,19 +72,22 @@ def apply_description(state: tuple[int, int], table: np.ndarray, max_lines: int)
 def next_fit(state: tuple[int, int], needs: np.ndarray, max_lines: int):
     """Bundle number (from 1) of each chunk, and the state afterwards."""
     bundles, used = state
-    total = np.concatenate(([0], np.cumsum(needs, dtype=np.int64)))
     n = len(needs)
-    ids = np.empty(n, dtype=np.int64)
-    at = 0
-    while at < n:
-        end = int(np.searchsorted(total, total[at] + max_lines - used, side="right")) - 1
-        if end == at:
-            bundles, used = bundles + 1, 0
-            continue
-        ids[at:end] = bundles + 1
-        used += int(total[end] - total[at])
-        at = end
-    return ids, (bundles, used)
+    if not n:
+        return np.empty(0, dtype=np.int64), state
+    total, after = next_openings(needs, max_lines)
+    start = int(np.searchsorted(total, max_lines - used, side="right")) - 1
+    if start >= n:
+        return np.full(n, bundles + 1), (bundles, used + int(total[n]))
+    # All places that jumps from the first opening reach: each round doubles the jumps and the places.
+    jump, found = np.append(after, n), np.array([start])
+    while jump[start] < n:
+        found = np.concatenate([found, jump[found]])
+        jump = jump[jump]
+    found = np.unique(found[found < n])
+    opened = np.zeros(n, dtype=np.int64)
+    opened[found] = 1
+    return bundles + 1 + np.cumsum(opened), (bundles + len(found), int(total[n] - total[found[-1]]))
 
 
 def pack(
@@ -146,11 +151,17 @@ def region_starts(packed: DataFrame) -> list[tuple[str, str, int]]:
 def region_of(starts: list[tuple[str, str, int]], index: str = "chunk_index") -> Column:
     """Number of the region a chunk belongs to, from its key alone: the starts not above it.
 
-    A comparison per start that the JVM makes; there is one start per slice at most.
+    A binary search over the sorted starts for each key of an Arrow batch; there is one start per slice at
+    most, and they are no part of the plan.
     """
-    keys = F.array(*[F.struct(F.lit(r).alias("repo"), F.lit(p).alias("rel_path"), F.lit(i).cast("int").alias("i")) for r, p, i in starts])
-    own = F.struct(F.col("repo").alias("repo"), F.col("rel_path").alias("rel_path"), F.col(index).cast("int").alias("i"))
-    return F.size(F.filter(keys, lambda k: k <= own)) if starts else F.lit(0)
+    if not starts:
+        return F.lit(0)
+
+    @F.pandas_udf("int")
+    def place(repo: pd.Series, path: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(starts, key) for key in zip(repo, path, number)], dtype="int32")
+
+    return place("repo", "rel_path", F.col(index).cast("int"))
 
 
 def by_region(df: DataFrame, starts: list[tuple[str, str, int]], index: str = "chunk_index") -> DataFrame:

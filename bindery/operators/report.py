@@ -129,18 +129,30 @@ def overview(
     """The overview text as rows ``(repo, section, ord, text)``.
 
     Every section is bounded: its rows are limited per repository.  Repositories
-    without a chosen file get no overview.
+    without a chosen file get no overview.  Both tables are read once: each file is a few rows (see
+    :func:`_facts`), one aggregate serves all sections, one window limits them, and the row of a
+    repository's totals becomes the frame.
     """
     root_name = F.col("repo") if root_name is None else root_name
-    counts = files.groupBy("repo").agg(
-        F.count("*").alias("all_files"),
-        F.count_if(reading_tier(F.col("rel_path")).isNotNull()).alias("to_read"),
-        F.count_if(paths.file_name(F.col("rel_path")).isin(fixed.DEPENDENCY_NAMES)).alias("deps"),
-    )
-    chosen = selected.groupBy("repo").agg(F.count("*").alias("chosen_files"))
-    found = frameworks(files)
-    has_framework = found.groupBy("repo").agg(F.count("*").alias("n_frameworks"))
-    facts = counts.join(chosen, "repo").join(has_framework, "repo", "left")
+    facts = _facts(files, selected)
+    limits = {
+        DEPENDENCY: fixed.DEPENDENCIES_IN_OVERVIEW,
+        CATEGORY: len(fixed.CATEGORY_DESCRIPTIONS),
+        FOLDER: fixed.FOLDERS_IN_OVERVIEW,
+        READ: fixed.READING_ORDER_LENGTH,
+    }
+    most = F.lit(1)
+    for kind, limit in limits.items():
+        most = F.when(F.col("kind") == kind, limit).otherwise(most)
+    size = F.when(F.col("kind").isin(CATEGORY, FOLDER), -F.col("files")).otherwise(F.col("tier"))
+    name = F.when(F.col("kind") == CATEGORY, F.col("first_path")).otherwise(F.col("key"))
+    ranked = facts.withColumns({"_size": size, "_name": name})
+    place = F.row_number().over(Window.partitionBy("repo", "kind").orderBy("_size", "_name"))
+    # Spark applies the fixed limit in every partition before the shuffle.
+    few = ranked.withColumn("place", place).where(F.col("place") <= max(limits.values())).where(F.col("place") <= most)
+    # A repository has a few dozen rows by now.
+    chosen = F.max("chosen_files").over(Window.partitionBy("repo"))
+    few = few.withColumn("_chosen", chosen).where(F.col("_chosen") > 0)
 
     def row(section: int, at: int, text, only=None):
         text = F.lit(text) if isinstance(text, str) else text
@@ -149,7 +161,7 @@ def overview(
             F.lit(section).alias("section"), F.lit(at).alias("ord"), text.alias("text"), when.alias("only")
         )
 
-    some_frameworks = F.col("n_frameworks").isNotNull()
+    some_frameworks = F.col("marks") > 0
     some_deps = F.col("deps") > 0
     some_reading = F.col("to_read") > 0
     more = F.col("to_read") - fixed.READING_ORDER_LENGTH
@@ -169,6 +181,10 @@ def overview(
         row(1, end, ""),
         row(2, -2, FRAMEWORKS, some_frameworks),
         row(2, -1, LIGHT, some_frameworks),
+        *[
+            row(2, i + 1, f"  • {framework}", F.col("marks").bitwiseAND(1 << i) > 0)
+            for i, framework in enumerate(fixed.FRAMEWORK_ENDINGS)
+        ],
         row(2, end, "", some_frameworks),
         row(3, -2, DEPENDENCIES, some_deps),
         row(3, -1, LIGHT, some_deps),
@@ -187,20 +203,14 @@ def overview(
         row(7, 2, "END OF PROJECT OVERVIEW"),
         row(7, 3, HEAVY),
     )
-    lines = facts.select("repo", F.inline(F.filter(frame, lambda r: r["only"]))).drop("only")
-
-    def section(df: DataFrame, number: int, text: Column) -> DataFrame:
-        return df.select(
-            "repo", F.lit(number).alias("section"), F.col("place").alias("ord"), text.alias("text")
-        )
 
     def bullet(column: str) -> Column:
         return F.concat(F.lit("  • "), F.col(column))
 
-    def counted(label: str, width: int) -> Column:
+    def counted(width: int) -> Column:
         return F.concat(
             F.lit("  "),
-            _left(F.col(label), width),
+            _left(F.col("key"), width),
             F.lit(" "),
             _right(F.col("files"), 4),
             F.lit(" files  "),
@@ -208,25 +218,62 @@ def overview(
             F.lit(" lines"),
         )
 
-    first_deps = first_rows(
-        dependency_files(files), [F.asc("rel_path")], fixed.DEPENDENCIES_IN_OVERVIEW
+    kind = F.col("kind")
+    described = F.concat(counted(15), F.lit("  | "), paths.category_description(F.col("key")))
+    text = (
+        F.when(kind == DEPENDENCY, bullet("key"))
+        .when(kind == CATEGORY, described)
+        .when(kind == FOLDER, counted(20))
+        .otherwise(F.concat(F.lit("  "), _right(F.col("place"), 3), F.lit(". "), F.col("key")))
     )
-    body = [
-        section(found, 2, bullet("framework")),
-        section(first_deps, 3, bullet("rel_path")),
-        section(
-            category_table(selected),
-            4,
-            F.concat(counted("category", 15), F.lit("  | "), F.col("description")),
-        ),
-        section(top_folders(selected, fixed.FOLDERS_IN_OVERVIEW), 5, counted("folder", 20)),
-        section(
-            reading_order(files),
-            6,
-            F.concat(F.lit("  "), _right(F.col("place"), 3), F.lit(". "), F.col("rel_path")),
-        ),
-    ]
-    for part in body:
-        # Sections other than the frame exist only where the frame does.
-        lines = lines.unionByName(part.join(facts.select("repo"), "repo", "left_semi"))
-    return lines
+    own = F.array(F.struct(kind.alias("section"), F.col("place").alias("ord"), text.alias("text"), F.lit(True).alias("only")))
+    rows = F.when(kind == TOTAL, F.filter(frame, lambda r: r["only"])).otherwise(own)
+    return few.select("repo", F.inline(rows)).drop("only")
+
+
+# Kinds of facts; those of files and folders are the numbers of their sections.
+TOTAL, DEPENDENCY, CATEGORY, FOLDER, READ = 0, 3, 4, 5, 6
+
+
+def _facts(files: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row per repository, category, folder, dependency file and file to read, in one aggregate.
+
+    Row counts are ``files``; the total of a repository also has its chosen files, its dependency files, its files to
+    read, and a bit in ``marks`` for each framework that shows.
+    """
+    name = paths.file_name(F.col("rel_path"))
+    tier = reading_tier(F.col("rel_path"))
+    depends = name.isin(fixed.DEPENDENCY_NAMES)
+    marks = F.lit(0).cast("bigint")
+    for i, endings in enumerate(fixed.FRAMEWORK_ENDINGS.values()):
+        found = paths.any_of(name.endswith(e) for e in endings.split())
+        marks = marks + F.when(found, F.lit(1 << i)).otherwise(0)
+
+    def fact(kind: int, key, only: Column, **values: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        named = {n: values.get(n, zero).cast("bigint").alias(n) for n in ("tier", "marks", "chosen_files", "to_read", "deps")}
+        return F.struct(F.lit(kind).alias("kind"), (F.lit("") if key is None else key).alias("key"), *named.values(), only.alias("only"))
+
+    def rows(df: DataFrame, *facts: Column) -> DataFrame:
+        items = F.inline(F.filter(F.array(*facts), lambda f: f["only"]))
+        return df.select("repo", "rel_path", "line_count", items).drop("only")
+
+    one, always = F.lit(1), F.lit(True)
+    everything = rows(
+        files,
+        fact(TOTAL, None, always, marks=marks, to_read=tier.isNotNull().cast("int"), deps=depends.cast("int")),
+        fact(DEPENDENCY, F.col("rel_path"), depends),
+        fact(READ, F.col("rel_path"), tier.isNotNull(), tier=F.coalesce(tier, F.lit(0))),
+    )
+    chosen = rows(
+        selected,
+        fact(TOTAL, None, always, chosen_files=one),
+        fact(CATEGORY, F.col("category"), always),
+        fact(FOLDER, paths.folder(F.col("rel_path"), 2), always),
+    )
+    sums = [F.sum(n).alias(n) for n in ("chosen_files", "to_read", "deps")]
+    counted = everything.unionByName(chosen).groupBy("repo", "kind", "key").agg(
+        F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.min("rel_path").alias("first_path"),
+        F.min("tier").alias("tier"), F.bit_or("marks").alias("marks"), *sums,
+    )
+    return counted.withColumn("all_files", F.col("files") - F.col("chosen_files"))

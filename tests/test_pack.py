@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,27 @@ def test_descriptions_stay_small():
     assert len(pack.describe(needs, 8000, whole=True)) <= 801
 
 
+@pytest.mark.parametrize("low, high", [(10, 400), (8000, 8001), (1, 2)])
+def test_long_slices_take_seconds(low, high):
+    """No step of Python for each chunk, whether a bundle holds one of them or all that fit."""
+    needs = np.random.default_rng(2).integers(low, high, 5_000_000)
+    start = time.time()
+    table = pack.describe(needs, 8000, whole=True)
+    ids, after = pack.next_fit((3, 1000), needs, 8000)
+    assert time.time() - start < 30
+    assert pack.apply_description((3, 1000), table, 8000) == after and (np.diff(ids) >= 0).all()
+    assert ids[-1] == after[0] + 1
+
+
+def test_regions_are_looked_up_among_many_starts(spark):
+    starts = [(f"r{i:04d}", "p", i % 7) for i in range(5000)]
+    df = spark.createDataFrame([("r", "p", 0), ("r0000", "p", 0), ("r4321", "p", 1), ("r4321", "p", 2), ("z", "é", 3)], "repo string, rel_path string, chunk_index int")
+    placed = df.withColumn("region", pack.region_of(starts))
+    assert len(placed._jdf.queryExecution().toString()) < 20_000
+    for row in placed.collect():
+        assert row["region"] == sum(s <= (row["repo"], row["rel_path"], row["chunk_index"]) for s in starts)
+
+
 def rows(n, seed=3):
     """One repository with most rows, and many small ones."""
     rng = random.Random(seed)
