@@ -4,7 +4,9 @@ A user types a handful of inputs, so they are literals of the plan.  Each file
 rates the inputs that fit it with a tier; one aggregate finds the best tier per
 repository and input; a file stays if it fits some input at that input's best
 tier.  Only fitting pairs ever become rows, and only to be aggregated; no set
-union is needed because each file is judged once.
+union is needed because each file is judged once.  Long lists of inputs or keywords are no literals:
+an automaton finds those that a path or a text holds (:mod:`bindery.functions.finder`), and only
+these are rated.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions import naming, paths, text
+from bindery.functions import finder, naming, paths, text
 
 # Names of the selection modes.
 MODES = ["all", "category", "path", "mixed", "keyword", "non_interactive"]
@@ -67,6 +69,9 @@ def _lowered() -> Column:
 
 def by_keyword(files: DataFrame, keywords) -> DataFrame:
     """Files whose text contains one of the keywords, in any case."""
+    if len(keywords) > finder.MANY:
+        lowered = list(dict.fromkeys(k.lower() for k in keywords))
+        return files.where(F.size(finder.found_texts(_lowered(), lowered)) > 0)
     hit = text.let(_lowered(), lambda low: paths.any_of(_has_keyword(k, low) for k in keywords))
     return files.where(hit)
 
@@ -74,6 +79,9 @@ def by_keyword(files: DataFrame, keywords) -> DataFrame:
 def matched_keywords(files: DataFrame, keywords) -> DataFrame:
     """``(repo, keyword, files)`` for the keywords that occur, one pass over the texts."""
     lowered = list(dict.fromkeys(k.lower() for k in keywords))
+    if len(lowered) > finder.MANY:
+        found = files.select("repo", F.explode(finder.found_texts(_lowered(), lowered)).alias("keyword"))
+        return found.groupBy("repo", "keyword").agg(F.count("*").alias("files"))
     counts = [F.count_if(F.col(f"_h{i}")).alias(f"_k{i}") for i, k in enumerate(lowered)]
     rows = F.array(
         *[
@@ -120,15 +128,15 @@ def _path_tier(raw: Column, root: Column) -> Column:
     return F.when(exact, 0).when(paths.file_name(path) == raw["name"], 1)
 
 
-def _path_input(raw: str) -> Column:
+def _path_input(raw: str) -> dict[str, str | None]:
     value = raw.strip()
     bare = "/" not in raw and "\\" not in raw
-    return F.struct(
-        F.lit(raw).alias("input"),
-        F.lit(_plain_input(raw)).alias("plain"),
-        F.lit(posixpath.normpath(value)).alias("resolved"),
-        F.lit(value if bare else None).cast("string").alias("name"),
-    )
+    return {
+        "input": raw,
+        "plain": _plain_input(raw),
+        "resolved": posixpath.normpath(value),
+        "name": value if bare else None,
+    }
 
 
 def _word_tier(word: Column, root: Column) -> Column:
@@ -139,9 +147,6 @@ def _word_tier(word: Column, root: Column) -> Column:
     typed = F.when(F.startswith(word["input"], F.lit("/")), below).otherwise(word["input"])
     slash = F.lit("/")
 
-    def flat(c: Column) -> Column:
-        return F.translate(c, "/\\", "")
-
     return (
         F.when(path == typed, 1)
         .when(F.endswith(path, F.concat(slash, typed)), 2)
@@ -151,12 +156,16 @@ def _word_tier(word: Column, root: Column) -> Column:
             4,
         )
         .when(F.contains(path, typed), 5)
-        .when(F.startswith(flat(path), flat(typed)), 6)
+        .when(F.startswith(_flat(path), _flat(typed)), 6)
     )
 
 
-def _word_input(word: str) -> Column:
-    return F.struct(F.lit(word).alias("input"))
+def _flat(c: Column) -> Column:
+    return F.translate(c, "/\\", "")
+
+
+def _word_input(word: str) -> dict[str, str | None]:
+    return {"input": word}
 
 
 @dataclass(frozen=True)
@@ -164,7 +173,7 @@ class _Typed:
     """Typed inputs and the way to rate a path against one of them."""
 
     inputs: tuple[str, ...]
-    literal: Callable[[str], Column]
+    fields: Callable[[str], dict[str, str | None]]
     tier: Callable[[Column, Column], Column]
     base: str
 
@@ -172,11 +181,24 @@ class _Typed:
         """Array of ``(input, tier)`` for the inputs that fit the row's path."""
         root = F.concat(F.lit(self.base.rstrip("/") + "/"), F.col("repo"))
         rated = F.transform(
-            F.array(*map(self.literal, self.inputs)),
+            self._rows(root),
             lambda i: F.struct(i["input"].alias("input"), self.tier(i, root).alias("tier")),
         )
         return F.filter(rated, lambda f: f["tier"].isNotNull())
 
+    def _rows(self, root: Column) -> Column:
+        """Array of the inputs that may fit the row's path: all of a handful, else those the path holds."""
+        rows = [self.fields(i) for i in self.inputs]
+        if len(rows) <= finder.MANY:
+            return F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in row.items()]) for row in rows])
+        # Whatever the tier, the path or its absolute form holds the input or what is left of it below a
+        # root; or the path without slashes starts with the input without slashes.
+        texts = [(t, i) for i, row in enumerate(rows) for v in row.values() if v is not None for t in finder.tails(v.strip().rstrip("/"))]
+        flat = [(t.replace("/", "").replace("\\", ""), i) for t, i in texts]
+        kind = "struct<" + ", ".join(f"{n}: string" for n in rows[0]) + ">"
+        path = F.concat(root, F.lit("/"), F.col("rel_path"))
+        return finder.candidates(path, _flat(F.col("rel_path")), finder.labelled(texts), finder.labelled(flat), rows, kind)
+
 
 def _as_paths(raw, base: str) -> _Typed:
     return _Typed(tuple(clean_inputs(raw)), _path_input, _path_tier, base)
@@ -209,7 +231,9 @@ def _first_tier(files: DataFrame, chosen: DataFrame, typed: _Typed) -> DataFrame
     """
     if not typed.inputs:
         return chosen.where(F.lit(False))
-    rated = chosen.withColumn("_fits", typed.fits()).where(F.size("_fits") > 0)
+    # A generator of one row, so that no Python call is copied into the join.
+    once = F.inline(F.array(F.struct(typed.fits().alias("_fits"))))
+    rated = chosen.select("*", once).where(F.size("_fits") > 0)
     return (
         rated.join(_best_map(files, typed), "repo")
         .where(F.exists("_fits", lambda f: f["tier"] == F.col("_best")[f["input"]]))
