@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from bindery.functions import fixed, naming, paths, redact, text
 from bindery.operators import chunk, manifest, pack, render, report, scan, select, tree
-from bindery.session import settle
-from bindery.sources import tables
+from bindery.session import drop_at_end, settle, shared_dir
+from bindery.sources import documents, tables, trees
 
 # Run parameters of the queries: small enough that every size band and real
 # splitting occur in the test tables.  SKIP bounds the reported band alone; texts of any
@@ -776,3 +777,42 @@ def project_overview(spark, folder):
     chosen = select.in_categories(meta, ["python", "config_docs", "web_ui"])
     name = naming.manifest_name(F.col("repo"), F.lit(STAMP))
     return report.overview(meta, chosen, "category", name, "2026-01-02T03:04:05+00:00")
+
+
+# Sinks and reuse ----------------------------------------------------------------
+
+
+@query
+def written_documents(spark, folder):
+    """What the document sink wrote, read back: the paths of each tree and category, one a line."""
+    path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    kept = settle(scan.kept_paths(tables.everything(spark, folder)))
+    rows = kept.select("repo", F.concat("category", F.lit(".txt")).alias("doc"), "rel_path", F.concat("rel_path", F.lit("\n")).alias("text"))
+    documents.write_documents(rows, path, ["rel_path"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    return found.select(
+        F.element_at(parts, -2).alias("repo"), F.element_at(parts, -1).alias("doc"), F.col("length").alias("size_bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
+
+
+@query
+def one_scan_many_exports(spark, folder):
+    """Three selections that share one scan: what each would export."""
+    scanned = trees.scan_listing(tables.documents(spark, folder))
+    wanted = {
+        "all": select.Wanted(),
+        "category": select.Wanted(mode="category", categories=CATEGORY_WORDS),
+        "keyword": select.Wanted(mode="keyword", keywords=["license"]),
+    }
+    out = None
+    for name, one in wanted.items():
+        made = select.select_files(scanned.files if name == "keyword" else scanned.meta, one, BASE)
+        meta = scan.meta(made.files)
+        rows = meta.groupBy("repo").agg(
+            F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes"), F.min("sha256").alias("first_hash")
+        ).withColumn("export", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

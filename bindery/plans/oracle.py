@@ -747,4 +747,14 @@ def statements() -> dict[str, str]:
             {CATEGORY_TABLE % 'chosen'}, {FOLDERS % 'chosen'}, trees as{OVERVIEW.split('trees as', 1)[1]}
             select repo, section::int as section, ord::int as ord, text from overview""",
     }
+    out["written_documents"] = f"""{WITH_EVERY},
+        texts as (select repo, category || '.txt' as doc, string_agg(rel_path || chr(10), '' order by rel_path) as text from files group by all)
+        select repo, doc, octet_length(encode(text))::bigint as size_bytes, sha256(text) as sha256 from texts"""
+    out["one_scan_many_exports"] = f"""{WITH_DOCS},
+        chosen as (
+          select 'all' as export, * from files
+          union all select 'category', * from files where category in {_in(["python", "config_docs", "web_ui"])}
+          union all select 'keyword', * from files where contains(lower(array_to_string(lines, chr(10))), 'license'))
+        select export, repo, count(*) as files, sum(line_count)::bigint as lines, sum(size_bytes)::bigint as bytes, min(sha256) as first_hash
+        from chosen group by all"""
     return out

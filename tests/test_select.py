@@ -6,11 +6,11 @@ from bindery.operators.select import Wanted
 from pyspark.sql import functions as F
 
 FILES = [
-    ("p", "src/main.py", "python", "import os\nTODO later"),
-    ("p", "src/utils.py", "python", "def foo(): pass"),
-    ("p", "README.md", "config_docs", "# Project\nfixme"),
-    ("p", "docs/guide.md/index.md", "config_docs", "Guide"),
-    ("q", "main.py", "python", "todo\nnext"),
+    ("p", "deck/start.py", "python", "limit = 3\nTODO: raise it"),
+    ("p", "deck/tools.py", "python", "pi = 3.14"),
+    ("p", "README.md", "config_docs", "Notes on sailing\nfixme"),
+    ("p", "docs/charts.md/index.md", "config_docs", "How to reef"),
+    ("q", "start.py", "python", "todo\nnext"),
     ("q", "lib/README.md", "config_docs", "HACK"),
 ]
 
@@ -33,21 +33,21 @@ def all_paths(repo="p"):
 @pytest.mark.parametrize(
     "typed, want, missing",
     [
-        (["src/main.py"], ["src/main.py"], []),
-        (["src"], ["src/main.py", "src/utils.py"], []),
-        (["src/", "src", " "], ["src/main.py", "src/utils.py"], []),
-        (["main.py"], ["src/main.py"], []),
+        (["deck/start.py"], ["deck/start.py"], []),
+        (["deck"], ["deck/start.py", "deck/tools.py"], []),
+        (["deck/", "deck", " "], ["deck/start.py", "deck/tools.py"], []),
+        (["start.py"], ["deck/start.py"], []),
         (["nonexistent"], [], ["nonexistent"]),
-        (["src", "gone.py"], ["src/main.py", "src/utils.py"], ["gone.py"]),
+        (["deck", "gone.py"], ["deck/start.py", "deck/tools.py"], ["gone.py"]),
         (["/base/p/README.md"], ["README.md"], []),
-        (["/base/p/./src/../README.md"], ["README.md"], []),
-        (["/base/q/main.py"], [], ["/base/q/main.py"]),
-        (["./src/main.py"], ["src/main.py"], []),
-        (["./src"], [], ["./src"]),
+        (["/base/p/./deck/../README.md"], ["README.md"], []),
+        (["/base/q/start.py"], [], ["/base/q/start.py"]),
+        (["./deck/start.py"], ["deck/start.py"], []),
+        (["./deck"], [], ["./deck"]),
         (["."], [], ["."]),
-        (["docs/guide.md"], ["docs/guide.md/index.md"], []),
-        (["guide.md"], [], ["guide.md"]),
-        (["x/main.py"], [], ["x/main.py"]),
+        (["docs/charts.md"], ["docs/charts.md/index.md"], []),
+        (["charts.md"], [], ["charts.md"]),
+        (["x/start.py"], [], ["x/start.py"]),
     ],
 )
 def test_typed_paths(files, typed, want, missing):
@@ -64,16 +64,16 @@ def test_only_blanks_select_everything(files):
 @pytest.mark.parametrize(
     "typed, want",
     [
-        ("main.py", ["src/main.py"]),
-        ("main.py, utils.py", ["src/main.py", "src/utils.py"]),
-        ("main.py;utils.py  README.md", ["README.md", "src/main.py", "src/utils.py"]),
-        ("src", ["src/main.py", "src/utils.py"]),
-        ("docs/guide.md", ["docs/guide.md/index.md"]),
-        ("guide.md/index.md", ["docs/guide.md/index.md"]),
-        ("main", ["src/main.py"]),
-        (".md", ["README.md", "docs/guide.md/index.md"]),
-        ("srcmain", ["src/main.py"]),
-        ("src\\ut", ["src/utils.py"]),
+        ("start.py", ["deck/start.py"]),
+        ("start.py, tools.py", ["deck/start.py", "deck/tools.py"]),
+        ("start.py;tools.py  README.md", ["README.md", "deck/start.py", "deck/tools.py"]),
+        ("deck", ["deck/start.py", "deck/tools.py"]),
+        ("docs/charts.md", ["docs/charts.md/index.md"]),
+        ("charts.md/index.md", ["docs/charts.md/index.md"]),
+        ("start", ["deck/start.py"]),
+        (".md", ["README.md", "docs/charts.md/index.md"]),
+        ("deckstart", ["deck/start.py"]),
+        ("deck\\to", ["deck/tools.py"]),
         ("/base/p/README.md", ["README.md"]),
         ("zzz", []),
     ],
@@ -85,13 +85,13 @@ def test_loosely_typed_paths(files, typed, want):
 
 
 def test_each_repository_has_its_own_best_tier(files):
-    rows = {(r["repo"], r["rel_path"], r["tier"]) for r in select.smart_paths(files, "main.py").collect()}
-    assert rows == {("p", "src/main.py", 2), ("q", "main.py", 1)}
+    rows = {(r["repo"], r["rel_path"], r["tier"]) for r in select.smart_paths(files, "start.py").collect()}
+    assert rows == {("p", "deck/start.py", 2), ("q", "start.py", 1)}
 
 
 def test_keywords(files):
-    assert chosen(select.by_keyword(files, ["TODO"])) == ["src/main.py"]
-    assert chosen(select.by_keyword(files, ["os\ntodo"])) == ["src/main.py"]
+    assert chosen(select.by_keyword(files, ["TODO"])) == ["deck/start.py"]
+    assert chosen(select.by_keyword(files, ["3\ntodo"])) == ["deck/start.py"]
     assert chosen(select.by_keyword(files, [""])) == all_paths()
     assert chosen(select.by_keyword(files, ["nothing"])) == []
     found = {(r["repo"], r["keyword"], r["files"]) for r in select.matched_keywords(files, ["Todo", "HACK", "x9"]).collect()}
@@ -99,7 +99,7 @@ def test_keywords(files):
 
 
 def test_names_ignore_case(files):
-    assert chosen(select.by_name(files, ["readme", "UTIL"])) == ["README.md", "src/utils.py"]
+    assert chosen(select.by_name(files, ["readme", "TOOL"])) == ["README.md", "deck/tools.py"]
 
 
 def run(files, wanted, repo="p"):
@@ -115,42 +115,42 @@ def test_modes(files):
     assert got == all_paths() and meta["selection_mode"] == "all" and paths == []
 
     got, meta, _ = run(files, Wanted(mode="category", categories=["py", "nonsense"]))
-    assert got == ["src/main.py", "src/utils.py"] and meta["selected_categories"] == ["python"]
+    assert got == ["deck/start.py", "deck/tools.py"] and meta["selected_categories"] == ["python"]
     assert run(files, Wanted(mode="category"))[0] == []
 
-    got, meta, paths = run(files, Wanted(mode="path", paths=["src, gone"]))
-    assert got == paths == ["src/main.py", "src/utils.py"] and meta["missing_paths"] == ["gone"]
+    got, meta, paths = run(files, Wanted(mode="path", paths=["deck, gone"]))
+    assert got == paths == ["deck/start.py", "deck/tools.py"] and meta["missing_paths"] == ["gone"]
     assert run(files, Wanted(mode="path", paths=["gone"]))[0] == []
 
     wanted = Wanted(mode="mixed", categories=["docs"], paths=["md"], names=["READ"])
     got, meta, paths = run(files, wanted)
     assert got == ["README.md"] and meta["name_filters"] == ["READ"]
-    assert paths == ["README.md", "docs/guide.md/index.md"]
+    assert paths == ["README.md", "docs/charts.md/index.md"]
 
     got, meta, paths = run(files, Wanted(mode="keyword", keywords=["todo", "FIXME", "zz"]))
-    assert got == paths == ["README.md", "src/main.py"]
+    assert got == paths == ["README.md", "deck/start.py"]
     assert meta["name_filters"] == ["fixme", "todo"]
 
-    wanted = Wanted(mode="non_interactive", categories=["py"], paths=["src/", "README.md"])
+    wanted = Wanted(mode="non_interactive", categories=["py"], paths=["deck/", "README.md"])
     got, meta, paths = run(files, wanted)
-    assert got == ["src/main.py", "src/utils.py"]
-    assert meta["missing_paths"] == ["README.md"] and paths == ["README.md", "src"]
+    assert got == ["deck/start.py", "deck/tools.py"]
+    assert meta["missing_paths"] == ["README.md"] and paths == ["README.md", "deck"]
 
 
 def test_a_single_loose_path(files):
-    loose = Wanted(mode="non_interactive", paths=["utils, READ"], loose=True)
-    assert run(files, loose)[0] == ["README.md", "src/utils.py"]
+    loose = Wanted(mode="non_interactive", paths=["tools, READ"], loose=True)
+    assert run(files, loose)[0] == ["README.md", "deck/tools.py"]
     # Means nothing as words, but something as a path.
-    loose = Wanted(mode="non_interactive", paths=["./src/main.py"], loose=True)
-    assert run(files, loose)[0] == ["src/main.py"]
+    loose = Wanted(mode="non_interactive", paths=["./deck/start.py"], loose=True)
+    assert run(files, loose)[0] == ["deck/start.py"]
 
 
 def test_may_match_keeps_all_chosen_rows(files):
     for wanted in (
         Wanted(mode="category", categories=["py"]),
-        Wanted(mode="path", paths=["src"]),
+        Wanted(mode="path", paths=["deck"]),
         Wanted(mode="mixed", categories=["docs"], paths=["md"], names=["READ"]),
-        Wanted(mode="non_interactive", categories=["py"], paths=["src/"]),
+        Wanted(mode="non_interactive", categories=["py"], paths=["deck/"]),
     ):
         kept = chosen(files.where(select.may_match(wanted, "/base")))
         assert set(run(files, wanted)[0]) <= set(kept) < set(all_paths())
