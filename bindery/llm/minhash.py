@@ -7,7 +7,8 @@ values of each, few enough, must meet in an inverted list; frequent passages are
 these unless a document has little else.  Lists generate pairs in three steps: first each member
 with the list's smallest class; when those links have joined components, members outside
 a list's largest component with a few others of it; then all remaining pairs of different
-components, counted in cells of bounded size (lists with the same members are one).  A pair goes on if it shares enough sketch values
+components, counted in cells of bounded size (lists with the same members are one, and lists of one
+largest component are one block where that makes fewer pairs).  A pair goes on if it shares enough sketch values
 and the sketch of the union estimates enough similarity (``SIGMAS`` standard deviations of leeway);
 the exact similarity of the full sets confirms it.  Links give components.
 
@@ -268,23 +269,43 @@ def delegates_of(placed: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes_allow(F.col("n"), F.col("_.n"), percent)).select("mark", F.col("_.mark").alias("center")).distinct()
 
 
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, by ``block``, with the ``main`` component and how many parts each side has.
+
+    Lists of one main component mostly hold the same members.  Where that is so, they are one block, in which a
+    pair meets once instead of in every list; where all their members together would make more pairs than
+    the lists do, each list is a block.
+    """
+    cut = lambda n: F.ceil(n / CELL).cast("int")
+    open_lists = open_of(placed)
+    found = settle(placed.join(open_lists.select("value", "main"), "value").select("value", "main", "mark", "component"))
+    together = settle(found.select("main", "mark", "component").distinct())
+    outside, size = F.col("total") - F.col("largest"), F.col("total")
+    apart = open_lists.groupBy("main").agg(F.sum(outside * size).alias("apart"))
+    sides = together.groupBy("main").agg(F.count_if(F.col("component") != F.col("main")).alias("outside"), F.count("*").alias("size"))
+    mains = settle(sides.join(apart, "main").select("main", (F.col("outside") * F.col("size") <= F.col("apart")).alias("one"), cut(F.col("outside")).alias("is"), cut(F.col("size")).alias("js")))
+    whole = together.join(mains.where("one").drop("one"), "main").withColumn("block", F.xxhash64("main", F.lit(1)))
+    lists = open_lists.join(mains.where("not one").select("main"), "main", "left_semi").select("value", cut(outside).alias("is"), cut(size).alias("js"))
+    single = found.join(lists, "value").withColumn("block", F.xxhash64("value", F.lit(2)))
+    columns = ["block", "main", "mark", "component", "is", "js"]
+    return whole.select(*columns).union(single.select(*columns))
+
+
 def cells_of(placed: DataFrame) -> DataFrame:
-    """Members of lists that hold several components, dealt to cells (``value``, ``i``, ``j``).
+    """Members of blocks, dealt to cells (``block``, ``i``, ``j``).
 
-    The members outside a list's largest component (``left``) meet all of it (``right``); both
+    The members outside a block's main component (``left``) meet all of it (``right``); both
     sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.
     """
-    cut = lambda n: F.ceil(n / CELL).cast("int")
-    open_lists = open_of(placed).select("value", "main", cut(F.col("total") - F.col("largest")).alias("is"), cut(F.col("total")).alias("js"))
     own_i, own_j = (F.pmod(F.xxhash64("mark", F.lit(k)), F.col(k)).cast("int") for k in ("is", "js"))
-    found = placed.join(open_lists, "value").select(
-        "value", "mark", "component", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
+    found = blocks_of(placed).select(
+        "block", "mark", "component", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
     )
     across = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
     down = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
     found = found.withColumn("cell", F.explode(F.when(F.col("in_main"), down).otherwise(F.array_union(across, down))))
     left, right = ~F.col("in_main") & (F.col("cell.i") == F.col("own_i")), F.col("cell.j") == F.col("own_j")
-    return settle(found.select("value", "cell", "mark", "component", left.alias("left"), right.alias("right")))
+    return settle(found.select("block", "cell", "mark", "component", left.alias("left"), right.alias("right")))
 
 
 def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -306,8 +327,31 @@ def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return found
 
 
+def union_sketches(sketches: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches (places): how many values the sketch of their union has, and how many of these both hold."""
+    kept, inside = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    none = np.int64(1) << 40
+    for start in range(0, len(x), 2048):
+        rows = slice(start, start + 2048)
+        table = np.full((len(x[rows]), 2 * KEPT), none)
+        for at, side in ((0, x[rows]), (KEPT, y[rows])):
+            sizes = ends[side + 1] - ends[side]
+            place = np.arange(KEPT)
+            held = place < sizes[:, None]
+            table[:, at : at + KEPT][held] = sketches[(ends[side][:, None] + place)[held]]
+        table.sort(axis=1)
+        known = table < none
+        both = np.zeros_like(known)
+        both[:, 1:] = (table[:, 1:] == table[:, :-1]) & known[:, 1:]
+        rank = np.cumsum(known & ~both, axis=1)
+        kept[rows] = np.minimum(rank[:, -1], KEPT)
+        inside[rows] = (both & (rank <= kept[rows][:, None])).sum(axis=1)
+    return kept, inside
+
+
 def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of marks (``mark``, ``center``) of different components that share enough sketch values."""
+    """The pairs of classes (``a``, ``b``) of different components whose sketches share enough and whose union sketch allows the similarity."""
+    part = percent / 100
 
     def pairs(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
@@ -333,21 +377,29 @@ def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFr
                 # Uncut sketches tell the similarity itself.
                 fits &= (both >= np.maximum(need[x], need[y])) & (~(whole[x] & whole[y]) | (both * (100 + percent) >= percent * (n[x] + n[y])))
                 i, j = np.nonzero(fits)
-                xs.append(first[rows[left[i]]])
-                ys.append(first[rows[right[j]]])
+                i, j = rows[left[i]], rows[right[j]]
+                kept, inside = union_sketches(values, ends, i, j)
+                share = (n[i] + n[j]) / (1 + part)
+                spread = np.sqrt(part * (1 - part) / kept * np.maximum(0.0, 1 - kept / share))
+                fits = inside / kept >= part - SIGMAS * spread - 3 / kept
+                xs.append(first[i[fits]])
+                ys.append(first[j[fits]])
         x, y = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (xs, ys))
         x, y = np.divmod(np.unique(x * len(a) + y), max(1, len(a)))
         return pa.table({"x": a[x], "x2": b[x], "y": a[y], "y2": b[y]})
 
     groups = max(1, -(-cells.count() // GROUP_ROWS))
-    key = F.xxhash64("value", "cell")
+    key = F.xxhash64("block", "cell")
     least = least_shared(F.size("sketch"), percent).cast("bigint")
     rows = cells.join(members.select("mark", "n", "sketch"), "mark").select(
         F.pmod(key, F.lit(groups)).alias("group"), key.alias("cell"), "mark.a", "mark.b", "n", "component", "left", "right", "sketch", least.alias("need")
     )
     found = rows.groupBy("group").applyInArrow(pairs, "x bigint, x2 bigint, y bigint, y2 bigint")
     mark = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("x", "x2"), ("y", "y2"))]
-    return settle(found.select(mark[0].alias("mark"), mark[1].alias("center")).distinct())
+    distinct_pairs = found.select(mark[0].alias("mark"), mark[1].alias("center")).distinct()
+    classes = members.select("mark", "cls")
+    named = distinct_pairs.join(classes.withColumnRenamed("cls", "b"), "mark").join(classes.select(F.col("mark").alias("center"), F.col("cls").alias("a")), "center")
+    return settle(named.select("a", "b"))
 
 
 def estimated(pairs: DataFrame, percent: int) -> DataFrame:
@@ -405,7 +457,7 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined), percent))))
     # Step three: members of different components, each against all of its list but the largest component.
     cells = cells_of(placed_of(lists, members, joined))
-    return stars(joined).union(linked(pairs_of_cells(cells, members, percent)))
+    return stars(joined).union(settle(confirmed(pairs_of_cells(cells, members, percent), docs, words, percent)))
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
