@@ -3,7 +3,8 @@
 A document is the set of its word shingles, hashed; its sketch holds the ``KEPT``
 smallest values.  Documents with equal sets are one class, named by the smallest doc_id.
 Sketches of linked documents share all but few values (``least_shared``), so the rarest
-values of each, few enough, must meet in an inverted list; frequent passages are never in
+values of each, few enough, must meet in an inverted list; signatures of 128 bits travel with their
+members and tell most others apart before sketches are compared; frequent passages are never in
 these unless a document has little else.  Lists generate pairs in three steps: first each member
 with the list's smallest class; when those links have joined components, members outside
 a list's largest component with a few others of it; then all remaining pairs of different
@@ -27,12 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from bindery.llm.common import long_lists, mixed, rolling
 from bindery.llm.components import components
 from bindery.session import settle
 
 KEPT, SIGMAS = 256, 4.5
+#: A signature has this many values of four bits: the smallest hash of each bin among so many smallest.
+BINS, SIGNED = 32, 1024
+#: The chance that the signatures of a pair at the limit differ in too many bins.
+SIGN_RISK = 1e-6
 #: Values of most lists that are known by their frequency; the order of the others is their own.
 FREQUENT, OFTEN = 65_536, 4
 #: Members of one side of a cell, rows that one group of cells should have, and columns counted at once.
@@ -124,27 +130,66 @@ def least_shared(size: Column, percent: int) -> Column:
     return F.greatest(F.least(F.lit(cut), F.ceil(size * part) - 2), F.lit(1))
 
 
+def signature(found: np.ndarray) -> tuple[int, int]:
+    """Four bits of the smallest hash of each bin, 128 in all; empty bins have 0.
+
+    A pair of sets differs in a bin with the chance that it differs in a value, and in no more bins than values.
+    """
+    some = found[:SIGNED]
+    bins, first = np.unique(some & np.uint64(BINS - 1), return_index=True)
+    bits = (some[first] >> np.uint64(5)) & np.uint64(15)
+    place = (bins % np.uint64(16)) * np.uint64(4)
+    halves = [np.bitwise_or.reduce((bits << place)[bins // np.uint64(16) == k], initial=np.uint64(0)) for k in (0, 1)]
+    return tuple(int(h.astype(np.int64)) for h in halves)
+
+
+def most_different(percent: int) -> int:
+    """In how many bins the signatures of linked sets differ at most."""
+    part = percent / 100
+    tail, bins = 0.0, BINS
+    while bins >= 0:
+        tail += math.comb(BINS, bins) * (1 - part) ** bins * part ** (BINS - bins)
+        if tail > SIGN_RISK:
+            break
+        bins -= 1
+    return bins
+
+
+def alike(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
+    """Whether two signatures differ in few enough bins."""
+
+    def differing(a: Column, b: Column) -> Column:
+        bits = a.bitwiseXOR(b)
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        return F.bit_count(bits.bitwiseAND(0x1111111111111111))
+
+    return differing(x[0], y[0]) + differing(x[1], y[1]) <= most_different(percent)
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``mark`` (128 bits of the set) and ``sketch`` of each row.
+    """``id``, ``n`` (set size), ``mark`` (128 bits of the set), ``sketch`` and the signature (``s``, ``t``) of each row.
 
     Sketch values are the upper 32 bits of the smallest hashes, so they have the same order.
     """
-    kind = "struct<n:bigint,mark:struct<a:bigint,b:bigint>,sketch:array<int>>"
+    kind = "struct<n:bigint,mark:struct<a:bigint,b:bigint>,sketch:array<int>,s:bigint,t:bigint>"
 
     @F.arrow_udf(kind)
     def sketch(texts: pa.Array) -> pa.Array:
         import xxhash
 
-        sizes, marks, parts = [], [], []
+        sizes, marks, parts, signs = [], [], [], []
         for found in shingles(texts, words):
             sizes.append(len(found))
             digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
             marks.append({"a": int(digest[0]), "b": int(digest[1])})
+            signs.append(signature(found))
             # Only as many distinct upper halves as are kept.
             halves = distinct((found[: 2 * KEPT] >> np.uint64(32)).astype(np.uint32))[:KEPT]
             parts.append((halves ^ np.uint32(1 << 31)).view(np.int32))
         mark = pa.array(marks, pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), mark, long_lists(parts, pa.int32())], ["n", "mark", "sketch"])
+        s, t = (pa.array([sign[k] for sign in signs], pa.int64()) for k in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), mark, long_lists(parts, pa.int32()), s, t], ["n", "mark", "sketch", "s", "t"])
 
     return docs.select(F.col("doc_id").alias("id"), sketch(docs["text"]).alias("_")).select("id", "_.*")
 
@@ -168,7 +213,7 @@ def frequent_values(rows: DataFrame) -> np.ndarray:
 
 
 def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
-    """Inverted lists with two members or more: ``value``, ``mark`` and the smallest mark, ``center``, with their set sizes.
+    """Inverted lists with two members or more: ``value``, ``mark``, the smallest mark, ``center``, and whether the two may be linked (``near``).
 
     Values are sorted within tasks and streamed, so a list of any length is never held; the
     center has no row of its own.  Repeated marks of a batch are skipped, as copies need no lists.
@@ -186,27 +231,29 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
         return long_lists(parts, pa.int32())
 
     def runs(batches):
-        last = (None, 0, 0, 0, 0, 0)  # value, center with its size, and mark of the row before
+        last = (None, *[0] * 7)  # value, center with its size and signature, and mark of the row before
         for batch in batches:
-            value, x, y, n = (c.to_numpy() for c in batch.columns)
+            columns = [c.to_numpy() for c in batch.columns]
+            value, x, y = columns[:3]
             if not len(value):
                 continue
             place = np.arange(len(value))
             fresh = np.concatenate(([value[0] != last[0]], value[1:] != value[:-1]))
             start = np.maximum.accumulate(np.where(fresh, place, -1))
-            first_x, first_y, first_n = (np.where(start < 0, last[k], c[start]) for k, c in ((1, x), (2, y), (3, n)))
-            again = np.concatenate(([(x[0], y[0]) == last[4:]], (x[1:] == x[:-1]) & (y[1:] == y[:-1]))) & ~fresh
-            out = ((x != first_x) | (y != first_y)) & ~again
-            last = (value[-1], first_x[-1], first_y[-1], first_n[-1], x[-1], y[-1])
-            columns = (value, x, y, n, first_x, first_y, first_n)
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["value", "x", "y", "n", "first_x", "first_y", "first_n"])
+            center = [np.where(start < 0, last[k], c[start]) for k, c in enumerate(columns) if k]
+            again = np.concatenate(([(x[0], y[0]) == last[6:]], (x[1:] == x[:-1]) & (y[1:] == y[:-1]))) & ~fresh
+            out = ((x != center[0]) | (y != center[1])) & ~again
+            last = (value[-1], *[c[-1] for c in center], x[-1], y[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns + center], names + firsts)
 
     chosen = prefix("sketch", prefix_size(F.size("sketch"), percent), F.col("mark")["a"])
-    values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"), "n")
+    names, firsts = ["value", "x", "y", "n", "s", "t"], ["first_x", "first_y", "first_n", "first_s", "first_t"]
+    values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"), "n", "s", "t")
     ordered = values.repartition("value").sortWithinPartitions("value", "x", "y")
-    found = ordered.mapInArrow(runs, "value int, x bigint, y bigint, n bigint, first_x bigint, first_y bigint, first_n bigint")
+    found = ordered.mapInArrow(runs, "value int, " + ", ".join(f"{c} bigint" for c in names[1:] + firsts))
     mark, center = F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("first_x").alias("a"), F.col("first_y").alias("b"))
-    return settle(found.select("value", mark.alias("mark"), "n", center.alias("center"), F.col("first_n").alias("center_n")))
+    fits = sizes_allow(F.col("n"), F.col("first_n"), percent) & alike((F.col("s"), F.col("t")), (F.col("first_s"), F.col("first_t")), percent)
+    return settle(found.select("value", mark.alias("mark"), center.alias("center"), fits.alias("near")))
 
 
 def frequencies(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -223,9 +270,9 @@ def prefix_size(size: Column, percent: int) -> Column:
 
 
 def members_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """For each mark in a list, ``cls`` (its smallest doc_id), ``n`` and ``sketch``."""
+    """For each mark in a list, ``cls`` (its smallest doc_id), ``n``, ``sketch`` and signature."""
     marks = settle(lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct())
-    return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), *[F.first(c).alias(c) for c in ("n", "sketch", "s", "t")]))
 
 
 def sizes_allow(x: Column, y: Column, percent: int) -> Column:
@@ -238,9 +285,9 @@ def shared_enough(x: Column, y: Column, percent: int) -> Column:
 
 
 def placed_of(lists: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
-    """``value``, ``mark``, ``n`` and ``component`` of all members of lists."""
-    parts = members.select("mark", "n", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    parts = settle(parts.select("mark", "n", F.coalesce("component", "cls").alias("component")))
+    """``value``, ``mark``, ``n``, signature and ``component`` of all members of lists."""
+    parts = members.select("mark", "n", "s", "t", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
+    parts = settle(parts.select("mark", "n", "s", "t", F.coalesce("component", "cls").alias("component")))
     everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
     return settle(everyone.join(parts, "mark"))
 
@@ -260,12 +307,13 @@ def open_of(placed: DataFrame) -> DataFrame:
 
 
 def delegates_of(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``mark``, ``center``) of the members outside each list's largest component with ``DELEGATES`` of it, if their sizes allow a link."""
+    """Pairs (``mark``, ``center``) of the members outside each list's largest component with ``DELEGATES`` of it, if their sizes and signatures allow a link."""
     open_lists = open_of(placed)
     found = settle(placed.join(open_lists.select("value", "main"), "value"))
-    some = [F.min_by(F.struct("mark", "n"), F.xxhash64("mark", F.lit(k))) for k in range(DELEGATES)]
+    some = [F.min_by(F.struct("mark", "n", "s", "t"), F.xxhash64("mark", F.lit(k))) for k in range(DELEGATES)]
     centers = found.where("component = main").groupBy("value").agg(F.array_distinct(F.array(*some)).alias("centers"))
-    pairs = found.where("component <> main").select("value", "mark", "n").join(centers, "value").select("mark", "n", F.explode("centers").alias("_"))
+    pairs = found.where("component <> main").select("value", "mark", "n", "s", "t").join(centers, "value").select("mark", "n", "s", "t", F.explode("centers").alias("_"))
+    pairs = pairs.where(alike((F.col("s"), F.col("t")), (F.col("_.s"), F.col("_.t")), percent))
     return pairs.where(sizes_allow(F.col("n"), F.col("_.n"), percent)).select("mark", F.col("_.mark").alias("center")).distinct()
 
 
@@ -278,8 +326,8 @@ def blocks_of(placed: DataFrame) -> DataFrame:
     """
     cut = lambda n: F.ceil(n / CELL).cast("int")
     open_lists = open_of(placed)
-    found = settle(placed.join(open_lists.select("value", "main"), "value").select("value", "main", "mark", "component"))
-    together = settle(found.select("main", "mark", "component").distinct())
+    found = settle(placed.join(open_lists.select("value", "main"), "value").select("value", "main", "mark", "component", "n", "s", "t"))
+    together = settle(found.select("main", "mark", "component", "n", "s", "t").distinct())
     outside, size = F.col("total") - F.col("largest"), F.col("total")
     apart = open_lists.groupBy("main").agg(F.sum(outside * size).alias("apart"))
     sides = together.groupBy("main").agg(F.count_if(F.col("component") != F.col("main")).alias("outside"), F.count("*").alias("size"))
@@ -287,25 +335,55 @@ def blocks_of(placed: DataFrame) -> DataFrame:
     whole = together.join(mains.where("one").drop("one"), "main").withColumn("block", F.xxhash64("main", F.lit(1)))
     lists = open_lists.join(mains.where("not one").select("main"), "main", "left_semi").select("value", cut(outside).alias("is"), cut(size).alias("js"))
     single = found.join(lists, "value").withColumn("block", F.xxhash64("value", F.lit(2)))
-    columns = ["block", "main", "mark", "component", "is", "js"]
+    columns = ["block", "main", "mark", "component", "n", "s", "t", "is", "js"]
     return whole.select(*columns).union(single.select(*columns))
 
 
-def cells_of(placed: DataFrame) -> DataFrame:
+def cells_of(placed: DataFrame, percent: int) -> DataFrame:
     """Members of blocks, dealt to cells (``block``, ``i``, ``j``).
 
     The members outside a block's main component (``left``) meet all of it (``right``); both
-    sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.
+    sides are cut into parts of about ``CELL`` members, and each pair of parts is a cell.  Members
+    whose size and signature allow no link in a cell are not in it.
     """
+    most, mask = most_different(percent), np.uint64(0x1111111111111111)
+
+    def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        bits = x.view(np.uint64)[:, None] ^ y.view(np.uint64)
+        bits |= bits >> np.uint64(1)
+        bits |= bits >> np.uint64(2)
+        return np.bitwise_count(bits & mask)
+
+    def linkable(data: pa.Table) -> pa.Table:
+        data = data.combine_chunks()
+        cell, n, s, t, component = (data.column(c).to_numpy() for c in ("key", "n", "s", "t", "component"))
+        sides = {c: data.column(c).to_numpy(zero_copy_only=False).copy() for c in ("left", "right")}
+        order = np.argsort(cell, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            x, y = rows[sides["left"][rows]], rows[sides["right"][rows]]
+            fits = differing(s[x], s[y]) + differing(t[x], t[y]) <= most
+            fits &= (component[x][:, None] != component[y]) & (np.minimum(n[x][:, None], n[y]) * 100 >= np.maximum(n[x][:, None], n[y]) * percent)
+            sides["left"][x], sides["right"][y] = fits.any(axis=1), fits.any(axis=0)
+        for c in ("left", "right"):
+            data = data.set_column(data.schema.get_field_index(c), c, pa.array(sides[c]))
+        return data.select(["block", "i", "j", "a", "b", "component", "left", "right"]).filter(pa.array(sides["left"] | sides["right"]))
+
     own_i, own_j = (F.pmod(F.xxhash64("mark", F.lit(k)), F.col(k)).cast("int") for k in ("is", "js"))
     found = blocks_of(placed).select(
-        "block", "mark", "component", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
+        "block", "mark", "component", "n", "s", "t", (F.col("component") == F.col("main")).alias("in_main"), "is", "js", own_i.alias("own_i"), own_j.alias("own_j")
     )
     across = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
     down = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
     found = found.withColumn("cell", F.explode(F.when(F.col("in_main"), down).otherwise(F.array_union(across, down))))
     left, right = ~F.col("in_main") & (F.col("cell.i") == F.col("own_i")), F.col("cell.j") == F.col("own_j")
-    return settle(found.select("block", "cell", "mark", "component", left.alias("left"), right.alias("right")))
+    cells = settle(
+        found.select("block", "cell.i", "cell.j", "mark.a", "mark.b", F.col("component").cast("bigint").alias("component"), "n", "s", "t", left.alias("left"), right.alias("right"), F.xxhash64("block", "cell").alias("key"))
+    )
+    groups = max(1, -(-cells.count() // GROUP_ROWS))
+    dealt = cells.withColumn("group", F.pmod("key", F.lit(groups))).groupBy("group")
+    kind = "block bigint, i int, j int, a bigint, b bigint, component bigint, left boolean, right boolean"
+    kept = dealt.applyInArrow(lambda data: linkable(data), kind)
+    return settle(kept.select("block", F.struct("i", "j").alias("cell"), F.struct("a", "b").alias("mark"), "component", "left", "right"))
 
 
 def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -452,11 +530,11 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
         return joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
     # Step one: every member with its list's center, each pair once.
-    joined = components(linked(lists.where(sizes_allow(F.col("n"), F.col("center_n"), percent)).select("mark", "center").distinct()))
+    joined = components(linked(lists.where("near").select("mark", "center").distinct()))
     # Step two: members outside a list's largest component with some of it.
     joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined), percent))))
     # Step three: members of different components, each against all of its list but the largest component.
-    cells = cells_of(placed_of(lists, members, joined))
+    cells = cells_of(placed_of(lists, members, joined), percent)
     return stars(joined).union(settle(confirmed(pairs_of_cells(cells, members, percent), docs, words, percent)))
 
 
@@ -480,8 +558,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     equal texts one row stays, the smallest by its other columns.  Rows that repeat a doc_id stay or go together.
     """
     number = F.lit((1 << 63) - 1) - F.xxhash64("text").bitwiseAND((1 << 62) - 1)
-    number = number.cast(docs.schema["doc_id"].dataType)
-    found = components_of(docs.withColumn("doc_id", F.coalesce("doc_id", number)), words, percent)
+    kind = docs.schema["doc_id"].dataType
+    kind = "bigint" if isinstance(kind, IntegralType) else kind
+    number = number.cast(kind)
+    found = components_of(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast(kind), number)), words, percent)
     gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     nameless = docs.where("doc_id is null").join(gone, number == F.col("_gone"), "left_anti")

@@ -235,3 +235,31 @@ def test_blocks_cut_texts_between_pieces(monkeypatch, size):
 def test_scores_past_64_bits(spark):
     big = spark.range(1).select(*[F.lit(v).cast("decimal(38,0)").alias(n) for n, v in (("a", 10**12), ("n", 10**13), ("l", 10**12), ("r", 10**12))])
     assert big.select(F.expr("cast(1000 as decimal(38,0)) * a * n div (l * r)")).first()[0] == 10000
+
+
+def test_signatures_of_linked_sets_differ_in_few_bins(spark):
+    from bindery.llm import minhash
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (1, 3, 20, 100, 400, 5000):
+        for _ in range(300):
+            both = rng.integers(0, 2**64, size, np.uint64)
+            own = rng.integers(0, 2**64, int(size * 15 / 85), np.uint64)
+            cut = rng.integers(0, len(own) + 1)
+            x, y = (np.sort(np.concatenate([both, part])) for part in (own[:cut], own[cut:]))
+            rows.append((size, *minhash.signature(x), *minhash.signature(y)))
+    df = spark.createDataFrame(rows, "size int, a long, b long, c long, d long")
+    fits = minhash.alike((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), 85)
+    assert df.where(~fits).count() == 0
+    # Unrelated sets do not pass.
+    shuffled = [(a[1], a[2], b[3], b[4]) for a, b in zip(rows[900:], rows[901:])]
+    assert spark.createDataFrame(shuffled, "a long, b long, c long, d long").where(fits).count() < 5
+
+
+def test_copies_with_small_ids_and_nulls_go(spark):
+    from bindery.llm import minhash
+
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "h i j k l m"), (None, "h i j k l m")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "h i j k l m"), (1, "a b c d e f g")]
