@@ -271,7 +271,7 @@ def prefix_size(size: Column, percent: int) -> Column:
 
 def members_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """For each mark in a list, ``cls`` (its smallest doc_id), ``n``, ``sketch`` and signature."""
-    marks = settle(lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct())
+    marks = lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct()
     return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), *[F.first(c).alias(c) for c in ("n", "sketch", "s", "t")]))
 
 
@@ -287,7 +287,7 @@ def shared_enough(x: Column, y: Column, percent: int) -> Column:
 def placed_of(lists: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
     """``value``, ``mark``, ``n``, signature and ``component`` of all members of lists."""
     parts = members.select("mark", "n", "s", "t", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    parts = settle(parts.select("mark", "n", "s", "t", F.coalesce("component", "cls").alias("component")))
+    parts = parts.select("mark", "n", "s", "t", F.coalesce("component", "cls").alias("component"))
     everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
     return settle(everyone.join(parts, "mark"))
 
