@@ -132,13 +132,16 @@ def best_in_block(k: int):
             allowed = np.zeros((len(probes), len(buckets)), bool)
             allowed[asked[hit], at[hit]] = True
             wanted, asking = matrix(queries.column("vec")), queries.column("cls").to_numpy()
+            slack = 1e-12 * np.linalg.norm(wanted, axis=1) * np.linalg.norm(points, axis=1).max()
             for start in range(0, len(wanted), 256):
                 rows = slice(start, start + 256)
                 values = wanted[rows] @ points.T
                 values[~allowed[rows][:, place]] = -np.inf
-                top = np.argsort(-values, axis=1, kind="stable")[:, : 2 * k + 2] if values.shape[1] <= 64 else np.argpartition(-values, min(2 * k + 2, values.shape[1] - 1), axis=1)[:, : 2 * k + 2]
-                for i, best in enumerate(top):
-                    best = best[values[i, best] > -np.inf]
+                # The value of place 2 k + 2, less what another order of sums may change; all at or above it are rated.
+                last = min(2 * k + 2, values.shape[1]) - 1
+                least = -np.partition(-values, last, axis=1)[:, last] - slack[rows]
+                for i in range(len(values)):
+                    best = np.flatnonzero((values[i] >= least[i]) & (values[i] > -np.inf))
                     if len(best):
                         # One way to sum, so that a pair has the same score in every block.
                         exact = (points[best] * wanted[start + i]).sum(axis=1)

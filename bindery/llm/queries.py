@@ -35,10 +35,10 @@ def op1_secret_scan(spark, folder):
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE))
     kinds = F.transform(spans, lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS]
+    counts = {k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS}
     return found.select(
-        "doc_id", *counts, digest(span_list(base)).alias("base_sha256"), span_list(spans).alias("spans"),
-        F.array_max(F.transform(spans, lambda s: s["novelty"])).alias("max_novelty"),
+        "doc_id", *[counts.pop(k) for k in secret_scan.BASE], digest(span_list(base)).alias("base_sha256"), span_list(spans).alias("spans"),
+        *counts.values(), F.array_max(F.transform(spans, lambda s: s["novelty"])).alias("max_novelty"),
     )
 
 

@@ -263,3 +263,19 @@ def test_copies_with_small_ids_and_nulls_go(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "h i j k l m"), (None, "h i j k l m")]
     kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "h i j k l m"), (1, "a b c d e f g")]
+
+
+def test_search_takes_the_smallest_ids_of_equal_scores(spark):
+    from bindery.llm import ann
+
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0] + [0.0] * 7)]
+    rows += [(i, [1.0, *map(float, rng.normal(size=7))]) for i in range(1, 301)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+    assert got == [(i, i, 1.0) for i in range(1, 21)]
+
+
+def test_secret_columns_stand_in_their_order(spark):
+    df = queries.QUERIES["op1_secret_scan"](spark, SMALL)
+    assert df.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
