@@ -5,7 +5,9 @@ round every word finds the best rank among its neighbouring pairs (a segmented
 minimum) and merges it where it stands leftmost; ranks that no merge can undercut
 are merged at all their non-overlapping places of the word at once.  Merged symbols
 are compacted away, finished words leave the arrays, and rounds end when no pair is
-left.  Pieces never span a change from text to a word mark, so words are independent
+left.  Long words have many rounds that merge little; theirs go through the ranks in order,
+each over the places that hold the rank and their neighbours, with symbols linked and
+compacted at the end, so that the work grows with the merges.  Pieces never span a change from text to a word mark, so words are independent
 and each distinct word is encoded once per store.
 
 Models: BPE with byte fallback, identity normalisation, a dummy prefix, and word
@@ -17,6 +19,7 @@ Null and empty texts have the end id alone and decode to the empty text.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 
 import numpy as np
@@ -30,6 +33,8 @@ MARK = "▁"
 NONE = np.int32(1 << 30)
 FOREIGN = 1 << 20  # symbols from here on are code points without a piece
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words of more symbols are merged rank by rank.
+LONG = 64
 #: A worker starts its store of distinct words anew before the chunk after this many.
 STORE_WORDS = 100_000
 
@@ -166,6 +171,13 @@ class Pieces:
         inner = np.flatnonzero(word[1:] == word[:-1])
         ranks[inner] = self.table.find(symbols[inner], symbols[inner + 1])
         done_words, done_symbols = [], []
+        long = lengths > LONG
+        if long.any():
+            mask = np.repeat(long, lengths)
+            found = self._by_rank(symbols[mask], ranks[mask], word[mask])
+            done_words.append(found[0])
+            done_symbols.append(found[1])
+            symbols, ranks, names, lengths = symbols[~mask], ranks[~mask], names[~long], lengths[~long]
         while len(symbols):
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             low = np.minimum.reduceat(ranks, starts)
@@ -205,6 +217,72 @@ class Pieces:
         order = np.argsort(word, kind="stable")
         return symbols[order], np.bincount(word, minlength=len(words))
 
+    def _by_rank(self, symbols: np.ndarray, ranks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and symbols that are left when the best rank of all words is merged again and again.
+
+        Words do not touch each other, so each sees its own merges in order.
+        """
+        size = len(symbols)
+        # One place more stands before the first and behind the last symbol.
+        symbols, ranks = np.append(symbols, 0), np.append(ranks, NONE)
+        word = np.append(word, -1)
+        after = np.minimum(np.arange(1, size + 2), size)
+        before = np.append(np.arange(-1, size - 1), size - 1)
+        before[0] = size
+        alive = np.ones(size + 1, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            order = at[np.argsort(ranks[at], kind="stable")]
+            found = ranks[order]
+            cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(order)]
+            for start, stop, rank in zip(cuts[:-1], cuts[1:], found[cuts[:-1]].tolist(), strict=True):
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(queue, rank)
+                places[rank].append(order[start:stop])
+
+        some = np.flatnonzero(ranks < NONE)
+        if len(some):
+            file(some)
+        while queue:
+            rank = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[ranks[at] == rank]
+            if not len(at):
+                continue
+            run = np.ones(len(at), bool)
+            run[1:] = after[at[:-1]] != at[1:]
+            heads = np.flatnonzero(run)
+            even = (np.arange(len(at)) - heads[np.cumsum(run) - 1]) % 2 == 0
+            rest, at = at[~even], at[even]
+            if not self.safe[rank]:  # a word merges up to the first place that opens a better pair; the others wait
+                piece = np.full(len(at), self.piece[rank])
+                left, right = before[at], after[after[at]]
+                merged = np.concatenate(([False], after[at[:-1]] == left[1:]))
+                better = (self.table.find(np.where(merged, piece, symbols[left]), piece) < rank) & (word[left] == word[at])
+                better |= (self.table.find(piece, symbols[right]) < rank) & (word[right] == word[at])
+                seen = np.cumsum(better) - better
+                starts = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
+                wait = seen > seen[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
+                rest, at = np.concatenate((rest, at[wait])), at[~wait]
+            gone = after[at]
+            ahead = after[gone]
+            symbols[at] = self.piece[rank]
+            alive[gone], ranks[gone] = False, NONE
+            after[at], before[ahead] = ahead, at
+            near = np.concatenate((at, before[at]))
+            same = word[near] == word[after[near]]
+            ranks[near[~same]] = NONE
+            near = near[same]
+            ranks[near] = self.table.find(symbols[near], symbols[after[near]])
+            near = np.concatenate((near[ranks[near] < NONE], rest[ranks[rest] == rank]))
+            if len(near):
+                file(near)
+        left = np.flatnonzero(alive[:size])
+        return word[left], symbols[left]
+
     def marks(self, count: int) -> list[int]:
         """Ids of a run of word marks: the leftmost pair that makes a piece merges first."""
         out: list[int] = []
