@@ -5,7 +5,7 @@ reverse line order.  Java takes the first alternative that matches, so that is
 the last line of the file that applies.  The subject carries a tail, and an
 alternative consumes ``+`` when its line ignores and ``+-`` when it re-includes;
 the end of the match tells the outcome.  Files of one tree share a pattern, and
-``regexp_extract`` keeps the last compiled one.
+``regexp_extract`` keeps the last compiled one; ``scan.with_reason`` clusters rows by tree.
 """
 
 from __future__ import annotations

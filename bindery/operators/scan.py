@@ -55,17 +55,28 @@ def with_reason(
 
     ``rules`` holds one row per tree.  No hint is given for the join: Spark
     broadcasts the rules if they are small and splits a large tree otherwise.
+    The pattern of a tree is compiled whenever the tree changes from row to row, so
+    rows without contents are sorted by tree inside their partitions; a task then
+    compiles each pattern once however trees alternate.  Rows with contents are not
+    moved for it.
     """
     path = F.col("rel_path")
+    light = rules is not None and "content" not in listing.columns
     if rules is None:
         found = path_reason(path, skip_secrets)
     else:
         listing = listing.join(rules, "repo", "left")
         found = path_reason(path, skip_secrets, F.col("ignore_regex"))
-    category = paths.category(path)
-    out = listing.withColumn("category", category).withColumn(
-        "reason", F.coalesce(found, F.when(category.isNull(), fixed.REASON_TYPE))
-    )
+    if light:
+        listing = listing.sortWithinPartitions("repo")
+    listing = listing.withColumn("category", paths.category(path))
+    reason = F.coalesce(found, F.when(F.col("category").isNull(), fixed.REASON_TYPE))
+    if light:
+        # The generator of one row keeps filters on the reason from being pushed below the sort.
+        once = F.inline(F.array(F.struct(reason.alias("reason"))))
+        out = listing.select("*", once)
+    else:
+        out = listing.withColumn("reason", reason)
     return out.drop("ignore_regex")
 
 
