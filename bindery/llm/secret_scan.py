@@ -5,17 +5,22 @@ characters that follow a sensitive word closely, also in a name before ``=``, ov
 and one after the other (the lines of a key); of those, the parts outside base findings.  Each candidate is
 compressed with a dictionary of the code around it and of common identifiers; the
 marginal bytes per character are its novelty.  Base findings are always reported;
-other candidates only if they are incompressible, with or without digits, so a long rare word
-close behind a sensitive one is reported too.
-
-Null and empty texts have no spans.  Repeated rows are scanned each for itself.
-Spans count code points, ends exclusive, and are ordered by start, then kind.
+other candidates only if they are incompressible, with or without digits, and not spelled like
+names: short strings cost about a byte a letter whatever they are, so what the letters cost by the
+letter pairs of the dictionary tells a rare identifier from a key.  Strings under 16 characters
+are candidates of the base patterns only.
+
+Null and empty texts have no spans, an empty table has no rows.  Repeated rows are scanned each for
+itself.  Very long texts are scanned whole; a candidate of any length is measured in pieces, each
+next to 256 code points on both sides.  Spans count code points, ends exclusive, and are ordered by start, then kind.
+Only ``doc_id`` and ``text`` are read; ``redact`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -41,6 +46,20 @@ REACH, AROUND = 48, 256
 PIECE = 48
 #: Marginal compressed bytes per character from which a candidate counts as incompressible.
 NOVELTY = 0.8
+# Words that names in code are made of; they prime the compressor and tell how such names are spelled.
+WORDS = (
+    "abstract access account action address allow argument array assert attribute balance base batch binary boolean branch buffer "
+    "builder cache cancel channel character charset check child clock close collect column complete config context control convert "
+    "cookie count current cursor database date delete depth device directory disable dispatch document domain download dynamic element "
+    "empty enable encode engine entry enumerate error escape event example exception execute exist expect external factory failure "
+    "feature field filter flag follow format frame function handle hash header height host identifier image import initial input insert "
+    "instance interface interrupt invalid iterator keyboard language level library limit line link list literal local lock logger "
+    "lookup machine manager map match member memory message method module mutex name network node object offset operation parameter "
+    "parse pattern platform pointer prefix process property protocol proxy query queue random range reference register replace resource "
+    "result return root schema scope script select sequence server service session shutdown signal socket source space special stack "
+    "start state status stream string struct suffix switch symbol system table target template text thread unique unknown upload "
+    "variable verify virtual worker xml yield zip zone"
+)
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key credential "
     "authorization bearer username account client_id client_secret session cookie config setting "
@@ -50,22 +69,60 @@ IDENTIFIERS = (
     "localhost database connection environment variable process.env os.environ getenv include "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 _test _name _path _file _type"
 )
+#: Bits per character up to which a candidate is spelled like a name; what a digit and another mark count.
+SPELLED, DIGIT, MARK = 5.0, 8.0, 3.0
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("novelty", pa.float64())])
 SPAN_SQL = "array<struct<kind:string,start:bigint,stop:bigint,novelty:double>>"
 
 
+def letter_costs(words: str) -> np.ndarray:
+    """Bits of a letter (1 to 26) after another one, as in ``words``; 0 is the end of a word."""
+    found = np.full((27, 27), 0.5)
+    for word in re.findall("[a-z]+", words):
+        places = [0, *(ord(c) - 96 for c in word), 0]
+        np.add.at(found, (places[:-1], places[1:]), 1)
+    return -np.log2(found / found.sum(axis=1, keepdims=True))
+
+
+COSTS = letter_costs(f"{WORDS} {IDENTIFIERS}")
+
+
+def pieces(raw: str) -> list[str]:
+    """The pieces of equal length in which a candidate is measured."""
+    count = -(-len(raw) // PIECE)
+    ends = [i * len(raw) // count for i in range(count + 1)]
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def spelling(candidate: str) -> float:
+    """Bits per character of a candidate read as a name: words of letters, cut at changes of case and other marks.
+
+    Long candidates are measured in pieces of equal length, and the largest value counts.
+    """
+    return max(map(bits, pieces(candidate)))
+
+
+def bits(piece: str) -> float:
+    found, letters = 0.0, 0
+    for part in PART.findall(piece):
+        places = [0, *(ord(c) - 96 for c in part.lower()), 0]
+        found += COSTS[places[:-1], places[1:]].sum()
+        letters += len(part)
+    digits = sum(c.isdigit() for c in piece)
+    return (found + DIGIT * digits + MARK * (len(piece) - letters - digits)) / len(piece)
+
+
 def novelty(candidate: str, around: str) -> float:
     """Compressed bytes the candidate adds, per byte, once its surroundings are known.
 
     Long candidates are measured in pieces of equal length, and the largest value counts.
     """
-    primed = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(f"{WORDS} {IDENTIFIERS} {around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
-    raw, least = candidate.encode(), len(packer.compress(b""))
-    count = -(-len(raw) // PIECE)
-    ends = [i * len(raw) // count for i in range(count + 1)]
-    return max((len(packer.compress(raw[a:b])) - least) / (b - a) for a, b in zip(ends, ends[1:]))
+    least = len(packer.compress(b""))
+    return max((len(packer.compress(p.encode())) - least) / len(p.encode()) for p in pieces(candidate))
 
 
 def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:
@@ -85,7 +142,7 @@ def spans_of(text: str, threshold: float = NOVELTY) -> list[dict]:
             if not (named or follows or SENSITIVE.search(text, max(0, start - REACH), start)):
                 continue
             parts = [(a, b, novelty(text[a:b], around(text, a, b))) for a, b in outside(start, stop, taken, at)]
-            if parts := [("novel", *p) for p in parts if p[2] >= threshold]:
+            if parts := [("novel", *p) for p in parts if p[2] >= threshold and spelling(text[p[0] : p[1]]) > SPELLED]:
                 out += parts
                 last = stop
                 break

@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import sysconfig
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +134,24 @@ def test_keys_over_line_ends_without_digits_and_around_base_spans_are_found():
     assert not secret_scan.spans_of(f"{far}{key(24, letters)}")
 
 
+def test_names_in_code_and_prose_are_no_secrets():
+    """The modules of the Python in use, but for its tests, which hold keys: thousands of long names, many near sensitive words."""
+    root = Path(sysconfig.get_paths()["stdlib"])
+    files = [p for p in sorted([*root.glob("*.py"), *root.glob("*/*.py")]) if not {"site-packages", "test"} & set(p.parts)]
+    texts = [p.read_text(errors="ignore") for p in files]
+    found = [t[s["start"] : s["stop"]] for t in texts for s in secret_scan.spans_of(t) if s["kind"] == "novel"]
+    assert len(texts) > 300 and 50 * len(found) <= len(texts), found
+    prose = "private access to internationalization; the token KeyboardInterrupt and connection_factory, auth get_no_fold_literal"
+    assert not secret_scan.spans_of(prose)
+
+
+@pytest.mark.parametrize("letters,least", [("abcdefghijklmnopqrstuvwxyz", 0.98), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.0)])
+def test_random_keys_without_digits_are_not_spelled_like_names(letters, least):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices(letters, k=n)) for n in (16, 20, 24, 40) for _ in range(100)]
+    assert sum(bool(secret_scan.spans_of(f"the bearer credential {k} is here")) for k in keys) >= least * len(keys)
+
+
 def test_secrets_of_awkward_rows(awkward, empty):
     rows = secret_scan.scan(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["spans"] == [] for r in rows)
