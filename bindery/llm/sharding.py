@@ -8,7 +8,9 @@ Rows that are close in all dimensions land in the same shard, so the value range
 a shard's files are narrow in every dimension.
 
 Nulls take the lowest step; an empty table has no rows.  Ties on the curve are ordered
-by the remaining columns, so equal rows may swap places without a visible change.
+by the remaining columns, so equal rows may swap places without a visible change.  All columns
+are kept, of any name and type, but for those named like the results, which give way to these (and
+may still be dimensions).  Lengths of texts do not matter.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from bindery.session import settle
 
 BITS = 5
+#: Columns of the results; those of the rows with these names give way to them.
+RESULTS = ("hilbert", "rank", "shard", "slot")
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -72,6 +77,13 @@ def string_steps(rows: DataFrame, column: str, steps: int) -> list[tuple[str, in
     return sorted((r["value"], r["step"]) for r in found.collect())
 
 
+def sortable(value: Column, kind: DataType) -> Column:
+    """The value as a sort key; kinds without an order, such as maps, sort by their JSON form."""
+    if any(word in kind.simpleString() for word in ("map<", "variant")):
+        return F.to_json(F.struct(value.alias("value")))
+    return value
+
+
 def ordered(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     """The rows with ``hilbert`` and ``rank``, their position in curve order from 0.
 
@@ -79,43 +91,49 @@ def ordered(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFra
     slices' row counts (one row per slice) give where each begins.
     """
     steps = 1 << bits
-    held = settle(rows)
-    strings = {i: string_steps(held, d, steps) for i, d in enumerate(dimensions) if dict(rows.dtypes)[d] == "string"}
-    held = held.select("*", *[F.col(d).cast("double").alias(f"_n{i}") for i, d in enumerate(dimensions) if i not in strings])
-    ends = [f(f"_n{i}").alias(f"_{k}{i}") for i in range(len(dimensions)) if i not in strings for k, f in (("lo", F.min), ("hi", F.max))]
+    kept = [c for c in rows.columns if c.lower() not in RESULTS]
+    # The row and its dimensions lie in structs, so their names meet no others.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    held = settle(rows.select(row, *[F.col(f"`{d}`").alias(f"d{i}") for i, d in enumerate(dimensions)]))
+    kinds = dict(held.dtypes)
+    strings = {i: string_steps(held, f"d{i}", steps) for i in range(len(dimensions)) if kinds[f"d{i}"] == "string"}
+    numbers = [i for i in range(len(dimensions)) if i not in strings]
+    held = held.withColumns({f"n{i}": F.col(f"d{i}").cast("double") for i in numbers})
+    ends = [f(f"n{i}").alias(f"{k}{i}") for i in numbers for k, f in (("lo", F.min), ("hi", F.max))]
     lows = held.agg(*ends).first().asDict() if ends else {}
 
     def cell(i: int) -> Column:
         if i in strings:
             found = F
             for least, step in reversed(strings[i]):
-                found = found.when(F.col(dimensions[i]) >= least, step)
+                found = found.when(F.col(f"d{i}") >= least, step)
             return F.lit(0) if found is F else found.otherwise(0)
-        low, high = lows[f"_lo{i}"], lows[f"_hi{i}"]
+        low, high = lows[f"lo{i}"], lows[f"hi{i}"]
         if low is None or low == high:
             return F.lit(0)
-        scaled = F.floor((F.col(f"_n{i}") - F.lit(low)) / F.lit(high - low) * F.lit(steps))
+        scaled = F.floor((F.col(f"n{i}") - F.lit(low)) / F.lit(high - low) * F.lit(steps))
         return F.when(scaled.isNull(), 0).otherwise(F.least(scaled, F.lit(steps - 1))).cast("int")
 
     @F.pandas_udf("bigint")
     def curve(cells: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(cells.to_numpy(), bits))
 
-    names = [f"_c{i}" for i in range(len(dimensions))]
+    names = [f"c{i}" for i in range(len(dimensions))]
     placed = held.withColumns({n: cell(i) for i, n in enumerate(names)})
-    placed = placed.withColumn("hilbert", curve(F.struct(*names))).drop(*names, *[f"_n{i}" for i in range(len(dimensions)) if i not in strings])
-    keys = ["hilbert", *rows.columns]
+    placed = placed.select("row", curve(F.struct(*names)).alias("hilbert"))
+    fields = placed.schema["row"].dataType.fields
+    keys = [F.col("hilbert"), *[sortable(F.col(f"row.`{f.name}`"), f.dataType) for f in fields]]
     sorted_rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     sliced = settle(
-        sorted_rows.withColumn("_slice", F.spark_partition_id()).withColumn(
-            "_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        sorted_rows.withColumn("slice", F.spark_partition_id()).withColumn(
+            "at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
         )
     )
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_slice", F.coalesce(before, F.lit(0)).alias("_start"))
+    counts = sliced.groupBy("slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("slice", F.coalesce(before, F.lit(0)).alias("start"))
     # One row per slice, so its size is bounded by the number of partitions.
-    return sliced.join(F.broadcast(starts), "_slice").withColumn("rank", F.col("_start") + F.col("_at")).drop("_slice", "_at", "_start")
+    return sliced.join(F.broadcast(starts), "slice").select("row.*", "hilbert", (F.col("start") + F.col("at")).alias("rank"))
 
 
 def shard(rows: DataFrame, dimensions: list[str], shards: int, bits: int = BITS) -> DataFrame:
