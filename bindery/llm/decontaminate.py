@@ -8,7 +8,10 @@ A document leaks an item if tiles cover at least ``COVERED`` of the item's words
 
 Words are runs of letters and digits, case folded.  Items shorter than ``LEAST`` words
 are one seed as a whole.  Null and empty texts and items share nothing.  Rows that repeat a
-doc_id or item_id are each compared; a pair is reported once, with its best coverage.
+doc_id or item_id are each compared; a pair is reported once, with its best coverage.  Of
+equally long matches the first in the item, then in the text, is marked.  Texts of any length are read
+whole; only their parts around seeds move on.  An empty table has no pairs.  ``doc_id`` and ``text``, ``item_id`` and
+``text`` are read; ``without_leaks`` keeps all columns of the documents.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from bindery.llm.common import WordHashes, long_lists, mixed, rolling
 from bindery.session import settle
 
 LEAST, COVERED = 5, 0.5
-#: Distinct seeds up to which the tasks get them all, to drop other seeds before the join.
-SENT_SEEDS = 2_000_000
+#: Bits of a hash that the sieve keeps: it has 2 ** SIEVE_BITS places (4 MB) for any number of seeds, and drops most other runs before the join.
+SIEVE_BITS = 25
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,11 +63,21 @@ def seeds_of(items: DataFrame, least: int) -> DataFrame:
     return items.select("item", F.least(F.size("words"), F.lit(least)).alias("size"), F.posexplode(seeds("words")).alias("at", "seed"))
 
 
-def regions(docs: DataFrame, wanted: np.ndarray | None, sizes: list[int]) -> DataFrame:
+def sieve_of(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The places of all seeds, 64 a number; the driver gets at most one row a number."""
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    masks = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(seed, {64 - bits}) & 63))")).alias("mask"))
+    found = masks.toArrow()
+    sieve = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    sieve[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return sieve
+
+
+def regions(docs: DataFrame, sieve: np.ndarray, bits: int, sizes: list[int]) -> DataFrame:
     """The parts of documents that hold seeds: ``row``, ``doc_id``, ``words``, distinct ``seeds``.
 
-    ``wanted`` are the sorted seeds of the benchmark, or None to take all runs of words as
-    seeds.  Parts that are not neighbours are kept apart by a word that occurs nowhere.
+    Runs of words that the sieve of the benchmark lets pass count as seeds; the join drops the false ones.
+    Parts that are not neighbours are kept apart by a word that occurs nowhere.
     """
 
     @F.arrow_udf("struct<words:array<bigint>,seeds:array<bigint>>")
@@ -75,11 +88,8 @@ def regions(docs: DataFrame, wanted: np.ndarray | None, sizes: list[int]) -> Dat
             inside, seeds = np.zeros(len(words) + 1, bool), []
             for size in sizes:
                 runs = hashed(words, size)
-                if wanted is None:
-                    hit = np.ones(len(runs), bool)
-                else:
-                    at = np.searchsorted(wanted, runs).clip(max=max(0, len(wanted) - 1))
-                    hit = wanted[at] == runs if len(wanted) else np.zeros(len(runs), bool)
+                places = runs.view(np.uint64) >> np.uint64(64 - bits)
+                hit = (sieve[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
                 if hit.any():
                     seeds.append(runs[hit])
                     start = np.flatnonzero(hit)
@@ -171,11 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covered: fl
     items = items_of(benchmark, least)
     seeds = settle(seeds_of(items, least))
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
-    distinct = seeds.select("seed").distinct()
-    wanted = None
-    if distinct.count() <= SENT_SEEDS:
-        wanted = np.sort(np.array([r["seed"] for r in distinct.toLocalIterator()], np.int64))
-    parts = regions(docs, wanted, sizes)
+    parts = regions(docs, sieve_of(seeds, SIEVE_BITS), SIEVE_BITS, sizes)
     # Words of the item that shared seeds can cover, as places 0 to n - 1: no tile lies outside.
     shared = parts.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed")
     places = shared.select("row", "item", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place"))
