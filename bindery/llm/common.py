@@ -21,8 +21,18 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string"))
+    """The crc32 of the id as text; that of a null id is 0 below mod 5 and 1 below mod 3, so such rows are held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(10).cast("bigint"))
 
 
 def chunks(texts: pa.Array, rows: int = 256) -> Iterator[list[str]]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from bindery.llm.common import long_lists, mixed, rolling
+from bindery.llm.common import fresh, long_lists, mixed, rolling
 from bindery.llm.components import components
 from bindery.session import settle
 
@@ -554,19 +554,22 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group: that with the group's smallest doc_id.
 
-    Rows without a doc_id go by a number from their text, above the usual ids; of those with
-    equal texts one row stays, the smallest by its other columns.  Rows that repeat a doc_id stay or go together.
+    Rows without a doc_id, or whose doc_id stands in several rows, go by a number from their text, above the
+    usual ids; of those with equal texts one row stays, the smallest by its other columns.
     """
-    number = F.lit((1 << 63) - 1) - F.xxhash64("text").bitwiseAND((1 << 62) - 1)
     kind = docs.schema["doc_id"].dataType
     kind = "bigint" if isinstance(kind, IntegralType) else kind
-    number = number.cast(kind)
-    found = components_of(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast(kind), number)), words, percent)
-    gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    nameless = docs.where("doc_id is null").join(gone, number == F.col("_gone"), "left_anti")
-    filled = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    number = (F.lit((1 << 63) - 1) - F.xxhash64("text").bitwiseAND((1 << 62) - 1)).cast(kind)
+    again, own, gone = (fresh(name, docs) for name in ("again", "own", "gone"))
+    repeated = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again)))
+    has_own = F.col("doc_id").isNotNull() & F.col(again).isNull()
+    marked = docs.join(repeated, F.col("doc_id") == F.col(again), "left").withColumn(own, F.when(has_own, F.col("doc_id").cast(kind)).otherwise(number))
+    found = components_of(marked.select(F.col(own).alias("doc_id"), "text"), words, percent)
+    dropped = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
+    kept = marked.join(dropped, F.col(own) == F.col(gone), "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    others = F.to_json(F.struct(*[c for c, n in zip(columns, docs.columns, strict=True) if n != "text"]))
-    least = nameless.where(filled).groupBy("text").agg(F.min_by(F.struct(*columns), others).alias("_")).select("_.*")
+    named, nameless = kept.where(has_own).select(*columns), kept.where(~has_own).select(*columns)
+    filled = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    rest = F.to_json(F.struct(*[c for c, n in zip(columns, docs.columns, strict=True) if n != "text"]))
+    least = nameless.where(filled).groupBy("text").agg(F.min_by(F.struct(*columns), rest).alias("_")).select("_.*")
     return named.unionByName(nameless.where(~filled)).unionByName(least)
