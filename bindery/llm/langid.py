@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from bindery.llm.common import chunks
 
 #: Rows that the model is fitted on, over all languages, and at least for each.
-SAMPLE_ROWS, LEAST_ROWS = 2400, 40
+SAMPLE_ROWS, LEAST_ROWS, LANGUAGES = 2400, 40, 200
 DIMENSIONS = 4096
 CLUSTERS, ROUNDS = 4, 8
 #: A text is rejected below this share of the lowest percentile of a centroid's own cosines.
@@ -140,14 +140,16 @@ def fitted(languages: np.ndarray, found: np.ndarray) -> Model:
     return Model(names.tolist(), centers, idf, floors)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
     """The model from rows with ``doc_id``, ``text`` and a ``lang``, of which a bounded sample is used.
 
+    The ``languages`` most frequent values of ``lang`` are learned (ties by name), others are mistakes or too rare.
     The sample is spread evenly over languages and drawn by a hash of the id; its
     vectors alone come to the driver.
     """
     rows = labelled.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).where("_lang is not null")
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    common = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages)
+    sizes = {r["_lang"]: r["count"] for r in common.collect()}
     if not sizes:
         return fitted(np.empty(0), np.empty((0, DIMENSIONS)))
     quota = max(LEAST_ROWS, sample_rows // len(sizes))
@@ -172,7 +174,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
     sample = chosen.mapInArrow(count, "lang string, at array<int>, n array<float>").toPandas()
-    sample = sample.sort_values(["lang", "n"], key=lambda c: c if c.name == "lang" else c.map(lambda v: (len(v), float(np.sum(v))))).reset_index(drop=True)
+    # One order of the sample, whatever the partitions.
+    sizes_of = sample["n"].map(lambda v: (len(v), float(np.sum(v))))
+    sample = sample.assign(size=sizes_of, places=sample["at"].map(tuple), times=sample["n"].map(tuple))
+    sample = sample.sort_values(["lang", "size", "places", "times"]).reset_index(drop=True)
     found = np.zeros((len(sample), DIMENSIONS), np.float32)
     for i, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
         found[i, np.asarray(at, np.int64)] = n
