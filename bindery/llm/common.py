@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 20
+#: What goes to a Python worker at once, where the session has Spark's own defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session, whose texts lie twice in a JVM and twice in each of its workers; sizes the user chose stay."""
+    for (key, default), size in zip(DEFAULTS.items(), (BATCH_ROWS, BATCH_BYTES), strict=True):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, str(size))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(df[column], F.lit(""))
