@@ -11,32 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm import decontaminate, langid, minhash, pieces, secret_scan
-from bindery.llm.common import crc_of_id, table
+from bindery.llm.common import crc_of_id, small_batches, table
 from bindery.session import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not found or rejected; learns from those not held out."""
+    small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs.where(crc_of_id() % 5 != 0)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group that shares 80 % of its five-word shingles."""
+    small_batches(spark)
     return minhash.keep_one(docs, words=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold half of a benchmark item or more."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in texts; all documents stay."""
+    small_batches(spark)
     return secret_scan.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document with its columns, and how many there are."""
+    small_batches(spark)
     found = docs.withColumn("_", pieces.encoded(docs["text"]))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "n_tokens", "text", "decoded")]
     return found.select(*names, F.col("_.ids").alias("ids"), F.size("_.ids").cast("bigint").alias("n_tokens"), F.col("_.decoded").alias("decoded"))
