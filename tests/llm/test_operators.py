@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from bindery.llm import ann, chat, decontaminate, langid, licenses, minhash, pieces, queries, secret_scan, sharding, toxicity
-from bindery.llm.common import table
+from bindery.llm.common import crc_of_id, table
 from bindery.llm.components import components
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -578,6 +578,17 @@ def test_language_of_awkward_rows(docs, awkward, empty):
 # 8 ----------------------------------------------------------------------------
 
 
+def test_rare_languages_are_not_learned_and_null_ids_are_held_out(spark):
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(3)] + [(i, f"das haus und der garten {i}", "de") for i in (3, 4)]
+    rows += [(5, "la maison et le jardin", "fr"), (6, "el jardin de la casa", "es"), (None, "no id", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(df, languages=2).languages) == {"de", "en"}
+    # Of equally frequent languages the smaller name counts.
+    assert set(langid.fit(df, languages=3).languages) == {"de", "en", "es"}
+    held = df.where("doc_id is null").select(crc_of_id() % 5 == 0, crc_of_id() % 3 == 1).first()
+    assert tuple(held) == (True, True)
+
+
 def test_toxicity_of_held_out_rows(spark):
     labels = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
     rows = [r for r in queries.op8_toxicity_lexicon(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
