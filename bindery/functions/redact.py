@@ -267,15 +267,20 @@ def rule_hits(df: DataFrame, text: str, mode: str = "line") -> DataFrame:
     """How often each rule applies, one row per rule with any hit.
 
     Every rule sees the output of the rules before it.  The stages are separate
-    projections, so each pattern runs once per text for counting and once for
-    replacing.
+    projections: a pattern counts once in each text that has the rule's literals, and
+    replaces once where it was found.  Nothing is filtered by the gates, as a filter
+    would be pushed below the texts and compute both twice.
     """
     steps = rules(mode)
-    stage = df.select(F.col(text).alias("_text")).where(may_match(F.col("_text"), mode))
-    for rule in steps:
+    content = F.col("_text")
+    stage = df.select(F.col(text).alias("_text")).withColumn(
+        "_gates", let(_lowered(content), lambda low: F.array(*[_gate(rule, content, low) for rule in steps]))
+    )
+    for i, rule in enumerate(steps):
+        hits = "_n_" + rule.name
         stage = stage.withColumn(
-            "_n_" + rule.name, F.regexp_count("_text", F.lit(rule.pattern))
-        ).withColumn("_text", F.regexp_replace("_text", rule.pattern, rule.replacement))
+            hits, F.when(F.get("_gates", F.lit(i)), F.regexp_count("_text", F.lit(rule.pattern))).otherwise(0)
+        ).withColumn("_text", _apply(rule, F.col(hits) > 0)(content))
     counts = F.array(
         *[
             F.struct(

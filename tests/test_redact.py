@@ -138,6 +138,30 @@ def test_rule_hits_count_each_rule(spark):
     assert hits["aws_key"] == 1
 
 
+def test_rule_hits_run_a_pattern_only_where_it_can_match(spark):
+    found = rule_hits(spark.range(1).select(F.concat(F.lit("token=ab"), "id").alias("v")), "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("THEN regexp_replace(") == len(rules()) - 1  # nothing follows the last
+    assert plan.count("regexp_extract_all(") == plan.count("THEN size(regexp_extract_all(") == len(rules())
+    assert [(r["rule"], r["hits"], r["texts"]) for r in found.collect()] == [("url_secret", 1, 1)]
+
+
+def test_rule_hits_equal_those_of_rules_without_gates(spark):
+    rng = random.Random(11)
+    pieces = [g[0] for g in GOLDENS] + CLEAN + ["", "plain words", "\u0130 key"]
+    texts = [None, "", *["\n".join(rng.choices(pieces, k=rng.randint(1, 5))) for _ in range(200)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    for mode in ("line", "text"):
+        left, want = rows.where("v is not null"), {}
+        for rule in rules(mode):
+            left = left.localCheckpoint()
+            n = F.regexp_count("v", F.lit(rule.pattern))
+            want[rule.name] = tuple(left.agg(F.sum(n), F.count_if(n > 0)).first())
+            left = left.select(F.regexp_replace("v", rule.pattern, rule.replacement).alias("v"))
+        got = {r["rule"]: (r["hits"], r["texts"]) for r in rule_hits(rows, "v", mode).collect()}
+        assert got == {k: v for k, v in want.items() if v[0]}, mode
+
+
 def test_unknown_mode_is_an_error():
     with pytest.raises(ValueError):
         rules("page")
