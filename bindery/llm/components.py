@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.session import settle
+from bindery.session import forget, settle
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component``, the smallest id it reaches, for all ids of ``links`` (``a``, ``b``).
 
     Large-star and small-star steps in turn until the links stay as they are; every link
-    then points from an id to its component.  Each round is written as a table; hubs are
-    never gathered, as only minima are taken.
+    then points from an id to its component.  Each round is written as a table, which goes when the
+    next one is there; hubs are never gathered, as only minima are taken.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     held, mark = settle(links), None
@@ -32,4 +32,5 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: an id and its smaller neighbours point to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        held = settle(small.union(least.select("a", F.col("low").alias("b"))).distinct())
+        before, held = held, settle(small.union(least.select("a", F.col("low").alias("b"))).distinct())
+        forget(before, large)

@@ -11,7 +11,8 @@ a list's largest component with a few others of it; then all remaining pairs of
 components, counted in cells of bounded size (lists with the same members are one, and lists of one
 largest component are one block where that makes fewer pairs).  A pair goes on if it shares enough sketch values
 and the sketch of the union estimates enough similarity (``SIGMAS`` standard deviations of leeway);
-the exact similarity of the full sets confirms it.  Links give components.
+the exact similarity of the full sets confirms it.  Links give components.  Tables between the
+steps go when their last reader is done.
 
 Texts are lower-cased in A-Z and split at ASCII white space.  With fewer words than a shingle
 the whole sequence is one shingle; null and empty texts have the empty set and are linked
@@ -32,7 +33,7 @@ from pyspark.sql.types import IntegralType
 
 from bindery.llm.common import fresh, long_lists, mixed, rolling
 from bindery.llm.components import components
-from bindery.session import settle
+from bindery.session import forget, settle
 
 KEPT, SIGMAS = 256, 4.5
 #: A signature has this many values of four bits: the smallest hash of each bin among so many smallest.
@@ -314,7 +315,9 @@ def delegates_of(placed: DataFrame, percent: int) -> DataFrame:
     centers = found.where("component = main").groupBy("value").agg(F.array_distinct(F.array(*some)).alias("centers"))
     pairs = found.where("component <> main").select("value", "mark", "n", "s", "t").join(centers, "value").select("mark", "n", "s", "t", F.explode("centers").alias("_"))
     pairs = pairs.where(alike((F.col("s"), F.col("t")), (F.col("_.s"), F.col("_.t")), percent))
-    return pairs.where(sizes_allow(F.col("n"), F.col("_.n"), percent)).select("mark", F.col("_.mark").alias("center")).distinct()
+    asked = settle(pairs.where(sizes_allow(F.col("n"), F.col("_.n"), percent)).select("mark", F.col("_.mark").alias("center")).distinct())
+    forget(open_lists, found)
+    return asked
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
@@ -383,7 +386,9 @@ def cells_of(placed: DataFrame, percent: int) -> DataFrame:
     dealt = cells.withColumn("group", F.pmod("key", F.lit(groups))).groupBy("group")
     kind = "block bigint, i int, j int, a bigint, b bigint, component bigint, left boolean, right boolean"
     kept = dealt.applyInArrow(lambda data: linkable(data), kind)
-    return settle(kept.select("block", F.struct("i", "j").alias("cell"), F.struct("a", "b").alias("mark"), "component", "left", "right"))
+    linkable_cells = settle(kept.select("block", F.struct("i", "j").alias("cell"), F.struct("a", "b").alias("mark"), "component", "left", "right"))
+    forget(cells)
+    return linkable_cells
 
 
 def overlaps(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -511,20 +516,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     left = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    found = settle(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
+    forget(asked, sets)
+    return found
 
 
-def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) between classes that join all components of the similarity."""
-    lists = lists_of(rows, frequent_values(rows), percent)
-    members = members_of(rows, lists)
+def links(lists: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links from settled lists and members, both of which are forgotten."""
     member = F.struct("cls", "n", "sketch")
     x, y = F.col("x"), F.col("y")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(members.select("mark", member.alias("y")), "mark").join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
+        half = settle(pairs.join(members.select("mark", member.alias("y")), "mark").select("center", "y"))
+        both = half.join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
         both = both.where(sizes_allow(x["n"], y["n"], percent)).where(shared_enough(x, y, percent))
-        return settle(confirmed(settle(estimated(both, percent)), docs, words, percent))
+        near = settle(estimated(both, percent))
+        forget(half)
+        found = confirmed(near, docs, words, percent)
+        forget(near)
+        return found
 
     def stars(joined: DataFrame) -> DataFrame:
         return joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -532,17 +542,30 @@ def links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     # Step one: every member with its list's center, each pair once.
     joined = components(linked(lists.where("near").select("mark", "center").distinct()))
     # Step two: members outside a list's largest component with some of it.
-    joined = components(stars(joined).union(linked(delegates_of(placed_of(lists, members, joined), percent))))
+    placed = placed_of(lists, members, joined)
+    pairs = delegates_of(placed, percent)
+    forget(placed)
+    joined = components(stars(joined).union(linked(pairs)))
+    forget(pairs)
     # Step three: members of different components, each against all of its list but the largest component.
-    cells = cells_of(placed_of(lists, members, joined), percent)
-    return stars(joined).union(settle(confirmed(pairs_of_cells(cells, members, percent), docs, words, percent)))
+    placed = placed_of(lists, members, joined)
+    forget(lists)
+    cells = cells_of(placed, percent)
+    forget(placed)
+    pairs = pairs_of_cells(cells, members, percent)
+    forget(members, cells)
+    return stars(joined).union(confirmed(pairs, docs, words, percent))
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable."""
-    rows = settle(sketches(docs, words))
-    named = rows.where("id is not null and n > 0")
-    found = links(named, docs, words, percent)
+    sketched = settle(sketches(docs, words))
+    rows, has_set = settle(sketched.select("id", "n", "mark")), "id is not null and n > 0"
+    lists = lists_of(sketched.where(has_set), frequent_values(sketched.where(has_set)), percent)
+    members = members_of(sketched.where(has_set), lists)
+    forget(sketched)
+    named = rows.where(has_set)
+    found = links(lists, members, docs, words, percent)
     # Rows of equal sets are one class, named by the smallest doc_id.
     least = named.groupBy("mark").agg(F.min("id").alias("cls"), F.max("id").alias("last")).where("cls <> last").select("mark", "cls")
     own = named.select("id", "mark").join(least, "mark").where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Whether a query's shuffle files go when it ends, not when the driver next collects garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", app: str = "bindery", **conf) -> SparkSession:
@@ -66,13 +68,32 @@ def settle(df: DataFrame) -> DataFrame:
 
     Used where rows feed several jobs: later jobs read only the columns they
     need, a lost executor costs a re-read instead of a recomputation, and Spark
-    knows the true size when it chooses joins.  The table goes with the application.
+    knows the true size when it chooses joins.  The write's shuffle files go with the write, the
+    table with the application or by :func:`forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
     drop_at_end(spark, path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    usual = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if usual is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, usual)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.settled_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no one reads any more."""
+    for found in tables:
+        spark = found.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(found.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

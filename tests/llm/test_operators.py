@@ -19,6 +19,7 @@ import public_tokenizers
 from bindery.llm import ann, chat, decontaminate, langid, licenses, minhash, pieces, queries, secret_scan, sharding, toxicity
 from bindery.llm.common import crc_of_id, table
 from bindery.llm.components import components
+from bindery.session import shared_dir
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 LONG = " ".join(f"word{i % 977} the token" for i in range(20_000))
@@ -485,6 +486,15 @@ def test_large_groups_of_near_copies_lose_no_link(spark, words, percent):
     assert got == plain_components(rows, words, percent)[0]
 
 
+def test_sketches_and_sets_go_when_they_are_read(spark):
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("bindery-*"))
+    df = spark.createDataFrame(near_copies(60, 6), "doc_id long, text string")
+    minhash.components_of(df, 3, 85).collect()
+    left = [spark.read.parquet(str(f)).columns for f in set(shared.glob("bindery-*")) - before]
+    assert left and not [c for c in left if {"sketch", "set", "y"} & set(c)]
+
+
 def test_large_groups_cut_into_many_cells_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 8)
     monkeypatch.setattr(minhash, "GROUP_ROWS", 32)
