@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import mixed
+from bindery.llm.common import mixed, small_batches
 from bindery.session import settle
 
 LONGEST = 5
 #: Text bytes hashed at once, and bits of a sieve.
-BLOCK_BYTES, SIEVE_BITS = 1 << 21, 26
+BLOCK_BYTES, SIEVE_BITS = 1 << 20, 26
 #: 0: part of a word, 1: between words, 2: between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -246,6 +246,7 @@ def phrases(docs: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
 
 def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """All runs of up to ``LONGEST`` words with ``least`` occurrences in their language, and the languages' word counts."""
+    small_batches(docs.sparkSession)
     words = settle(counted(docs, range(1, 2)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     sieves = [sieve_of(words.where(F.col("n") >= least))]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindery.llm import collocations, mixing, queries, spelling
-from bindery.llm.common import table
+from bindery.llm.common import BATCH_BYTES, BATCH_ROWS, DEFAULTS, table
 from check import rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -214,6 +214,15 @@ def test_colliding_fingerprints_are_told_apart(monkeypatch):
     assert [texts[int(k)].as_py() for k in number] == words.split()
 
 
+def test_collocations_bound_the_batches_of_workers(spark):
+    for key, size in DEFAULTS.items():
+        spark.conf.set(key, size)
+    docs = spark.createDataFrame([(1, "a b. a b", "en")], "doc_id long, text string, lang string")
+    assert [r["phrase"] for r in collocations.top(docs, 5, least=2).collect()] == ["a b"]
+    assert [spark.conf.get(key) for key in DEFAULTS] == [str(BATCH_ROWS), str(BATCH_BYTES)]
+    assert collocations.Polynomial(np.zeros(9, np.uint64)).bits <= 21
+
+
 @pytest.mark.parametrize("size", [16, 64, 1 << 21])
 def test_blocks_cut_texts_between_pieces(monkeypatch, size):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
