@@ -102,3 +102,19 @@ def long_lists(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Li
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+
+
+def sieve_of(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The places of all seeds, 64 a number; the driver gets at most one row a number."""
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    masks = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(seed, {64 - bits}) & 63))")).alias("mask"))
+    found = masks.toArrow()
+    sieve = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    sieve[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return sieve
+
+
+def in_sieve(sieve: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
+    """Which seeds have their place in the sieve."""
+    places = seeds.view(np.uint64) >> np.uint64(64 - bits)
+    return (sieve[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -17,13 +17,15 @@ whole; only their parts around seeds move on.  An empty table has no pairs.  ``d
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import WordHashes, long_lists, mixed, rolling
+from bindery.llm.common import chunks, in_sieve, long_lists, mixed, rolling, sieve_of
+from bindery.llm.minhash import hashed_text, hashed_words
 from bindery.session import settle
 
 LEAST, COVERED = 5, 0.5
@@ -32,8 +34,20 @@ SIEVE_BITS = 25
 WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str) -> list[bytes]:
-    return [w.encode() for w in WORD.findall(text.lower())]
+#: What ``WORD`` and lower case make of ASCII texts: other bytes than those of words are spaces.
+PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def hashed_texts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes of runs of texts that stand one after the other, and how many each text has."""
+    for run in chunks(texts):
+        parts = [t.encode().translate(PLAIN) if t.isascii() else " ".join(WORD.findall(t.lower())).encode() for t in run]
+        data = np.frombuffer(b" ".join(parts), np.uint8)
+        if len(parts) == 1:
+            hashes = hashed_text(data)
+            yield hashes, np.array([len(hashes)])
+        else:
+            yield hashed_words(data, np.cumsum([0, *(len(p) + 1 for p in parts[:-1])]))
 
 
 def hashed(words: np.ndarray, least: int) -> np.ndarray:
@@ -45,8 +59,7 @@ def items_of(benchmark: DataFrame, least: int) -> DataFrame:
 
     @F.arrow_udf("array<bigint>")
     def words(texts: pa.Array) -> pa.Array:
-        hashes = WordHashes()
-        return long_lists([hashes.of(words_of(t.as_py() or "")) for t in texts])
+        return long_lists([part for hashes, counts in hashed_texts(texts) for part in np.split(hashes, np.cumsum(counts)[:-1])])
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", words(benchmark["text"]).alias("words"))
     return settle(rows.where(F.size("words") > 0))
@@ -63,16 +76,6 @@ def seeds_of(items: DataFrame, least: int) -> DataFrame:
     return items.select("item", F.least(F.size("words"), F.lit(least)).alias("size"), F.posexplode(seeds("words")).alias("at", "seed"))
 
 
-def sieve_of(seeds: DataFrame, bits: int) -> np.ndarray:
-    """The places of all seeds, 64 a number; the driver gets at most one row a number."""
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    masks = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(seed, {64 - bits}) & 63))")).alias("mask"))
-    found = masks.toArrow()
-    sieve = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
-    sieve[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return sieve
-
-
 def regions(docs: DataFrame, sieve: np.ndarray, bits: int, sizes: list[int]) -> DataFrame:
     """The parts of documents that hold seeds: ``row``, ``doc_id``, ``words``, distinct ``seeds``.
 
@@ -82,27 +85,36 @@ def regions(docs: DataFrame, sieve: np.ndarray, bits: int, sizes: list[int]) ->
 
     @F.arrow_udf("struct<words:array<bigint>,seeds:array<bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
-        hashes, kept, found = WordHashes(), [], []
-        for text in texts:
-            words = hashes.of(words_of(text.as_py() or ""))
-            inside, seeds = np.zeros(len(words) + 1, bool), []
+        kept, found = [], []
+        for hashes, counts in hashed_texts(texts):
+            owner, hits = np.repeat(np.arange(len(counts)), counts), []
             for size in sizes:
-                runs = hashed(words, size)
-                places = runs.view(np.uint64) >> np.uint64(64 - bits)
-                hit = (sieve[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
-                if hit.any():
-                    seeds.append(runs[hit])
-                    start = np.flatnonzero(hit)
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + size, -1)
+                runs = hashed(hashes, size)
+                at = np.flatnonzero(in_sieve(sieve, runs, bits))
+                at = at[owner[at] == owner[at + size - 1]]  # runs inside one text
+                hits.append((size, at, runs[at]))
+            some = np.zeros(len(counts), bool)
+            some[owner[np.concatenate([at for _, at, _ in hits])] if hits else []] = True
+            ends = np.cumsum(counts)
+            for with_seeds, start, stop in zip(some.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                if not with_seeds:
+                    kept.append(np.empty(0, np.int64))
+                    found.append(np.empty(0, np.int64))
+                    continue
+                inside, seeds = np.zeros(stop - start + 1, bool), []
+                for size, at, runs in hits:
+                    own = slice(*np.searchsorted(at, (start, stop)))
+                    change = np.zeros(len(inside), np.int64)
+                    np.add.at(change, at[own] - start, 1)
+                    np.add.at(change, at[own] - start + size, -1)
                     inside |= np.cumsum(change) > 0
-            at = np.flatnonzero(inside)
-            part = words[at].view(np.int64)
-            gaps = np.flatnonzero(np.diff(at) > 1) + 1
-            apart = mixed(np.arange(1, len(gaps) + 1, dtype=np.uint64)).view(np.int64)
-            kept.append(np.insert(part, gaps, apart))
-            found.append(np.unique(np.concatenate(seeds)) if seeds else np.empty(0, np.int64))
+                    seeds.append(runs[own])
+                at = np.flatnonzero(inside)
+                part = hashes[start:stop][at].view(np.int64)
+                gaps = np.flatnonzero(np.diff(at) > 1) + 1
+                apart = mixed(np.arange(1, len(gaps) + 1, dtype=np.uint64)).view(np.int64)
+                kept.append(np.insert(part, gaps, apart))
+                found.append(np.unique(np.concatenate(seeds)))
         return pa.StructArray.from_arrays([long_lists(kept), long_lists(found)], ["words", "seeds"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", cut(docs["text"]).alias("_"))

@@ -721,3 +721,16 @@ def test_stages_keep_columns_and_awkward_rows(spark, awkward, empty):
             assert stage(spark, given, SMALL).columns == given.columns
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, given, SMALL).collect()
+
+
+def test_words_of_texts_are_hashed_by_their_letters_and_digits():
+    texts = ["A b_c D-1\x00x\u212a!", "\u212b K\u00c9 k\u00e9 \u00b2 \u0130x _", None, "", "  ", "b c a 1 X k", "\u3042\u3044 A\u00a0b", "x" * 70]
+    hashed = lambda column: [p.tolist() for h, n in decontaminate.hashed_texts(column) for p in np.split(h, np.cumsum(n)[:-1])]
+    known, back = {}, {}
+    for text, found in zip(texts, hashed(pa.array(texts, pa.string())), strict=True):
+        words = decontaminate.WORD.findall((text or "").lower())
+        assert len(words) == len(found)
+        for word, number in zip(words, found, strict=True):
+            assert known.setdefault(word, number) == number and back.setdefault(number, word) == word
+    for text in texts:  # alone, as long texts are
+        assert hashed(pa.array([text], pa.string())) == [[known[w] for w in decontaminate.WORD.findall((text or "").lower())]]
