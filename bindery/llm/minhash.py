@@ -12,7 +12,8 @@ components, counted in cells of bounded size (lists with the same members are on
 largest component are one block where that makes fewer pairs).  A pair goes on if it shares enough sketch values
 and the sketch of the union estimates enough similarity (``SIGMAS`` standard deviations of leeway);
 the exact similarity of the full sets confirms it.  Links give components.  Tables between the
-steps go when their last reader is done.
+steps go when their last reader is done.  Sketches stay in the table they were written to: members of lists
+carry only their size and signature, and sketches move for those that stand in a pair, by a sieve of fixed size.
 
 Texts are lower-cased in A-Z and split at ASCII white space.  With fewer words than a shingle
 the whole sequence is one shingle; null and empty texts have the empty set and are linked
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from bindery.llm.common import fresh, long_lists, mixed, rolling
+from bindery.llm.common import fresh, in_sieve, long_lists, mixed, rolling, sieve_of
 from bindery.llm.components import components
 from bindery.session import forget, settle
 
@@ -46,6 +48,10 @@ FREQUENT, OFTEN = 65_536, 4
 CELL, GROUP_ROWS, COLUMNS = 256, 2048, 8192
 #: Members of a list's largest component that the others meet before all of it.
 DELEGATES = 8
+#: Parts of the inverted lists, and of the pairs to confirm, that are made one after the other, so that the disk holds the shuffle of one.
+PASSES = 2
+#: Bits of a hash that the sieve of rows keeps: it has 2 ** ROW_BITS places (4 MB) for any number of rows.
+ROW_BITS = 25
 #: Text bytes that are hashed at once, up to the end of a word.
 BLOCK_BYTES = 1 << 20
 SOLID = ~np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
@@ -169,7 +175,7 @@ def alike(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> C
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``mark`` (128 bits of the set), ``sketch`` and the signature (``s``, ``t``) of each row.
+    """``row`` (a number), ``id``, ``n`` (set size), ``mark`` (128 bits of the set), ``sketch`` and the signature (``s``, ``t``) of each row.
 
     Sketch values are the upper 32 bits of the smallest hashes, so they have the same order.
     """
@@ -192,7 +198,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         s, t = (pa.array([sign[k] for sign in signs], pa.int64()) for k in (0, 1))
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), mark, long_lists(parts, pa.int32()), s, t], ["n", "mark", "sketch", "s", "t"])
 
-    return docs.select(F.col("doc_id").alias("id"), sketch(docs["text"]).alias("_")).select("id", "_.*")
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), sketch(docs["text"]).alias("_"))
+    return found.select("row", "id", "_.*")
 
 
 def frequent_values(rows: DataFrame) -> np.ndarray:
@@ -218,6 +225,7 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
 
     Values are sorted within tasks and streamed, so a list of any length is never held; the
     center has no row of its own.  Repeated marks of a batch are skipped, as copies need no lists.
+    Values go in ``PASSES`` parts, the later ones when the shuffle of those before is gone.
     """
 
     @F.arrow_udf("array<int>")
@@ -250,11 +258,16 @@ def lists_of(rows: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
     chosen = prefix("sketch", prefix_size(F.size("sketch"), percent), F.col("mark")["a"])
     names, firsts = ["value", "x", "y", "n", "s", "t"], ["first_x", "first_y", "first_n", "first_s", "first_t"]
     values = rows.select(F.explode(chosen).alias("value"), F.col("mark")["a"].alias("x"), F.col("mark")["b"].alias("y"), "n", "s", "t")
-    ordered = values.repartition("value").sortWithinPartitions("value", "x", "y")
-    found = ordered.mapInArrow(runs, "value int, " + ", ".join(f"{c} bigint" for c in names[1:] + firsts))
     mark, center = F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("first_x").alias("a"), F.col("first_y").alias("b"))
     fits = sizes_allow(F.col("n"), F.col("first_n"), percent) & alike((F.col("s"), F.col("t")), (F.col("first_s"), F.col("first_t")), percent)
-    return settle(found.select("value", mark.alias("mark"), center.alias("center"), fits.alias("near")))
+    parts = []
+    for k in range(PASSES):
+        ordered = values.where(F.pmod("value", F.lit(PASSES)) == k).repartition("value").sortWithinPartitions("value", "x", "y")
+        found = ordered.mapInArrow(runs, "value int, " + ", ".join(f"{c} bigint" for c in names[1:] + firsts))
+        parts.append(settle(found.select("value", mark.alias("mark"), center.alias("center"), fits.alias("near"))))
+    lists = settle(reduce(DataFrame.union, parts))
+    forget(*parts)
+    return lists
 
 
 def frequencies(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -271,9 +284,23 @@ def prefix_size(size: Column, percent: int) -> Column:
 
 
 def members_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """For each mark in a list, ``cls`` (its smallest doc_id), ``n``, ``sketch`` and signature."""
+    """For each mark in a list, ``cls`` (its smallest doc_id), ``n``, signature and a ``row`` that has its sketch."""
     marks = lists.select("mark").union(lists.select(F.col("center").alias("mark"))).distinct()
-    return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), *[F.first(c).alias(c) for c in ("n", "sketch", "s", "t")]))
+    return settle(rows.join(marks, "mark").groupBy("mark").agg(F.min("id").alias("cls"), *[F.min(c).alias(c) for c in ("row", "n", "s", "t")]))
+
+
+def sketches_of(marks: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """``mark``, ``cls``, ``n`` and ``sketch`` of some members; the sieve keeps most other sketches from being shuffled."""
+    asked = settle(members.join(marks.distinct(), "mark").select("row", "mark", "cls", "n"))
+    sieve = sieve_of(asked.select(F.xxhash64("row").alias("seed")), ROW_BITS)
+
+    @F.arrow_udf("boolean")
+    def passing(seeds: pa.Array) -> pa.Array:
+        return pa.array(in_sieve(sieve, seeds.to_numpy(), ROW_BITS))
+
+    found = settle(sketched.select("row", "sketch").where(passing(F.xxhash64("row"))).join(asked, "row").select("mark", "cls", "n", "sketch"))
+    forget(asked)
+    return found
 
 
 def sizes_allow(x: Column, y: Column, percent: int) -> Column:
@@ -289,7 +316,8 @@ def placed_of(lists: DataFrame, members: DataFrame, joined: DataFrame) -> DataFr
     """``value``, ``mark``, ``n``, signature and ``component`` of all members of lists."""
     parts = members.select("mark", "n", "s", "t", "cls").join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     parts = parts.select("mark", "n", "s", "t", F.coalesce("component", "cls").alias("component"))
-    everyone = lists.select("value", "mark").union(lists.select("value", "center")).distinct()
+    # A list has one row a member, and its center in each of them.
+    everyone = lists.select("value", "mark").union(lists.select("value", "center").distinct())
     return settle(everyone.join(parts, "mark"))
 
 
@@ -433,7 +461,7 @@ def union_sketches(sketches: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.
 
 
 def pairs_of_cells(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes (``a``, ``b``) of different components whose sketches share enough and whose union sketch allows the similarity."""
+    """The pairs of classes (``a``, ``b``) of different components whose sketches share enough and whose union sketch allows the similarity; ``members`` have sketches."""
     part = percent / 100
 
     def pairs(data: pa.Table) -> pa.Table:
@@ -513,25 +541,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     asked = settle(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
     texts = docs.select(F.col("doc_id").alias("cls"), F.col("text").alias("_text")).join(asked, "cls")
     sets = settle(texts.select("cls", full("_text").alias("set")))
-    left = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = settle(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct())
+    shared, parts = F.size(F.array_intersect("x", "y")), []
+    for k in range(PASSES):
+        inside = F.pmod(F.xxhash64("a"), F.lit(PASSES)) == k
+        left = pairs.where(inside).join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+        both = left.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")).where(inside), "a")
+        parts.append(settle(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()))
     forget(asked, sets)
-    return found
+    return reduce(DataFrame.union, parts)
 
 
-def links(lists: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links from settled lists and members, both of which are forgotten."""
+def links(lists: DataFrame, members: DataFrame, sketched: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links from settled lists, members and sketches, all of which are forgotten."""
     member = F.struct("cls", "n", "sketch")
     x, y = F.col("x"), F.col("y")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        half = settle(pairs.join(members.select("mark", member.alias("y")), "mark").select("center", "y"))
-        both = half.join(members.select(F.col("mark").alias("center"), member.alias("x")), "center")
+        asked = sketches_of(pairs.select("mark").union(pairs.select("center")), members, sketched)
+        half = pairs.join(asked.select("mark", member.alias("y")), "mark").select("center", "y")
+        both = half.join(asked.select(F.col("mark").alias("center"), member.alias("x")), "center")
         both = both.where(sizes_allow(x["n"], y["n"], percent)).where(shared_enough(x, y, percent))
         near = settle(estimated(both, percent))
-        forget(half)
+        forget(asked)
         found = confirmed(near, docs, words, percent)
         forget(near)
         return found
@@ -552,8 +583,10 @@ def links(lists: DataFrame, members: DataFrame, docs: DataFrame, words: int, per
     forget(lists)
     cells = cells_of(placed, percent)
     forget(placed)
-    pairs = pairs_of_cells(cells, members, percent)
-    forget(members, cells)
+    asked = sketches_of(cells.select("mark"), members, sketched)
+    forget(members, sketched)
+    pairs = pairs_of_cells(cells, asked, percent)
+    forget(asked, cells)
     return stars(joined).union(confirmed(pairs, docs, words, percent))
 
 
@@ -563,9 +596,8 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rows, has_set = settle(sketched.select("id", "n", "mark")), "id is not null and n > 0"
     lists = lists_of(sketched.where(has_set), frequent_values(sketched.where(has_set)), percent)
     members = members_of(sketched.where(has_set), lists)
-    forget(sketched)
     named = rows.where(has_set)
-    found = links(lists, members, docs, words, percent)
+    found = links(lists, members, sketched, docs, words, percent)
     # Rows of equal sets are one class, named by the smallest doc_id.
     least = named.groupBy("mark").agg(F.min("id").alias("cls"), F.max("id").alias("last")).where("cls <> last").select("mark", "cls")
     own = named.select("id", "mark").join(least, "mark").where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))

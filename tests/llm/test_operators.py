@@ -734,3 +734,21 @@ def test_words_of_texts_are_hashed_by_their_letters_and_digits():
             assert known.setdefault(word, number) == number and back.setdefault(number, word) == word
     for text in texts:  # alone, as long texts are
         assert hashed(pa.array([text], pa.string())) == [[known[w] for w in decontaminate.WORD.findall((text or "").lower())]]
+
+
+def test_sketches_move_only_for_members_of_pairs(spark, monkeypatch):
+    base = [[f"w{i}x{k}" for k in range(60)] for i in range(20)]
+    rows = [(2 * i, " ".join(b)) for i, b in enumerate(base)] + [(2 * i + 1, " ".join(b[:30] + [f"v{i}x{k}" for k in range(30)])) for i, b in enumerate(base)]
+    rows += [(100, " ".join(base[0] + ["end"])), (None, " ".join(base[0])), (0, " ".join(base[0]))]
+    written, settle = [], minhash.settle
+
+    def counting(df):
+        found = settle(df)
+        if "sketch" in found.columns:
+            written.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "settle", counting)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert {k for k, v in got.items() if k != v} == {100} and got[100] == 0
+    assert written[0] == len(rows) and max(written[1:]) < 20  # 41 sets stand in lists
