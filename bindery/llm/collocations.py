@@ -35,6 +35,8 @@ from bindery.session import settle
 LONGEST = 5
 #: Text bytes hashed at once, and bits of a sieve.
 BLOCK_BYTES, SIEVE_BITS = 1 << 20, 26
+#: Fingerprints of a task that are counted at once, over blocks, before they leave it.
+POOL = 1 << 20
 #: 0: part of a word, 1: between words, 2: between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -61,7 +63,7 @@ class Polynomial:
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * powers(BASE, self.bits)[: len(values)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def of(self, starts: np.ndarray | slice, stops: np.ndarray | slice) -> np.ndarray:
         return (self.sums[stops] - self.sums[starts]) * powers(INVERSE, self.bits)[starts]
 
 
@@ -83,6 +85,7 @@ class Block:
         self.text = np.searchsorted(heads, self.starts, "right") - 1
         self.piece = np.cumsum(kind == 2)[self.starts] + self.text
         self.seed = seeds[self.text]
+        self.passed: tuple[int, np.ndarray, np.ndarray] | None = None
         self.symbols = mixed(Polynomial(VALUES[self.data]).of(self.starts, self.stops) + np.uint64(1))
         self.sums = Polynomial(self.symbols)
 
@@ -94,15 +97,20 @@ class Block:
         count = max(len(self) - size + 1, 0)
         return self.piece[:count] == self.piece[size - 1 :]
 
-    def fingerprints(self, size: int) -> np.ndarray:
-        at = np.arange(max(len(self) - size + 1, 0))
+    def fingerprints(self, size: int, at: np.ndarray | slice | None = None) -> np.ndarray:
+        """The fingerprints of all runs of ``size`` words, or of those that start ``at`` some words."""
+        if at is None:
+            count = max(len(self) - size + 1, 0)
+            return mixed(self.sums.of(slice(count), slice(size, size + count)) + self.seed[:count] + np.uint64(size))
         return mixed(self.sums.of(at, at + size) + self.seed[at] + np.uint64(size))
 
     def passing(self, size: int, part: int, sieve: np.ndarray | None) -> np.ndarray:
         """Which runs of ``size`` words lie in one piece and have only parts, of ``part`` words, that pass the sieve."""
         found = self.whole(size)
         if sieve is not None and len(found):
-            parts = held(sieve, self.fingerprints(part))
+            if self.passed is None or self.passed[0] != part or self.passed[1] is not sieve:
+                self.passed = part, sieve, held(sieve, self.fingerprints(part))
+            parts = self.passed[2]
             for k in range(size - part + 1):
                 found = found & parts[k : k + len(found)]
         return found
@@ -130,9 +138,13 @@ class Block:
 
 def held(sieve: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
     """Which fingerprints have both of their bits in the sieve."""
-    found = np.ones(len(fingerprints), bool)
-    for place in (fingerprints >> np.uint64(64 - SIEVE_BITS), fingerprints & np.uint64((1 << SIEVE_BITS) - 1)):
-        found &= (sieve[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    def bit(place: np.ndarray) -> np.ndarray:
+        return (sieve[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    found = bit(fingerprints >> np.uint64(64 - SIEVE_BITS))
+    some = np.flatnonzero(found)
+    found[some] = bit(fingerprints[some] & np.uint64((1 << SIEVE_BITS) - 1))
     return found
 
 
@@ -184,6 +196,26 @@ def as_long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.int64) if values.dtype != np.uint64 else values.view(np.int64), pa.int64())
 
 
+def pooled(batches: Iterator[pa.RecordBatch], sizes: range, sieve: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """``fingerprint`` and ``n`` of the runs of a task, added up over its blocks while there are fewer than ``POOL``."""
+
+    def sums() -> list[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate(pool), return_counts=True)
+        return pa.table({"fingerprint": as_long(values), "n": as_long(counts)}).to_batches(POOL // 8)
+
+    pool, held_now = [], 0
+    for block, _, _ in blocks(batches):
+        for size in sizes:
+            at = np.flatnonzero(block.passing(size, sizes[0] - 1, sieve))
+            pool.append(block.fingerprints(size, at))
+            held_now += len(at)
+            if held_now >= POOL:
+                yield from sums()
+                pool, held_now = [], 0
+    if held_now:
+        yield from sums()
+
+
 def counted(docs: DataFrame, sizes: range, sieve: np.ndarray | None = None) -> DataFrame:
     """``lang``, ``fingerprint`` and ``n`` of all runs of ``sizes`` words whose parts pass the sieve of the size before."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve)  # of fixed size
@@ -193,14 +225,15 @@ def counted(docs: DataFrame, sizes: range, sieve: np.ndarray | None = None) -> D
             names, number = np.unique(np.array(languages.to_pylist(), object), return_inverse=True)
             for size in sizes:
                 at = np.flatnonzero(block.passing(size, sizes[0] - 1, shared.value))
-                values, first, counts = np.unique(block.fingerprints(size)[at], return_index=True, return_counts=True)
-                spoken = pa.array(names, pa.string()).take(pa.array(number[block.text[at[first]]]))
-                yield pa.RecordBatch.from_arrays([spoken, as_long(values), as_long(counts)], ["lang", "fingerprint", "n"])
+                values, first, counts = np.unique(block.fingerprints(size, at), return_index=True, return_counts=True)
+                langs = pa.array(names, pa.string()).take(pa.array(number[block.text[at[first]]]))
+                yield pa.RecordBatch.from_arrays([langs, as_long(values), as_long(counts)], ["lang", "fingerprint", "n"])
 
-    found = docs.select("doc_id", "lang", "text").mapInArrow(scan, "lang string, fingerprint bigint, n bigint")
+    docs = docs.select("doc_id", "lang", "text")
     if sizes[0] > 1:  # the language is part of a fingerprint
+        found = docs.mapInArrow(lambda batches: pooled(batches, sizes, shared.value), "fingerprint bigint, n bigint")
         return found.groupBy("fingerprint").agg(F.sum("n").alias("n"))
-    return found.groupBy("lang", "fingerprint").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(scan, "lang string, fingerprint bigint, n bigint").groupBy("lang", "fingerprint").agg(F.sum("n").alias("n"))
 
 
 def sieve_of(found: DataFrame) -> np.ndarray:
@@ -223,7 +256,7 @@ def phrases(docs: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
             number, words = block.identities()
             for size in range(1, LONGEST + 1):
                 at = np.flatnonzero(block.passing(size, size, shared.value[min(size, len(shared.value)) - 1]))
-                _, first, group, counts = np.unique(block.fingerprints(size)[at], return_index=True, return_inverse=True, return_counts=True)
+                _, first, group, counts = np.unique(block.fingerprints(size, at), return_index=True, return_inverse=True, return_counts=True)
                 pointers = at[first]
                 model = pointers[group]
                 other = np.zeros(len(at), bool)

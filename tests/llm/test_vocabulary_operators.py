@@ -289,3 +289,12 @@ def test_search_takes_the_smallest_ids_of_equal_scores(spark):
 def test_secret_columns_stand_in_their_order(spark):
     df = queries.QUERIES["op1_secret_scan"](spark, SMALL)
     assert df.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
+def test_fingerprints_are_added_up_over_blocks():
+    texts = ["one two three. four five six", "one two three. seven eight"] * 50
+    batch = pa.record_batch({"doc_id": list(range(100)), "lang": ["en"] * 100, "text": pa.array(texts, pa.string())})
+    found = pa.Table.from_batches(list(collocations.pooled(iter([batch.slice(0, 30), batch.slice(30)]), range(2, 4), None)))
+    runs = found["fingerprint"].to_pylist()
+    assert len(runs) == len(set(runs)) == 7  # five pairs and two runs of three
+    assert sorted(found["n"].to_pylist()) == [50] * 4 + [100] * 3
